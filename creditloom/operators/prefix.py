@@ -8,11 +8,13 @@ supplies the offsets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MAX_RANGES = 4000
 
@@ -98,40 +100,56 @@ def exact_quantiles(
 ) -> DataFrame:
     """``(keys…, q, value)``: linearly interpolated quantiles, exact at any size.
 
-    Range totals tell which ranges hold the wanted ranks; only those ranges are
-    sorted. ``df`` may hold repeats; they are counted before any sort. NULL and
-    NaN are left out.
+    A first pass counts rows per value range (a few thousand numbers per key,
+    summed in the tasks and brought to the driver). It tells which ranges hold
+    the wanted ranks; a second pass shuffles and orders those ranges only. NULL
+    and NaN are left out. ``keys`` name few groups, such as features or models.
     """
     keys = list(keys)
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    clean = df.select(*keys, value).where(F.col(value).isNotNull() & ~F.isnan(value))
     if edges is None:
         edges = range_edges(clean, value)
-    counts = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranged = with_range(counts, value, edges)
-    offsets = _offsets(ranged, keys, ["_c"], descending=False)
-    position = F.col("q") * (F.col("total__c") - 1)
-    wanted = (
-        offsets.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-        .withColumn("_pos", position)
-        .withColumn("_rank", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
-        .where((F.col("_rank") >= F.col("_before__c"))
-               & (F.col("_rank") < F.col("_before__c") + F.col("_n__c")))
-        .select(*keys, "_range", "q", "_pos", "_rank", "_before__c")
-        .distinct()
-    )
+    ranged = with_range(clean, value, edges)
+    totals = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("n")).collect()
+    per_key: dict[tuple, list[tuple[int, int]]] = {}
+    for row in totals:
+        per_key.setdefault(tuple(row[k] for k in keys), []).append((row["_range"], row["n"]))
+    wanted = [
+        (*key, *place) for key, sizes in per_key.items() for place in _rank_places(sorted(sizes), points)
+    ]
+    schema = StructType([
+        *[clean.schema[k] for k in keys],
+        *StructType.fromDDL("_range int, q double, _share double, _rank long").fields,
+    ])
     # At most two ranks per point and key: safe to broadcast.
-    needed = F.broadcast(wanted.select(*keys, "_range").distinct())
+    places = df.sparkSession.createDataFrame(wanted, schema)
+    needed = F.broadcast(places.select(*keys, "_range").distinct())
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    walked = ranged.join(needed, [*keys, "_range"], "left_semi").withColumn(
-        "_upto", F.sum("_c").over(inside)
+    walked = (
+        ranged.join(needed, [*keys, "_range"], "left_semi")
+        .groupBy(*keys, "_range", value).agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(inside))
     )
-    hits = walked.join(F.broadcast(wanted), [*keys, "_range"]).where(
-        (F.col("_rank") < F.col("_before__c") + F.col("_upto"))
-        & (F.col("_rank") >= F.col("_before__c") + F.col("_upto") - F.col("_c"))
+    hits = walked.join(F.broadcast(places), [*keys, "_range"]).where(
+        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
     )
     low, high = F.min(value), F.max(value)
-    return hits.groupBy(*keys, "q").agg(
-        (low + (high - low) * F.max(F.col("_pos") - F.floor("_pos"))).alias("value")
-    )
+    return hits.groupBy(*keys, "q").agg((low + (high - low) * F.max("_share")).alias("value"))
+
+
+def _rank_places(sizes: list[tuple[int, int]], points: Sequence[float]) -> list[tuple]:
+    """For each point: range, point, interpolation share and rank inside the range."""
+    total = sum(n for _, n in sizes)
+    places = []
+    for q in points:
+        position = q * (total - 1)
+        for rank in {math.floor(position), math.ceil(position)}:
+            before = 0
+            for number, n in sizes:
+                if rank < before + n:
+                    places.append((number, float(q), position - math.floor(position), rank - before))
+                    break
+                before += n
+    return places

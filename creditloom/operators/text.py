@@ -187,17 +187,17 @@ def extract_by_distance(df: DataFrame, text: str, vectors: DataFrame, knowledge_
                         *, key: str = "id", keep: int = 2, out: str = "extracted") -> DataFrame:
     """Like :func:`extract_by_match`, ranked by cosine to the knowledge-base centroid.
 
-    ``vectors(word, vector)`` holds ML vectors. Each vector is turned into its
-    dot product with the centroid's terms only after it was summed per
-    sentence; a sentence with fewer than two known words goes last.
+    ``vectors(word, vector)`` holds ML vectors. Words are counted per sentence
+    before they meet their vectors; a sentence with fewer than two known words
+    goes last.
     """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    centre = vector_to_array(
-        vectors.where(F.col("word").isin(list(knowledge_base)))
-        .agg(Summarizer.mean(F.col("vector")).alias("c")).select("c").scalar()
-    )
+    # One vector of a fixed, small width.
+    found = vectors.where(F.col("word").isin(list(knowledge_base))).agg(
+        Summarizer.mean(F.col("vector")).alias("c")).first()["c"]
+    centre = F.array(*[F.lit(float(x)) for x in found])
     lines = df.select(key, F.posexplode(sentences(text)).alias("pos", "sentence"))
     tokens = (
         lines.select(key, "pos", F.explode(long_words(F.col("sentence"))).alias("word"))

@@ -1 +1,269 @@
-"""Model queries (placeholder filled below)."""
+"""Spark ML queries: text vectors, clusters, default, loss and exposure models."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from creditloom import constants as K
+from creditloom.functions import scalars as S
+from creditloom.operators import embeddings as W
+from creditloom.operators import evaluation as L
+from creditloom.operators import loss as Q
+from creditloom.operators import models as M
+from creditloom.operators import prep as P
+from creditloom.operators import text as X
+from creditloom.plans import hybrid as H
+from creditloom.plans import structured as ST
+from creditloom.plans import textual as TX
+from creditloom.plans import views as V
+from creditloom.queries.binning import SPECS, all_loans, rounded
+from creditloom.queries.registry import query, sql_on
+from creditloom.queries.text import quoted, token_frame
+from creditloom.session import new_path
+
+SPLIT = "((id % 2147483647) * 48271 % 2147483647) % 1000 < 800"
+
+
+def token_parts(spark, d):
+    """Documents with tokens, training and test part."""
+    return P.stable_split(token_frame(spark, d))
+
+
+@query("hashed_tfidf")
+def hashed_tfidf(spark, d):
+    tokens = token_frame(spark, d)
+    fitted = W.hashed_tfidf("tokens").fit(tokens).transform(tokens)
+    v = vector_to_array("tfidf_features")
+    return fitted.select("id", F.size(F.filter(v, lambda x: x > 0)).alias("n_terms"),
+                         F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("bucket_dictionary")
+def bucket_dictionary(spark, d):
+    return W.bucket_dictionary(token_frame(spark, d), "tokens")
+
+
+@query("vector_mean_by_class")
+def vector_mean_by_class(spark, d):
+    tokens = token_frame(spark, d)
+    means = W.vector_mean(W.hashed_tfidf("tokens").fit(tokens).transform(tokens), "tfidf_features", "good_bad")
+    return means.select("good_bad", F.posexplode("mean").alias("bucket", "mean_tfidf")).where("mean_tfidf > 0")
+
+
+@query("vector_mean_overall", sql_on("word_vectors", body="""
+WITH x AS (SELECT unnest(vector) AS v, unnest(range(len(vector))) AS i FROM word_vectors)
+SELECT CAST(i AS INTEGER) AS position, ROUND(AVG(v), 6) AS mean FROM x GROUP BY i"""))
+def vector_mean_overall(spark, d):
+    from pyspark.ml.functions import array_to_vector
+    vectors = V.word_vectors(spark, d).select(array_to_vector("vector").alias("v"))
+    return W.vector_mean(vectors, "v").select(F.posexplode("mean").alias("position", "mean")).withColumn(
+        "mean", F.round("mean", 6))
+
+
+@query("word2vec_vectors")
+def word2vec_vectors(spark, d):
+    model = W.fit_word2vec(token_frame(spark, d), "tokens")
+    return W.model_vectors(model).select("word", F.size("vector").alias("size"))
+
+
+@query("word2vec_documents")
+def word2vec_documents(spark, d):
+    tokens = token_frame(spark, d)
+    return W.fit_word2vec(tokens, "tokens").transform(tokens).select(
+        "id", F.size(vector_to_array("w2v_features")).alias("size"))
+
+
+@query("word2vec_knowledge_base")
+def word2vec_knowledge_base(spark, d):
+    tokens = token_frame(spark, d)
+    model = W.fit_word2vec(tokens, "tokens")
+    frequent = X.token_counts(tokens, "tokens", 13)
+    vectors = W.model_vectors(model)
+    return W.expand_seeds(vectors, frequent.select(F.col("token").alias("word")).join(vectors, "word"))
+
+
+@query("extract_by_distance")
+def extract_by_distance(spark, d):
+    texts = X.text_present(V.loan_text(spark, d), "desc_")
+    tokens = token_frame(spark, d)
+    vectors = W.fit_word2vec(tokens, "tokens").getVectors()
+    base = [r["token"] for r in X.token_counts(tokens, "tokens", 13).collect()]
+    return X.extract_by_distance(texts, "desc_", vectors, base).select("id", "extracted")
+
+
+SHORT_STOPS = quoted(
+    "i me my we he it am is be do a an if or as of at by to up in on no so s t".split())
+STOPS_ALL = quoted(K.ENGLISH_STOP_WORDS) + ", " + SHORT_STOPS
+
+
+@query("regex_words", f"""
+WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\W'), lambda w: w <> '' AND w NOT IN ({STOPS_ALL})) AS ws FROM conversations)
+SELECT conv_id, turn, CAST(len(ws) AS INTEGER) AS n, array_to_string(ws, ' ') AS words FROM t""")
+def regex_words(spark, d):
+    from pyspark.ml import Pipeline
+    rows = V.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    out = Pipeline(stages=W.regex_words("text", "words")).fit(rows).transform(rows)
+    return out.select("conv_id", "turn", F.size("words").alias("n"), F.array_join("words", " ").alias("words"))
+
+
+@query("title_one_hot", sql_on("titles", body="""
+WITH t AS (SELECT id, lower(trim(emp_title)) AS v FROM titles),
+k AS (SELECT v, row_number() OVER (ORDER BY COUNT(*) DESC, v) - 1 AS i FROM t GROUP BY v)
+SELECT id, CAST(i AS INTEGER) AS hot, CAST((SELECT COUNT(*) FROM k) AS INTEGER) AS size FROM t JOIN k ON t.v = k.v"""))
+def title_one_hot(spark, d):
+    titles = V.titles(spark, d).select("id", S.normalise("emp_title").alias("v"))
+    out = W.one_hot("v", "ohe").fit(titles).transform(titles)
+    a = vector_to_array("ohe")
+    return out.select("id", (F.array_position(a, 1.0) - 1).cast("int").alias("hot"), F.size(a).alias("size"))
+
+
+@query("title_clusters")
+def title_clusters(spark, d):
+    titles = V.titles(spark, d).select(
+        "id", S.normalise("emp_title", "missing").alias("job"), "emp_title",
+        F.when(F.col("p_size") % 5 == 0, 0).otherwise(1).alias("good_bad"))
+    return X.cluster_profile(W.title_clusters("job").fit(titles).transform(titles), "emp_cluster", "emp_title")
+
+
+@query("text_risk_score")
+def text_risk_score(spark, d):
+    train, test = token_parts(spark, d)
+    model = W.fit_word2vec(train, "tokens")
+    ready = [model.transform(part.where(F.size("tokens") > 0)).select("id", "good_bad", "w2v_features") for part in (train, test)]
+    scorer = W.fit_text_score(ready[0], "w2v_features")
+    return W.attach_score(test.select("id", "good_bad"), W.text_score(scorer, ready[1]))
+
+
+@query("text_model_metrics")
+def text_model_metrics(spark, d):
+    """AUC, Gini and KS of the text-only models on the test part."""
+    train, test = token_parts(spark, d)
+    tfidf, w2v = W.hashed_tfidf("tokens").fit(train), W.fit_word2vec(train, "tokens")
+    train, test = [w2v.transform(tfidf.transform(p)).select("id", "good_bad", "tfidf_features", "w2v_features").persist()
+                   for p in (train, test)]
+    scored = [
+        M.fit_naive_bayes(train, test, "tfidf_features")[1],
+        M.fit_text_lr(train, test, ["tfidf_features"], "tfidf")[1],
+        M.fit_text_lr(train, test, ["w2v_features"], "w2v")[1],
+        M.fit_text_lr(train, test, ["tfidf_features", "w2v_features"], "tfidf_w2v")[1],
+    ]
+    return L.metrics(L.cumulative(P.stack_frames(*scored)))
+
+
+def split_loans(spark, d):
+    loans = all_loans(spark, d).persist()
+    return P.stable_split(loans)
+
+
+@query("lr_raw_vs_coarse")
+def lr_raw_vs_coarse(spark, d):
+    """Logistic regression on raw columns against coarse-class indicators."""
+    train, test = split_loans(spark, d)
+    coarse = ST.fit_structured(train, test, SPECS)
+    scored = P.stack_frames(M.fit_raw_lr(train, test)[1], M.fit_indicator_lr(coarse.train, coarse.test)[1])
+    return L.metrics(L.cumulative(scored)).join(L.accuracy(scored), "model")
+
+
+@query("coefficient_table")
+def coefficient_table(spark, d):
+    train, test = split_loans(spark, d)
+    coarse = ST.fit_structured(train, test, SPECS)
+    columns = coarse.strongest(60)
+    result = M.fit_pd("M0", coarse.train, coarse.test, columns)
+    return M.coefficient_table(result.model, coarse.train, columns, top=30)
+
+
+@query("strongest_indicators")
+def strongest_indicators(spark, d):
+    from creditloom.operators.profile import class_mean_gap
+    train, test = split_loans(spark, d)
+    coarse = ST.fit_structured(train, test, SPECS)
+    return class_mean_gap(coarse.train, P.integer_columns(coarse.train), top=60)
+
+
+@query("skinny_text_frame", sql_on("loan_book", "loan_text", "word_vectors", body="""
+SELECT b.id, b.good_bad, t.title, COALESCE(CASE WHEN t.desc_ IS NULL THEN 1 ELSE 0 END, 1) AS desc_missing, 0.0::DOUBLE AS text_score,
+  ROUND(COALESCE(list_sum(v.vector), 0.0), 5) AS total
+FROM loan_book b LEFT JOIN (SELECT * FROM loan_text) t ON b.id = t.id LEFT JOIN word_vectors v ON v.word = 'w' || b.id
+""").replace("COALESCE(CASE WHEN t.desc_ IS NULL THEN 1 ELSE 0 END, 1)", "CASE WHEN t.desc_ IS NULL OR trim(t.desc_) = '' THEN 1 ELSE 0 END"))
+def skinny_text_frame(spark, d):
+    from pyspark.ml.functions import array_to_vector
+    text = V.loan_text(spark, d).select(
+        "id", "title", S.missing_flag("desc_").alias("desc_missing"), F.lit(None).cast("double").alias("text_score"))
+    vectors = V.word_vectors(spark, d).select(
+        F.expr("cast(substr(word, 2) as long)").alias("id"), array_to_vector("vector").alias("w2v_features"))
+    frame = M.skinny_text_frame(V.loan_book(spark, d, "id", "good_bad"), text, {"w2v_features": vectors}, {"w2v_features": 64})
+    total = F.aggregate(vector_to_array("w2v_features"), F.lit(0.0), lambda a, x: a + x)
+    return frame.select("id", "good_bad", "title", "desc_missing", "text_score", F.round(total, 5).alias("total"))
+
+
+ONE_WAY = f"""
+t AS (SELECT *, CASE WHEN funded_amnt > 0 THEN total_rec_prncp / funded_amnt ELSE 0.0 END AS rr FROM loan_book),
+targets AS (SELECT *, greatest(0.001, least(0.999, 1 - rr)) AS lgd, funded_amnt * greatest(0.0, least(1.0, rr)) AS ead FROM t)"""
+
+
+def loss_frames(spark, d):
+    loans = Q.with_loss_targets(V.loan_book(spark, d, "id", "good_bad", "grade", "funded_amnt", "total_rec_prncp"))
+    flags = [F.when(F.col("grade") == g, 1).otherwise(0).alias(f"grade_{i}")
+             for i, g in enumerate(["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], 2)]
+    return loans.select("*", *flags)
+
+
+@query("lgd_model_by_grade", sql_on("loan_book", body=f"""WITH {ONE_WAY},
+m AS (SELECT grade, AVG(lgd) AS lgd_pred FROM targets WHERE good_bad = 0 AND {SPLIT} GROUP BY grade)
+SELECT t.id, ROUND(m.lgd_pred, 4) AS lgd_pred FROM targets t JOIN m ON t.grade = m.grade WHERE NOT ({SPLIT})"""))
+def lgd_model_by_grade(spark, d):
+    """With one indicator per grade the regression gives each grade's mean."""
+    train, test = P.stable_split(loss_frames(spark, d))
+    model = M.fit_lgd(train, train, ["grade_2", "grade_3", "grade_4", "grade_5"])
+    return M.predict_lgd(model, test).withColumn("lgd_pred", F.round("lgd_pred", 4))
+
+
+@query("ead_model_on_amount", sql_on("loan_book", body=f"""WITH {ONE_WAY},
+m AS (SELECT regr_slope(ead, funded_amnt) AS b, regr_intercept(ead, funded_amnt) AS a FROM targets WHERE {SPLIT})
+SELECT id, ROUND(greatest(a + b * funded_amnt, 0.0), 2) AS ead_pred FROM targets, m WHERE NOT ({SPLIT})"""))
+def ead_model_on_amount(spark, d):
+    train, test = P.stable_split(loss_frames(spark, d))
+    model = M.fit_ead(train, train, ["funded_amnt"])
+    return M.predict_ead(model, test).withColumn("ead_pred", F.round("ead_pred", 2))
+
+
+@query("saved_model_scores")
+def saved_model_scores(spark, d):
+    """A pipeline written to the shared folder scores the same after loading."""
+    train, test = P.stable_split(loss_frames(spark, d))
+    columns = ["grade_2", "grade_3", "grade_4", "grade_5"]
+    result = M.fit_pd("saved", train, test, columns)
+    path = new_path(spark, "pd-model")
+    W.save_model(result.model, path)
+    again = W.load_pipeline(path).transform(test)
+    return again.select("id", F.round(S.element("probability", 0), 6).alias("prob_default"))
+
+
+def hybrid_inputs(spark, d):
+    loans = V.loan_book(spark, d)
+    texts = V.loan_text(spark, d).select("id", F.col("desc_").alias("desc"), "title")
+    jobs = V.titles(spark, d).select("id", "emp_title")
+    book = loans.join(texts, "id", "left").join(jobs, "id", "left")
+    return P.stable_split(book.persist())
+
+
+def hybrid(spark, d):
+    train, test = hybrid_inputs(spark, d)
+    coarse = ST.fit_structured(train, test, SPECS)
+    text = TX.fit_text(train, clusters=8)
+    return H.run_hybrid(coarse, text, train, test)
+
+
+@query("hybrid_comparison")
+def hybrid_comparison(spark, d):
+    """All default models of both experiments with their measures."""
+    h = hybrid(spark, d)
+    return h.text_present.comparison().unionByName(h.full.comparison())
+
+
+@query("hybrid_expected_loss")
+def hybrid_expected_loss(spark, d):
+    h = hybrid(spark, d)
+    return Q.summary(h.full.expected_loss(h.lgd, h.ead))
