@@ -198,41 +198,127 @@ SPECS = [
     C.FeatureSpec("funded_amnt", "continuous", 10, True), C.FeatureSpec("dti", "continuous", 8),
     C.FeatureSpec("open_acc", "continuous", 6), C.FeatureSpec("int_rate", "continuous", 5),
 ]
-
+NUMERIC_NAMES = ", ".join(f"'{f}'" for f in CONTINUOUS)
+
+# The merge loop as a recursive query: one step per round, all features at once.
+MERGES = """
+base AS (SELECT feature, bin, n_obs, n_good, row_number() OVER (PARTITION BY feature ORDER BY
+    CASE WHEN feature IN ({numeric}) THEN COALESCE(TRY_CAST(bin AS INTEGER), 1000000) ELSE 0 END, bin) - 1 AS grp FROM counts),
+rec AS (
+  SELECT feature, 0 AS step, bin, n_obs, n_good, grp FROM base
+  UNION ALL (
+  WITH g AS (SELECT feature, grp, CAST(SUM(n_obs) AS DOUBLE) AS n, CAST(SUM(n_good) AS DOUBLE) AS good,
+      string_agg(bin, ' | ' ORDER BY bin) AS label FROM rec GROUP BY feature, grp),
+  s AS (SELECT *, n / SUM(n) OVER f AS pn, good / greatest(SUM(good) OVER f, 1) AS pg,
+      (n - good) / greatest(SUM(n - good) OVER f, 1) AS pb, good / n AS rate FROM g WINDOW f AS (PARTITION BY feature)),
+  w AS (SELECT *, ln((pg + 1e-9::DOUBLE) / (pb + 1e-9::DOUBLE)) AS woe FROM s),
+  o AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY CASE WHEN feature IN ({numeric}) THEN grp ELSE 0 END, woe, label) AS pos,
+      COUNT(*) OVER (PARTITION BY feature) AS k FROM w),
+  l AS (SELECT *, lag(grp) OVER q AS lgrp, lead(grp) OVER q AS rgrp, woe - lag(woe) OVER q AS dwoe, abs(lead(woe) OVER q - woe) AS rwoe,
+      abs(rate - lag(rate) OVER q) AS drate, first_value(woe) OVER e AS w0, last_value(woe) OVER e AS w1 FROM o
+      WINDOW q AS (PARTITION BY feature ORDER BY pos), e AS (PARTITION BY feature ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  cand AS (
+    SELECT feature, 1 AS rule, n AS a, least(pg, pb) AS b, -abs(woe) AS c, pos, grp AS x,
+      CASE WHEN lgrp IS NOT NULL AND (rgrp IS NULL OR abs(dwoe) <= rwoe) THEN lgrp ELSE rgrp END AS y
+    FROM l WHERE k > 1 AND (pn < 0.05 OR pg < 0.05 OR pb < 0.01)
+    UNION ALL SELECT feature, 2, abs(dwoe), 0, 0, pos, lgrp, grp FROM l WHERE abs(dwoe) < 0.005 OR drate < 0.001
+    UNION ALL SELECT feature, 3, 0, 0, 0, pos, lgrp, grp FROM l WHERE feature = 'funded_amnt' AND k >= 3
+      AND CASE WHEN w1 >= w0 THEN dwoe < 0 ELSE dwoe > 0 END),
+  pick AS (SELECT feature, least(x, y) AS lo, greatest(x, y) AS hi FROM cand
+    QUALIFY row_number() OVER (PARTITION BY feature ORDER BY rule, a, b, c, pos) = 1)
+  SELECT r.feature, r.step + 1, r.bin, r.n_obs, r.n_good, CASE WHEN r.grp = p.hi THEN p.lo ELSE r.grp END
+  FROM rec r JOIN pick p ON r.feature = p.feature WHERE r.step < 50)),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY feature, step ORDER BY grp) - 1 AS g,
+  MAX(step) OVER (PARTITION BY feature) AS last FROM rec)""".format(numeric=NUMERIC_NAMES)
+ALL_COUNTS = f"counts AS ({DISCRETE_COUNTS} UNION ALL {NUMERIC_COUNTS})"
+FITTED = f"WITH RECURSIVE {EDGES}, {ALL_COUNTS}, {MERGES}"
 
 def fitted(spark, d, specs=SPECS, loans=None):
     return C.fit_classing(all_loans(spark, d) if loans is None else loans, specs, exact_edges=True)
 
 
-@query("coarse_classing_report")
+def merged_report(keys: str, where: str) -> str:
+    """Report over groups; classes are named by their base classes."""
+    numeric = f"CASE WHEN feature IN ({NUMERIC_NAMES}) THEN g ELSE 0 END"
+    body = WOE_COLUMNS.format(order=f"{numeric}, woe, bin").replace("PARTITION BY feature", f"PARTITION BY {keys}")
+    grouped = f"""grouped AS (SELECT {keys}, g, string_agg(bin, ' | ' ORDER BY bin) AS bin, CAST(SUM(n_obs) AS BIGINT) AS n_obs,
+  CAST(SUM(n_good) AS BIGINT) AS n_good FROM ranked WHERE {where} GROUP BY {keys}, g)"""
+    return f"{grouped}, " + body.replace("FROM counts", "FROM grouped")
+
+
+@query("coarse_classing_report", sql_on("loan_book", body=f"""
+{FITTED}, {merged_report('feature', 'step = last')}
+SELECT feature, CAST(position AS INTEGER) AS position, n_obs, n_good, n_bad, ROUND(prop_good, 6) AS prop_good, ROUND(woe, 6) AS woe,
+  ROUND(diff_woe, 6) AS diff_woe, ROUND(iv_component, 6) AS iv_component, ROUND(iv, 6) AS iv FROM report"""))
 def coarse_classing_report(spark, d):
-    return rounded(fitted(spark, d).report())
+    return rounded(fitted(spark, d).report().select(
+        "feature", "position", "n_obs", "n_good", "n_bad", "prop_good", "woe", "diff_woe", "iv_component", "iv"))
 
 
-@query("coarse_classing_history")
+@query("coarse_classing_history", sql_on("loan_book", body=f"""
+{FITTED}, {merged_report('feature, step', 'TRUE')}
+SELECT feature, CAST(step AS INTEGER) AS step, CAST(position AS INTEGER) AS position, bin, n_obs, n_good, ROUND(woe, 6) AS woe, ROUND(iv, 6) AS iv FROM report"""))
 def coarse_classing_history(spark, d):
-    return rounded(fitted(spark, d).history())
+    return rounded(fitted(spark, d).history().select(
+        "feature", "step", "position", "bin", "n_obs", "n_good", "woe", "iv"))
 
 
-@query("coarse_classing_comparison")
+@query("coarse_classing_comparison", sql_on("loan_book", body=f"""
+{FITTED}, {merged_report('feature, step, last', 'step = 0 OR step = last')}
+SELECT feature, CASE WHEN step = last THEN 'final' ELSE 'initial' END AS stage, CAST(position AS INTEGER) AS position, bin, n_obs,
+  ROUND(woe, 6) AS woe, ROUND(iv, 6) AS iv FROM report"""))
 def coarse_classing_comparison(spark, d):
-    return rounded(fitted(spark, d).comparison())
+    return rounded(fitted(spark, d).comparison().select(
+        "feature", "stage", "position", "bin", "n_obs", "woe", "iv"))
 
 
-@query("coarse_classing_mapping")
+@query("coarse_classing_mapping", sql_on("loan_book", body=f"""
+{FITTED}, {merged_report('feature', 'step = last')}
+SELECT r.feature, r.bin, CAST(r.g AS INTEGER) AS grp, ROUND(p.woe, 6) AS woe FROM ranked r
+JOIN report p ON r.feature = p.feature AND r.g = p.g WHERE r.step = r.last"""))
 def coarse_classing_mapping(spark, d):
-    return rounded(fitted(spark, d).groups_frame(spark))
+    return rounded(fitted(spark, d).groups_frame(spark).where("woe IS NOT NULL").select("feature", "bin", "grp", "woe"))
+
+
+TRAIN = "((id % 2147483647) * 48271 % 2147483647) % 1000 < 800"
+TRAIN_FITTED = FITTED.replace("FROM loan_book", "FROM train_loans")
+
 
+def _base_sql(f):
+    if f in DISCRETE:
+        return f"SELECT id, '{f}' AS feature, COALESCE({f}, 'MISSING') AS bin FROM test_loans"
+    return f"SELECT id, '{f}' AS feature, CASE WHEN {f} IS NULL THEN 'MISSING' ELSE {_bin_sql(f)} END AS bin FROM test_loans, edges_{f}"
 
-@query("coarse_classing_apply")
+
+APPLIED = TRAIN_FITTED.replace("WITH RECURSIVE ", f"""WITH RECURSIVE train_loans AS (SELECT * FROM loan_book WHERE {TRAIN}),
+test_loans AS (SELECT * FROM loan_book WHERE NOT ({TRAIN})), """, 1) + f""",
+{merged_report('feature', 'step = last')},
+mapping AS (SELECT r.feature, r.bin, r.g, p.woe FROM ranked r JOIN report p ON r.feature = p.feature AND r.g = p.g WHERE r.step = r.last),
+placed AS (SELECT t.id, t.feature, m.g, m.woe FROM ({" UNION ALL ".join(_base_sql(f) for f in [*DISCRETE, *CONTINUOUS])}) t
+  LEFT JOIN mapping m ON t.feature = m.feature AND t.bin = m.bin)"""
+
+
+@query("coarse_classing_apply", sql_on("loan_book", body=f"""
+{APPLIED}
+SELECT id, {", ".join(f"ROUND(MAX(CASE WHEN feature = '{f}' THEN woe END), 6) AS {f}_woe" for f in [*DISCRETE, *CONTINUOUS])}
+FROM placed GROUP BY id"""))
 def coarse_classing_apply(spark, d):
     """Fitted on the training part, applied to the test part."""
     train, test = P.stable_split(all_loans(spark, d))
-    classing = fitted(spark, d, loans=train)
-    return rounded(classing.transform(test).drop(*DISCRETE, *CONTINUOUS))
+    applied = fitted(spark, d, loans=train).transform(test, "woe")
+    return rounded(applied.select("id", *[f"{f}_woe" for f in [*DISCRETE, *CONTINUOUS]]))
 
 
-@query("indicator_columns")
+@query("indicator_columns", sql_on("loan_book", body=f"""
+{APPLIED}
+SELECT feature, CAST(g AS INTEGER) AS grp, COUNT(*) AS ones FROM placed GROUP BY feature, g"""))
 def indicator_columns(spark, d):
+    """Ones per indicator column of the test part, with the group it stands for."""
     train, test = P.stable_split(all_loans(spark, d))
-    return fitted(spark, d, loans=train).indicators(test)
+    classing = fitted(spark, d, loans=train)
+    order = {(row["feature"], row["label"]): row["grp"] for row in classing.groups}
+    named = [(c, f, order[f, label]) for f, pairs in classing.indicator_names().items() for c, label in pairs]
+    flags = classing.indicators(test)
+    sums = flags.agg(*[F.sum(f"`{c}`").alias(c) for c, _, _ in named])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(g).alias("grp"), F.col(f"`{c}`").alias("ones")) for c, f, g in named])
+    return sums.select(F.inline(rows)).where("ones > 0")

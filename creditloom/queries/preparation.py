@@ -144,17 +144,20 @@ def fill_nulls(spark, d):
     return P.fill_by_type(filled, -1.0, "MISSING", skip=["id"]).drop("funded_amnt")
 
 
-@query("split_columns_by_type", """
-SELECT * FROM (VALUES ('number', 'id'), ('number', 'good_bad'), ('number', 'funded_amnt'), ('number', 'dti'),
-  ('number', 'open_acc'), ('other', 'grade'), ('other', 'purpose'), ('int', 'good_bad')) t(kind, name)
-WHERE EXISTS (SELECT 1 FROM orders)""")
+@query("split_columns_by_type", sql_on("loan_book", body="""
+SELECT 'number' AS kind, 'id' AS name, COUNT(id) AS filled FROM loan_book UNION ALL SELECT 'number', 'good_bad', COUNT(good_bad) FROM loan_book UNION ALL
+SELECT 'number', 'funded_amnt', COUNT(funded_amnt) FROM loan_book UNION ALL SELECT 'number', 'dti', COUNT(dti) FROM loan_book UNION ALL
+SELECT 'other', 'grade', COUNT(grade) FROM loan_book UNION ALL SELECT 'other', 'purpose', COUNT(purpose) FROM loan_book UNION ALL
+SELECT 'integer', 'good_bad', COUNT(good_bad) FROM loan_book"""))
 def split_columns_by_type(spark, d):
-    loans = V.loan_book(spark, d, "id", "good_bad", "grade", "purpose", "funded_amnt", "dti", "open_acc")
+    """Columns by type with their number of filled rows."""
+    loans = V.loan_book(spark, d, "id", "good_bad", "grade", "purpose", "funded_amnt", "dti")
     numbers, others = P.split_columns(loans)
     named = [("number", n) for n in numbers] + [("other", n) for n in others]
-    named += [("int", n) for n in P.integer_columns(loans, exclude=["id"])]
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in named])
-    return loans.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.inline(rows))
+    named += [("integer", n) for n in P.integer_columns(loans, exclude=["id"])]
+    filled = loans.agg(*[F.count(c).alias(c) for c in loans.columns])
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.col(n).alias("filled")) for k, n in named])
+    return filled.select(F.inline(rows))
 
 
 @query("drop_by_suffix", sql_on("loan_book", body="SELECT id, good_bad, funded_amnt FROM loan_book"))
