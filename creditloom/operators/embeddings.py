@@ -11,7 +11,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import constants as K
@@ -40,14 +40,20 @@ def bucket_dictionary(df: DataFrame, tokens: str, buckets: int = K.TFIDF_BUCKETS
     """
     counts = X.token_counts(df, tokens).withColumn("_one", F.array("token"))
     hashed = HashingTF(inputCol="_one", outputCol="_h", numFeatures=buckets).transform(counts)
-    index = F.get_json_object(F.to_json(F.struct(F.col("_h").alias("v"))), "$.v.indices[0]")
     return (
-        hashed.select(index.cast("int").alias("bucket"), "token", "count")
+        hashed.select(sparse_parts("_h")["indices"][0].alias("bucket"), "token", "count")
         .groupBy("bucket").agg(F.min(F.struct((-F.col("count")).alias("c"), "token")).alias("b"))
         .select("bucket", F.col("b.token").alias("token"), (-F.col("b.c")).alias("count"))
     )
 
 
+def sparse_parts(vector: str) -> Column:
+    """``indices`` and ``values`` of a sparse vector; the width never matters."""
+    parts = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))),
+                        "v struct<indices: array<int>, values: array<double>>")
+    return parts["v"]
+
+
 def word2vec_partitions(df: DataFrame, rows_per_partition: int) -> int:
     return max(1, math.ceil(df.count() / rows_per_partition))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from creditloom import constants as K
 from creditloom.functions import scalars as S
-from creditloom.session import lookup_join
+from creditloom.session import lookup_join, unnest
 
 # Letters, digits, apostrophes and hyphens make up a word; the rest separates words.
 WORD_BREAK = r"[^\p{L}\p{N}'-]+"
@@ -61,7 +61,7 @@ def with_lemmas(df: DataFrame, tokens: str, lemmas: DataFrame, key: str = "id")
     Token rows are salted by row key when the dictionary is too large to
     broadcast. The order of the tokens is kept.
     """
-    exploded = df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    exploded = unnest(df, [key], tokens, "pos", "token")
     joined = lookup_join(exploded, lemmas.select("token", "lemma"), "token", salt_by=key)
     rebuilt = (
         joined.groupBy(key)
@@ -82,7 +82,7 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def token_counts(df: DataFrame, tokens: str, k: int | None = None) -> DataFrame:
     """Token frequency over the corpus, optionally the top ``k``."""
-    exploded = df.select(F.explode(tokens).alias("token"))
+    exploded = unnest(df, [], tokens, "token")
     if k is not None:
         return top_values(exploded, "token", k)
     return exploded.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
@@ -97,7 +97,7 @@ def term_statistics(df: DataFrame, tokens: str, key: str = "id", label: str | No
     """
     keep = [key] + ([label] if label else [])
     per_document = (
-        df.select(*keep, F.explode(tokens).alias("token"))
+        unnest(df, keep, tokens, "token")
         .groupBy(*keep, "token").agg(F.count(F.lit(1)).alias("tf"))
     )
     measures = [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")]
@@ -178,7 +178,7 @@ def extract_by_match(text: Column | str, knowledge_base: Sequence[str], keep: in
 def sentence_scores(df: DataFrame, text: str, knowledge_base: Sequence[str], key: str = "id") -> DataFrame:
     """``(key, pos, sentence, score)``: one row per sentence."""
     base = F.array(*[F.lit(w) for w in sorted(set(knowledge_base))])
-    return df.select(key, F.posexplode(sentences(text)).alias("pos", "sentence")).withColumn(
+    return unnest(df, [key], sentences(text), "pos", "sentence").withColumn(
         "score", F.size(F.array_intersect(long_words(F.col("sentence")), base))
     )
 
@@ -198,9 +198,9 @@ def extract_by_distance(df: DataFrame, text: str, vectors: DataFrame, knowledge_
     found = vectors.where(F.col("word").isin(list(knowledge_base))).agg(
         Summarizer.mean(F.col("vector")).alias("c")).first()["c"]
     centre = F.array(*[F.lit(float(x)) for x in found])
-    lines = df.select(key, F.posexplode(sentences(text)).alias("pos", "sentence"))
+    lines = unnest(df, [key], sentences(text), "pos", "sentence")
     tokens = (
-        lines.select(key, "pos", F.explode(long_words(F.col("sentence"))).alias("word"))
+        unnest(lines, [key, "pos"], long_words(F.col("sentence")), "word")
         .groupBy(key, "pos", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
     known = lookup_join(tokens, vectors.select("word", "vector"), "word", "inner", salt_by=key)
@@ -311,7 +311,7 @@ def encode_sequences(df: DataFrame, tokens: str, vocab: DataFrame, *, key: str =
     The vocabulary has a fixed size and is broadcast; codes of one row are
     gathered inside the task that read it, then sent once.
     """
-    cut = df.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "token"))
+    cut = unnest(df, [key], F.slice(tokens, 1, length), "pos", "token")
     coded = cut.join(F.broadcast(vocab), "token", "left").select(
         key, F.struct("pos", F.coalesce("code", F.lit(1)).alias("code")).alias("c"))
     lists = coded.groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("_c")).select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,7 +59,7 @@ def loan_book(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def loan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document, seen as a loan with a description."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),

@@ -34,9 +34,9 @@ def token_parts(spark, d):
 def hashed_tfidf(spark, d):
     tokens = token_frame(spark, d)
     fitted = W.hashed_tfidf("tokens").fit(tokens).transform(tokens)
-    v = vector_to_array("tfidf_features")
-    return fitted.select("id", F.size(F.filter(v, lambda x: x > 0)).alias("n_terms"),
-                         F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    values = W.sparse_parts("tfidf_features")["values"]
+    return fitted.select("id", F.size(F.filter(values, lambda x: x > 0)).alias("n_terms"),
+                         F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("bucket_dictionary")

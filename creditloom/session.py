@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup side is broadcast only after a count proved it stays below this.
@@ -44,6 +44,28 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Share the rows of a scan over all cores when it has fewer splits than cores.
+
+    Meant for heavy work on a few files, or on files that cannot be split. A
+    scan with enough splits is left alone, so large tables are not moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def unnest(df: DataFrame, keep: list[str], array: Column | str, *names: str) -> DataFrame:
+    """One row per array element: ``keep`` and ``names`` (position first when two are given).
+
+    The outer explode keeps Spark from testing the array's size in a filter of
+    its own, which would compute an expensive array twice.
+    """
+    generator = F.posexplode_outer(array) if len(names) == 2 else F.explode_outer(array)
+    rows = df.select(*keep, generator.alias(*names))
+    # An element of an array is dropped only if it is NULL, as is an empty array's row.
+    return rows.where(F.col(names[-1]).isNotNull())
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``df`` has at most ``limit`` rows; stops counting beyond it."""
     return df.limit(limit + 1).count() <= limit
