@@ -253,20 +253,63 @@ class Classing:
 
     # --- application -------------------------------------------------------------------
 
-    def _base(self, df: DataFrame) -> DataFrame:
-        present = {c: e for c, e in self.edges.items() if c in df.columns}
-        binned = B.with_bin_ids(df, present, "__bin")
-        discrete = [s.name for s in self.specs if s.kind == "discrete" and s.name in df.columns]
-        return binned.select(
-            *df.columns,
-            *[S.base_class(f"{c}__bin", self.missing).alias(f"{c}__base") for c in present],
-            *[S.base_class(c, self.missing).alias(f"{c}__base") for c in discrete],
-        )
+    def group_edges(self, feature: str) -> list[float]:
+        """Edges of the merged groups of a continuous feature."""
+        grp_of = {r["bin"]: r["grp"] for r in self.of(feature)}
+        edges = self.edges[feature]
+        inner = [edges[i] for i in range(1, len(edges) - 1) if grp_of.get(str(i)) != grp_of.get(str(i - 1))]
+        return [edges[0], *inner, edges[-1]]
+
+    def _with_groups(self, df: DataFrame) -> DataFrame:
+        """Adds the final group number ``<feature>__g`` of every feature.
+
+        Numbers are cut at the merged edges, so a group is found by binary
+        search; texts go through a literal map, or a join when there are many.
+        """
+        cuts = {}
+        for f in self.edges:
+            merged = self.group_edges(f) if f in df.columns else []
+            # A single group needs no cut; the stage wants at least one.
+            if merged:
+                cuts[f] = merged if len(merged) > 2 else [merged[0], 0.0, merged[-1]]
+        placed = B.with_bin_ids(df, cuts, "__cut") if cuts else df
+        columns: dict[str, Column] = {}
+        for feature in [f for f in self.features if f in df.columns]:
+            rows = {r["bin"]: r["grp"] for r in self.of(feature)}
+            if feature in self.edges:
+                grp_by_cut = [rows.get(str(i), 0) for i in self._first_bins(feature)]
+                if len(cuts[feature]) > len(grp_by_cut) + 1:
+                    grp_by_cut *= 2
+                number = F.get(F.array(*[F.lit(g) for g in grp_by_cut]), F.col(f"{feature}__cut"))
+                columns[f"{feature}__g"] = F.coalesce(number, F.lit(rows[self.missing]))
+                continue
+            base, spare = S.base_class(feature, self.missing), rows[self._fallback(feature)]
+            if len(rows) > LITERAL_CLASSES:
+                mapping = self.groups_frame(df.sparkSession).where(F.col("feature") == feature).select(
+                    F.col("bin").alias(f"{feature}__base"), F.col("grp").alias(f"{feature}__found"))
+                placed = lookup_join(placed.withColumn(f"{feature}__base", base), mapping, f"{feature}__base")
+                number = F.col(f"{feature}__found")
+            else:
+                number = S.recode(base, rows)
+            columns[f"{feature}__g"] = F.coalesce(number, F.lit(spare))
+        return placed.select(*df.columns, *[c.alias(n) for n, c in columns.items()])
+
+    def _first_bins(self, feature: str) -> list[int]:
+        """First base bin of each merged group, in order."""
+        edges, merged = self.edges[feature], self.group_edges(feature)
+        return [edges.index(e) for e in merged[:-1]]
 
     def _fallback(self, feature: str) -> str:
         known = [r["bin"] for r in self.of(feature)]
         return self.missing if self.missing in known else min(known)
 
+    def _by_group(self, feature: str, field_: str) -> Column:
+        """``field_`` of a group as a lookup by group number."""
+        values = {r["grp"]: r[field_] for r in self.of(feature)}
+        kind = "double" if field_ == "woe" else "string"
+        items = [F.lit(values.get(g)).cast(kind) for g in range(max(values) + 1)]
+        return F.get(F.array(*items), F.col(f"{feature}__g"))
+
     def transform(self, df: DataFrame, output: str = "both") -> DataFrame:
         """Adds ``<feature>_grp`` and/or ``<feature>_woe`` for every fitted feature.
 
@@ -275,28 +318,13 @@ class Classing:
         """
         if output not in ("group", "woe", "both"):
             raise ValueError("output must be 'group', 'woe' or 'both'")
-        based = self._base(df)
         columns: list[Column] = []
         for feature in [f for f in self.features if f in df.columns]:
-            rows = self.of(feature)
-            base = F.col(f"{feature}__base")
-            if len(rows) > LITERAL_CLASSES:
-                mapping = self.groups_frame(df.sparkSession).where(F.col("feature") == feature).select(
-                    F.col("bin").alias(f"{feature}__base"), F.col("label").alias(f"_{feature}_label"),
-                    F.col("woe").alias(f"_{feature}_woe"))
-                based = lookup_join(based, mapping, f"{feature}__base")
-                label, woe = F.col(f"_{feature}_label"), F.col(f"_{feature}_woe")
-            else:
-                label = S.recode(base, {r["bin"]: r["label"] for r in rows})
-                seen = {r["bin"]: r["woe"] for r in rows if r["woe"] is not None}
-                woe = S.recode(base, seen)
-            spare = next(r for r in rows if r["bin"] == self._fallback(feature))
-            known = label.isNotNull()
             if output != "woe":
-                columns.append(F.coalesce(label, F.lit(spare["label"])).alias(f"{feature}_grp"))
+                columns.append(self._by_group(feature, "label").alias(f"{feature}_grp"))
             if output != "group":
-                columns.append(F.when(known, woe).otherwise(F.lit(spare["woe"])).alias(f"{feature}_woe"))
-        return based.select(*df.columns, *columns)
+                columns.append(self._by_group(feature, "woe").alias(f"{feature}_woe"))
+        return self._with_groups(df).select(*df.columns, *columns)
 
     def indicator_names(self) -> dict[str, list[tuple[str, str]]]:
         """Per feature the (column name, group label) of its indicators."""
@@ -309,13 +337,15 @@ class Classing:
 
     def indicators(self, df: DataFrame, keep: Sequence[str] = ("id", "good_bad")) -> DataFrame:
         """One 0/1 column per final group, the same for any frame."""
-        grouped = self.transform(df, "group")
-        flags = [
-            F.when(F.col(f"{feature}_grp") == F.lit(label), 1).otherwise(0).alias(column)
-            for feature, pairs in self.indicator_names().items() if feature in df.columns
-            for column, label in pairs
-        ]
-        return grouped.select(*keep, *flags)
+        flags = []
+        for feature, pairs in self.indicator_names().items():
+            if feature in df.columns:
+                numbers = sorted({r["grp"] for r in self.of(feature) if r["woe"] is not None})
+                flags += [
+                    F.when(F.col(f"{feature}__g") == g, 1).otherwise(0).alias(column)
+                    for g, (column, _) in zip(numbers, pairs)
+                ]
+        return self._with_groups(df).select(*keep, *flags)
 
     # --- storage -----------------------------------------------------------------------
 

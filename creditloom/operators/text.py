@@ -88,24 +88,27 @@ def token_counts(df: DataFrame, tokens: str, k: int | None = None) -> DataFrame:
     return exploded.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
-def term_statistics(df: DataFrame, tokens: str, key: str = "id", label: str | None = None) -> DataFrame:
+def term_statistics(df: DataFrame, tokens: str, label: str | None = None) -> DataFrame:
     """Per token: document frequency and summed term frequency (per class).
 
-    Terms are counted inside each document first; the second shuffle then
-    carries one partly summed row per token and task, so a word that is in
-    every document is no hot key.
+    Each row gives its tokens, and its distinct tokens once more as document
+    marks. Both are summed in one aggregate, so the shuffle carries one partly
+    summed row per token and task; (document, token) pairs are never shuffled,
+    and a word that is in every document is no hot key.
     """
-    keep = [key] + ([label] if label else [])
-    per_document = (
-        unnest(df, keep, tokens, "token")
-        .groupBy(*keep, "token").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    measures = [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")]
+    def marks(words_: Column, tf: int, df_: int) -> Column:
+        return F.transform(words_, lambda t: F.struct(t.alias("token"), F.lit(tf).alias("tf"), F.lit(df_).alias("df")))
+
+    keep = [label] if label else []
+    marked = df.select(*keep, tokens).select(
+        *keep, F.concat(marks(F.col(tokens), 1, 0), marks(F.array_distinct(tokens), 0, 1)).alias("_m"))
+    rows = unnest(marked, keep, "_m", "m").select(*keep, "m.token", "m.tf", "m.df")
+    measures = [F.sum("df").alias("df"), F.sum("tf").alias("tf")]
     if label:
         for side, value in (("bad", 0), ("good", 1)):
             part = F.sum(F.when(F.col(label) == value, F.col("tf")).otherwise(0))
             measures.append(part.alias(f"tf_{side}"))
-    return per_document.groupBy("token").agg(*measures)
+    return rows.groupBy("token").agg(*measures)
 
 
 def idf(document_frequency: Column, documents: Column, min_doc_freq: int = 0) -> Column:
@@ -114,18 +117,18 @@ def idf(document_frequency: Column, documents: Column, min_doc_freq: int = 0) ->
     return F.when(document_frequency >= min_doc_freq, weight).otherwise(F.lit(0.0))
 
 
-def mean_tfidf(df: DataFrame, tokens: str, *, key: str = "id", min_doc_freq: int = 0) -> DataFrame:
+def mean_tfidf(df: DataFrame, tokens: str, *, min_doc_freq: int = 0) -> DataFrame:
     """Mean TF-IDF weight per token over all documents.
 
     The mean needs sums only, so the weights are never joined back to documents.
     """
     n = df.agg(F.count(F.lit(1))).scalar()
-    stats = term_statistics(df, tokens, key)
+    stats = term_statistics(df, tokens)
     weight = idf(F.col("df"), n, min_doc_freq)
     return stats.select("token", "df", "tf", weight.alias("idf"), (F.col("tf") * weight / n).alias("mean_tfidf"))
 
 
-def tfidf_contrast(df: DataFrame, tokens: str, label: str = "good_bad", *, key: str = "id",
+def tfidf_contrast(df: DataFrame, tokens: str, label: str = "good_bad", *,
                    min_doc_freq: int = 0) -> DataFrame:
     """Mean TF-IDF in defaults minus mean in the others, per token."""
     sizes = df.agg(F.struct(
@@ -135,7 +138,7 @@ def tfidf_contrast(df: DataFrame, tokens: str, label: str = "good_bad", *, key:
     bad = F.col("tf_bad") * weight / F.greatest(sizes["bad"], F.lit(1))
     good = F.col("tf_good") * weight / F.greatest(sizes["good"], F.lit(1))
     return (
-        term_statistics(df, tokens, key, label)
+        term_statistics(df, tokens, label)
         .select("token", "df", bad.alias("mean_bad"), good.alias("mean_good"))
         .withColumn("difference", F.col("mean_bad") - F.col("mean_good"))
     )
@@ -210,16 +213,11 @@ def extract_by_distance(df: DataFrame, text: str, vectors: DataFrame, knowledge_
     scores = centroids.where("n_known >= 2").select(
         key, "pos", cosine(vector_to_array("v"), centre).alias("score")
     )
-    ranked = (
-        lines.join(scores, [key, "pos"], "left")
-        .select(key, F.struct(
-            F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("rank"), "pos", "sentence").alias("s"))
-    )
-    order = Window.partitionBy(key).orderBy("s.rank", "s.pos")
+    rank = F.coalesce(-F.col("score"), F.lit(float("inf")))
     best = (
-        ranked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
-        .groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("_s"))
-        .select(key, F.array_join(F.transform("_s", lambda s: s["sentence"]), " ").alias(out))
+        lines.join(scores, [key, "pos"], "left")
+        .groupBy(key).agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "pos", "sentence"))).alias("_s"))
+        .select(key, F.array_join(F.transform(F.slice("_s", 1, keep), lambda s: s["sentence"]), " ").alias(out))
     )
     return df.join(best, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
@@ -308,17 +306,17 @@ def encode_sequences(df: DataFrame, tokens: str, vocab: DataFrame, *, key: str =
                      length: int = K.SEQUENCE_LENGTH, out: str = "sequence") -> DataFrame:
     """Fixed-length code arrays: cut after ``length`` tokens, padded with 0 at the end.
 
-    The vocabulary has a fixed size and is broadcast; codes of one row are
-    gathered inside the task that read it, then sent once.
+    Gives ``(key, out)``. The vocabulary has a fixed size and is broadcast; the
+    codes of a row are gathered in the task that read it, then sent once. An
+    empty row stays through the outer explode, so nothing is joined back.
     """
-    cut = unnest(df, [key], F.slice(tokens, 1, length), "pos", "token")
-    coded = cut.join(F.broadcast(vocab), "token", "left").select(
-        key, F.struct("pos", F.coalesce("code", F.lit(1)).alias("code")).alias("c"))
-    lists = coded.groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("_c")).select(
-        key, F.transform("_c", lambda c: c["code"]).alias("_codes"))
-    padded = F.slice(F.concat(F.coalesce("_codes", F.array().cast("array<int>")),
-                              F.array_repeat(F.lit(0), length)), 1, length)
-    return df.join(lists, key, "left").withColumn(out, padded).drop("_codes")
+    cut = df.select(key, F.posexplode_outer(F.slice(tokens, 1, length)).alias("pos", "token"))
+    coded = cut.join(F.broadcast(vocab), "token", "left")
+    code = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("code", F.lit(1)).alias("code")))
+    lists = coded.groupBy(key).agg(F.sort_array(F.collect_list(code)).alias("_c"))
+    codes = F.transform("_c", lambda c: c["code"])
+    padded = F.slice(F.concat(codes, F.array_repeat(F.lit(0), length)), 1, length)
+    return lists.select(key, padded.alias(out))
 
 
 # --- value buckets and clusters ----------------------------------------------------------
