@@ -228,10 +228,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def unit(vector: Column | str) -> Column:
+    """The vector divided by its length; NULL when it has none."""
+    vector = S.col_of(vector)
+    length = F.sqrt(dot(vector, vector))
+    return F.when(length > 0, F.transform(vector, lambda x: x / length))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 when either has no length."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
+    return unit_cosine(unit(a), unit(b))
+
+
+def unit_cosine(a: Column, b: Column) -> Column:
+    return F.coalesce(dot(a, b), F.lit(0.0))
 
 
 def cosine_matrix(vectors: DataFrame, words_: Sequence[str] | None = None,
@@ -244,11 +254,11 @@ def cosine_matrix(vectors: DataFrame, words_: Sequence[str] | None = None,
     chosen = vectors if words_ is None else vectors.where(F.col(word).isin(list(words_)))
     if chosen.limit(limit + 1).count() > limit:
         raise ValueError(f"a cosine matrix of more than {limit} words was asked for")
-    pairs = F.struct(F.col(word).alias("w"), F.col(vector).alias("v"))
-    others = chosen.agg(F.collect_list(pairs)).scalar()
+    scaled = chosen.select(F.col(word).alias("w"), unit(vector).alias("v"))
+    others = scaled.agg(F.collect_list(F.struct("w", "v"))).scalar()
     return (
-        chosen.select(F.col(word).alias("word_a"), F.col(vector).alias("_a"), F.explode(others).alias("_o"))
-        .select("word_a", F.col("_o.w").alias("word_b"), cosine(F.col("_a"), F.col("_o.v")).alias("cosine"))
+        scaled.select(F.col("w").alias("word_a"), "v", F.explode(others).alias("_o"))
+        .select("word_a", F.col("_o.w").alias("word_b"), unit_cosine(F.col("v"), F.col("_o.v")).alias("cosine"))
     )
 
 
@@ -262,11 +272,11 @@ def nearest(vectors: DataFrame, seeds: DataFrame, k: int = 5, *, word: str = "wo
     """
     if seeds.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} seeds")
-    array = seeds.agg(F.collect_list(F.struct(F.col(word).alias("w"), F.col(vector).alias("v")))).scalar()
+    array = seeds.agg(F.collect_list(F.struct(F.col(word).alias("w"), unit(vector).alias("v")))).scalar()
     scored = (
-        vectors.select(F.col(word).alias("word"), F.col(vector).alias("_v"), F.explode(array).alias("_s"))
+        vectors.select(F.col(word).alias("word"), unit(vector).alias("_v"), F.explode(array).alias("_s"))
         .where(F.col("_s.w") != F.col("word"))
-        .select(F.col("_s.w").alias("seed"), "word", cosine(F.col("_v"), F.col("_s.v")).alias("cosine"))
+        .select(F.col("_s.w").alias("seed"), "word", unit_cosine(F.col("_v"), F.col("_s.v")).alias("cosine"))
     )
     order = Window.partitionBy("seed").orderBy(F.desc(F.round("cosine", 9)), "word")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

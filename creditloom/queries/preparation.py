@@ -11,6 +11,7 @@ from creditloom.operators import profile as E
 from creditloom.operators import text as X
 from creditloom.plans import views as V
 from creditloom.queries.registry import query, sql_on
+from creditloom.session import cut_lineage
 
 
 def r(c, digits=6):
@@ -430,10 +431,13 @@ SELECT CASE WHEN ((id % 2147483647) * 48271 % 2147483647) % 1000 < 800 THEN 'tra
   COUNT(*) AS n, CAST(SUM(1 - good_bad) AS BIGINT) AS defaults
 FROM loan_text WHERE desc_ IS NOT NULL AND desc_ <> '' GROUP BY 1"""))
 def text_present_split(spark, d):
-    """Ids with text over train and test, kept by a semi join and split again."""
-    texts = V.loan_text(spark, d)
-    train, test = P.stable_split(texts, train=0.5)
-    ids = P.id_union(X.text_present(train, "desc_"), X.text_present(test, "desc_"))
+    """Ids with text over train and test, kept by a semi join and split again.
+
+    The flag is written once, so the texts are read once.
+    """
+    flagged = V.loan_text(spark, d).select("id", "good_bad", S.missing_flag("desc_").alias("desc_missing"))
+    train, test = P.stable_split(cut_lineage(flagged, "text-flags"), train=0.5)
+    ids = P.id_union(train.where("desc_missing = 0"), test.where("desc_missing = 0"))
     kept = P.restrict_to(P.stack_frames(train, test), ids)
     again = P.stable_split(kept)
     parts = [part.select(F.lit(name).alias("part"), "good_bad") for name, part in zip(("train", "test"), again)]
