@@ -213,13 +213,15 @@ def extract_by_distance(df: DataFrame, text: str, vectors: DataFrame, knowledge_
     scores = centroids.where("n_known >= 2").select(
         key, "pos", cosine(vector_to_array("v"), centre).alias("score")
     )
-    rank = F.coalesce(-F.col("score"), F.lit(float("inf")))
-    best = (
-        lines.join(scores, [key, "pos"], "left")
-        .groupBy(key).agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "pos", "sentence"))).alias("_s"))
-        .select(key, F.array_join(F.transform(F.slice("_s", 1, keep), lambda s: s["sentence"]), " ").alias(out))
-    )
-    return df.join(best, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    # Scores go back to their text as one small map per row, so sentences are
+    # ranked inside the row and never shuffled themselves.
+    by_row = scores.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "score"))).alias("_scores"))
+    ranked = F.transform(sentences(text), lambda s, i: F.struct(
+        F.coalesce(-F.col("_scores")[i], F.lit(float("inf"))).alias("rank"), i.alias("pos"), s.alias("sentence")))
+    best = F.slice(F.array_sort(ranked), 1, keep)
+    chosen = F.array_join(F.transform(best, lambda b: b["sentence"]), " ")
+    return df.join(by_row, key, "left").withColumn(out, F.coalesce(chosen, F.lit(""))).drop("_scores")
 
 
 # --- vectors -------------------------------------------------------------------------

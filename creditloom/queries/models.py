@@ -198,6 +198,15 @@ def skinny_text_frame(spark, d):
     return frame.select("id", "good_bad", "title", "desc_missing", "text_score", F.round(total, 5).alias("total"))
 
 
+@query("variant_frame", sql_on("loan_book", "loan_text", body="""
+SELECT b.id, b.good_bad, b.funded_amnt, CASE WHEN t.desc_ IS NULL OR trim(t.desc_) = '' THEN 1 ELSE 0 END AS desc_missing
+FROM loan_book b JOIN loan_text t ON b.id = t.id"""))
+def variant_frame(spark, d):
+    """Structured rows with just the text columns a variant uses."""
+    text = V.loan_text(spark, d).select("id", "title", "lang", S.missing_flag("desc_").alias("desc_missing"))
+    return M.variant_frame(V.loan_book(spark, d, "id", "good_bad", "funded_amnt"), ["funded_amnt"], text, ["desc_missing"])
+
+
 ONE_WAY = f"""
 t AS (SELECT *, CASE WHEN funded_amnt > 0 THEN total_rec_prncp / funded_amnt ELSE 0.0 END AS rr FROM loan_book),
 targets AS (SELECT *, greatest(0.001, least(0.999, 1 - rr)) AS lgd, funded_amnt * greatest(0.0, least(1.0, rr)) AS ead FROM t)"""

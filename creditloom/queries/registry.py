@@ -16,7 +16,7 @@ CTES = {
     "loan_book": """
 loan_lines AS (
   SELECT l_orderkey, COUNT(*) AS n, SUM(l_extendedprice * (1 - l_discount)) AS rec,
-         AVG(l_discount) AS disc
+         CAST(SUM(CAST(ROUND(l_discount * 100) AS BIGINT)) AS DOUBLE) / COUNT(*) / 100 AS disc
   FROM lineitem GROUP BY l_orderkey),
 loan_book AS (
   SELECT o.o_orderkey AS id, o.o_orderstatus AS loan_status,
