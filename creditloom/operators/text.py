@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -190,9 +191,10 @@ def extract_by_distance(df: DataFrame, text: str, vectors: DataFrame, knowledge_
                         *, key: str = "id", keep: int = 2, out: str = "extracted") -> DataFrame:
     """Like :func:`extract_by_match`, ranked by cosine to the knowledge-base centroid.
 
-    ``vectors(word, vector)`` holds ML vectors. Words are counted per sentence
-    before they meet their vectors; a sentence with fewer than two known words
-    goes last.
+    ``vectors(word, vector)`` holds ML vectors. With a broadcast vector table the
+    words of a sentence are summed in the task that read it; a larger table is
+    joined over salted words. A sentence with fewer than two known words goes
+    last.
     """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -200,19 +202,24 @@ def extract_by_distance(df: DataFrame, text: str, vectors: DataFrame, knowledge_
     # One vector of a fixed, small width.
     found = vectors.where(F.col("word").isin(list(knowledge_base))).agg(
         Summarizer.mean(F.col("vector")).alias("c")).first()["c"]
-    centre = F.array(*[F.lit(float(x)) for x in found])
+    if found is None:
+        raise ValueError("no word of the knowledge base has a vector")
+    centre = [float(x) for x in found]
+    dims = range(len(centre))
     lines = unnest(df, [key], sentences(text), "pos", "sentence")
-    tokens = (
-        unnest(lines, [key, "pos"], long_words(F.col("sentence")), "word")
-        .groupBy(key, "pos", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
-    known = lookup_join(tokens, vectors.select("word", "vector"), "word", "inner", salt_by=key)
-    centroids = known.groupBy(key, "pos").agg(
-        Summarizer.mean(F.col("vector"), F.col("n")).alias("v"), F.sum("n").alias("n_known")
-    )
-    scores = centroids.where("n_known >= 2").select(
-        key, "pos", cosine(vector_to_array("v"), centre).alias("score")
-    )
+    tokens = unnest(lines, [key, "pos"], long_words(F.col("sentence")), "word")
+    # One number column per dimension: sums then stay in Spark's own hash
+    # aggregate instead of one object per sentence.
+    array = vectors.select("word", vector_to_array("vector").alias("_v"))
+    table = array.select("word", *[F.col("_v")[i].alias(f"_v{i}") for i in dims])
+    known = lookup_join(tokens, table, "word", "inner", salt_by=key)
+    summed = known.groupBy(key, "pos").agg(
+        F.count(F.lit(1)).alias("n_known"), *[F.sum(f"_v{i}").alias(f"_s{i}") for i in dims])
+    length = F.sqrt(sum(F.col(f"_s{i}") * F.col(f"_s{i}") for i in dims))
+    along = sum(F.col(f"_s{i}") * F.lit(c) for i, c in zip(dims, centre))
+    size = math.sqrt(sum(c * c for c in centre))
+    score = F.when((length > 0) & F.lit(size > 0), along / (length * F.lit(size or 1.0))).otherwise(F.lit(0.0))
+    scores = summed.where("n_known >= 2").select(key, "pos", score.alias("score"))
     # Scores go back to their text as one small map per row, so sentences are
     # ranked inside the row and never shuffled themselves.
     by_row = scores.groupBy(key).agg(
