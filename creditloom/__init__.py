@@ -1,3 +1,11 @@
 """creditloom: credit scorecards, text features and expected loss as Spark jobs."""
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+# Functions of this package travel to executors by value: no installation there,
+# and no dependence on the folder that workers start in.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
