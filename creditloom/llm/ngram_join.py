@@ -22,6 +22,8 @@ WORDS = 3
 PERCENT = 90
 FRAGMENTS = 4
 SKETCH = 65_536
+# Shingles that a pair must share among its first ones to be compared.
+SHARED_FIRST = 3
 
 
 def sets_of(batch_column: pa.Array, words: int) -> list[np.ndarray]:
@@ -104,6 +106,11 @@ def overlaps(source: DataFrame, pairs: DataFrame, sketch: np.ndarray, words: int
     return summed.where(linked("shared", "n_a", "n_b", percent)).select("a", "b")
 
 
+def often(pairs: DataFrame, times: int) -> DataFrame:
+    """Pairs that occur at least ``times`` times, once each; counted in each task before the shuffle."""
+    return pairs.groupBy("a", "b", "id_a", "id_b", "n_a", "n_b").count().where(F.col("count") >= times).drop("count")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id``.
 
@@ -118,9 +125,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Equal sets are one node. Every node of a shingle's group is first compared
     with one hub of the group only, which joins a tight group of any size by
     as many pairs as it has nodes. Then all pairs of one group are compared that
-    are still in different components and can reach the threshold by their sizes and
-    by the place of the shared shingle. No link between components is lost.
+    are still in different components and can reach the threshold by their sizes, by
+    the places of the shared shingles, and by their number: linked sets of size
+    ``n`` share ``k`` of their first ``n - ceil(percent * n / 100) + k`` shingles. No
+    link between components is lost.
     """
+    # Different sets that link share at least percent / (100 - percent) shingles.
+    shared_first = SHARED_FIRST
+    while shared_first > 1 and shared_first * (100 - percent) > percent:
+        shared_first -= 1
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = shingle_sketch(source.select("text"), words)
     shipped = source.sparkSession.sparkContext.broadcast(sketch)
@@ -131,7 +144,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             n = len(own)
             sizes.append(n)
             keys.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
-            first = n - (percent * n + 99) // 100 + 1 if n else 0
+            first = n - (percent * n + 99) // 100 + shared_first if n else 0
             order = np.lexsort((own, shipped.value[places(own)]))[:first]
             firsts.append(own[order].view(np.int64))
         return [batch.column(0), sizes, keys, firsts]
@@ -155,10 +168,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "join-groups",
     )
     near_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    # The first shingle that two sets share leaves them at most as many as stand from it on, the next ones one less each.
+    reach = (
+        f"{100 + percent} * (least(n_a - place_a, n_b - place_b) + {shared_first - 1}) >= {percent} * (n_a + n_b)"
+    )
     spokes = shared.where("key <> hub.key").selectExpr(
         "least(key, hub.key) AS a", "greatest(key, hub.key) AS b", "IF(key < hub.key, id, hub.id) AS id_a",
         "IF(key < hub.key, hub.id, id) AS id_b", "IF(key < hub.key, n, hub.n) AS n_a", "IF(key < hub.key, hub.n, n) AS n_b",
-    ).where(near_size).distinct()
+        "IF(key < hub.key, place, hub.place) AS place_a", "IF(key < hub.key, hub.place, place) AS place_b",
+    ).where(f"{near_size} AND {reach}")
+    spokes = often(spokes, shared_first)
     spokes = cut_lineage(spokes, "join-spokes")
     links = cut_lineage(overlaps(source, spokes, sketch, words, fragments, percent), "join-links")
     labels = components(links, "join-first")
@@ -175,8 +194,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "explode(array(band, band + 1)) AS band",
     )
     b = open_groups.selectExpr("shingle", "key AS key_y", "id AS id_y", "n AS n_b", "place AS place_b", "label AS label_b", "band")
-    # The first shingle that two sets share leaves them at most as many as stand from it on.
-    reach = f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
     rest = a.join(
         b.withColumnRenamed("shingle", "shingle_b").withColumnRenamed("band", "band_b"),
         F.expr(
@@ -187,7 +204,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = rest.selectExpr(
         "least(key_x, key_y) AS a", "greatest(key_x, key_y) AS b", "IF(key_x < key_y, id_x, id_y) AS id_a",
         "IF(key_x < key_y, id_y, id_x) AS id_b", "IF(key_x < key_y, n_a, n_b) AS n_a", "IF(key_x < key_y, n_b, n_a) AS n_b",
-    ).distinct()
+    )
+    rest = often(rest, shared_first)
     rest = cut_lineage(rest.join(spokes.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
     more = overlaps(source, rest, sketch, words, fragments, percent)
     labels = components(links.union(more), "join-last")
