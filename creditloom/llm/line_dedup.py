@@ -60,63 +60,100 @@ def probe_plan(length: int, edits: int) -> list[tuple[int, int, int, int, int]]:
     return plan
 
 
-def within_edits(left: list[str], right: list[str], edits: int) -> np.ndarray:
-    """For pairs of lines, whether their edit distance is at most ``edits``; all pairs at once.
+def code_points(line: str) -> np.ndarray:
+    """Code points plus one, so that 0 can stand for no character."""
+    return np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32) + np.uint32(1)
+
+
+def within_edits(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.ndarray:
+    """For pairs of lines as ``code_points``, whether their edit distance is at most ``edits``; all pairs at once.
 
     A banded bit-parallel recurrence: each pair is one 64-bit word that holds the
     vertical differences in a band of ``2 * edits + 1`` cells around the diagonal,
-    one step per character. Lines must have ``edits`` characters or more.
+    one step per character. Equal ends are left out, and a pair is given up when
+    all of its band exceeds ``edits``. Lines must have ``edits`` characters or more.
     """
-    pairs = len(left)
-    if not pairs:
+    if not left:
         return np.zeros(0, dtype=bool)
-    a = [x if len(x) >= len(y) else y for x, y in zip(left, right, strict=True)]
-    b = [y if len(x) >= len(y) else x for x, y in zip(left, right, strict=True)]
+    swap = [len(x) < len(y) for x, y in zip(left, right, strict=True)]
+    a = [y if s else x for x, y, s in zip(left, right, swap, strict=True)]
+    b = [x if s else y for x, y, s in zip(left, right, swap, strict=True)]
     rows, columns = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    wide = int(rows.max()) + edits + 1
-    padded_a = np.zeros((pairs, wide + edits), dtype=np.uint32)  # edits places before the first character
-    padded_b = np.full((pairs, wide), 0xFFFFFFFF, dtype=np.uint32)
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        padded_a[k, edits : edits + len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32) + 1
-        padded_b[k, : len(y)] = np.frombuffer(y.encode("utf-32-le"), dtype=np.uint32) + 1
-    result = np.zeros(pairs, dtype=bool)
-    alive = np.flatnonzero(rows - columns <= edits)
-    one, top = np.uint64(1), 63
-    band = 2 * edits + 1
-    vp = np.full(pairs, (((1 << (edits + 1)) - 1) << (top - edits)), dtype=np.uint64)
-    vn = np.zeros(pairs, dtype=np.uint64)
-    distance = np.full(pairs, edits, dtype=np.int64)
+    result = np.zeros(len(a), dtype=bool)
+    chosen = np.flatnonzero(rows - columns <= edits)
+    if not len(chosen):
+        return result
+    start, end = differing(a, b, rows, columns, chosen, edits)
+    # What equal ends leave of each pair, with ``edits`` places before the first row.
+    rows, columns = end - start, end - start - (rows[chosen] - columns[chosen])
+    padded_a = np.zeros((len(chosen), int(rows.max()) + 2 * edits + 1), dtype=np.uint32)
+    padded_b = np.full((len(chosen), int(rows.max()) + 1), 0xFFFFFFFF, dtype=np.uint32)
+    for k, which in enumerate(chosen):
+        padded_a[k, edits : edits + rows[k]] = a[which][start[k] : start[k] + rows[k]]
+        padded_b[k, : columns[k]] = b[which][start[k] : start[k] + columns[k]]
+    # Columns first: each step reads one line of memory.
+    padded_a, padded_b = np.ascontiguousarray(padded_a.T), np.ascontiguousarray(padded_b.T)
+    one, top, band = np.uint64(1), 63, 2 * edits + 1
+    alive = np.arange(len(chosen))
+    vp = np.full(len(chosen), ((1 << (edits + 1)) - 1) << (top - edits), dtype=np.uint64)
+    vn = np.zeros(len(chosen), dtype=np.uint64)
+    distance = np.full(len(chosen), edits, dtype=np.int64)
     corner = rows - edits  # columns that move down the band's lower edge
     for column in range(int(columns.max())):
-        if not len(alive):
-            break
-        symbol = padded_b[alive, column]
+        symbol = padded_b[column]
         match = np.zeros(len(alive), dtype=np.uint64)
-        for r in range(band):  # row column + 1 - edits + r, at bit top - 2 * edits + r
-            match |= (padded_a[alive, column + r] == symbol).astype(np.uint64) << np.uint64(top - 2 * edits + r)
-        p, n = vp[alive], vn[alive]
-        d0 = (((match & p) + p) ^ p) | match | n
-        hp = n | ~(d0 | p)
-        hn = d0 & p
-        down = column < corner[alive]
+        for r in range(band):  # row column - edits + r, at bit top - 2 * edits + r
+            match |= (padded_a[column + r] == symbol).astype(np.uint64) << np.uint64(top - 2 * edits + r)
+        d0 = (((match & vp) + vp) ^ vp) | match | vn
+        hp = vn | ~(d0 | vp)
+        hn = d0 & vp
+        down = column < corner
         step_down = 1 - (d0 >> np.uint64(top)).astype(np.int64)
-        bit = np.maximum(0, top - 1 - (column - corner[alive])).astype(np.uint64)
+        bit = np.maximum(0, top - 1 - np.maximum(0, column - corner)).astype(np.uint64)
         step_right = ((hp >> bit) & one).astype(np.int64) - ((hn >> bit) & one).astype(np.int64)
-        distance[alive] += np.where(down, step_down, step_right)
+        distance += np.where(down, step_down, step_right)
         shifted = d0 >> one
-        vp[alive] = hn | ~(shifted | hp)
-        vn[alive] = shifted & hp
-        ended = columns[alive] == column + 1
-        result[alive[ended]] = distance[alive[ended]] <= edits
+        vp = hn | ~(shifted | hp)
+        vn = shifted & hp
+        ended = columns == column + 1
         keep = ~ended
-        if column % 16 == 15:  # what is left can lower the distance by the band's width at most
-            keep &= distance[alive] <= edits + 2 * edits
-        alive = alive[keep]
-    result[columns == 0] = rows[columns == 0] <= edits
+        if ended.any():
+            result[chosen[alive[ended]]] = distance[ended] <= edits
+        if column % 4 == 3:
+            # The least value in the band cannot fall any more; walk up from its lower edge.
+            least, value = distance.copy(), distance.copy()
+            for step in range(2 * edits):
+                at = np.uint64(top - 1 - step)
+                value -= ((vp >> at) & one).astype(np.int64) - ((vn >> at) & one).astype(np.int64)
+                least = np.minimum(least, value)
+            keep &= ~down | (least <= edits)
+        if not keep.all():
+            alive, vp, vn, distance = alive[keep], vp[keep], vn[keep], distance[keep]
+            rows, columns, corner = rows[keep], columns[keep], corner[keep]
+            padded_a, padded_b = padded_a[:, keep], padded_b[:, keep]
+            if not len(alive):
+                break
     return result
 
 
-def spanning_links(index: list[tuple[bytes, str]], probe: list[tuple[bytes, str]], edits: int) -> list[tuple[bytes, bytes]]:
+def differing(a: list, b: list, rows: np.ndarray, columns: np.ndarray, chosen: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where pairs start and end to differ, in the longer line, with ``edits`` equal places kept at both ends."""
+    start, end = np.zeros(len(chosen), np.int64), rows[chosen].astype(np.int64)
+    for k, which in enumerate(chosen):
+        x, y = a[which], b[which]
+        size = len(y)
+        unequal = np.flatnonzero(x[:size] != y)
+        front = int(unequal[0]) if len(unequal) else size
+        unequal = np.flatnonzero(x[len(x) - size :] != y)
+        back = size - 1 - int(unequal[-1]) if len(unequal) else size
+        front = max(0, min(front, size) - edits)
+        back = max(0, min(back, size - front) - edits)
+        start[k] = front
+        end[k] -= back
+    return start, end
+
+
+def spanning_links(index: list[tuple[bytes, np.ndarray]], probe: list[tuple[bytes, np.ndarray]], edits: int) -> list[tuple[bytes, bytes]]:
     """Links between two lists of distinct lines, without those that other links imply."""
     parent: dict[bytes, bytes] = {}
 
@@ -161,10 +198,11 @@ def verified(rows: DataFrame, edits: int) -> DataFrame:
                 if (key, i, p) != current:
                     out += spanning_links(index, probe, edits)
                     current, index, probe = (key, i, p), [], []
+                entry = (digest, code_points(line))
                 if role != PROBE:
-                    index.append((digest, line))
+                    index.append(entry)
                 if role != INDEX:
-                    probe.append((digest, line))
+                    probe.append(entry)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"]
             )
@@ -266,7 +304,9 @@ def near_lines(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
         "key", "number", F.explode(all_i).alias("block_i"), own_p.cast("int").alias("block_p"), F.lit(PROBE).alias("role")
     )
     placed = as_index.union(as_probe).join(lines, "number").select("key", "block_i", "block_p", "role", "digest", "line")
-    sorted_rows = placed.repartition("key", "block_i", "block_p").sortWithinPartitions("key", "block_i", "block_p")
+    # Few bytes but much work: as many tasks as the session's shuffles have, not fewer.
+    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = placed.repartition(tasks, "key", "block_i", "block_p").sortWithinPartitions("key", "block_i", "block_p")
     return cut_lineage(verified(sorted_rows, edits).distinct(), "lines-links")
 
 
