@@ -23,7 +23,7 @@ PERCENT = 90
 FRAGMENTS = 4
 SKETCH = 65_536
 # Shingles that a pair must share among its first ones to be compared.
-SHARED_FIRST = 3
+SHARED_FIRST = 5
 
 
 def sets_of(batch_column: pa.Array, words: int) -> list[np.ndarray]:
@@ -72,10 +72,10 @@ def linked(overlap: str, a: str, b: str, percent: int) -> str:
     return f"100 * {overlap} >= {percent} * ({a} + {b} - {overlap})"
 
 
-def overlaps(source: DataFrame, pairs: DataFrame, sketch: np.ndarray, words: int, fragments: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` among ``pairs(a, b, id_a, id_b, n_a, n_b)`` by the sum of their overlaps per fragment."""
-    wanted = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
-    wanted = cut_lineage(wanted, "join-wanted")
+def overlaps(source: DataFrame, pairs: DataFrame, sets: DataFrame, sketch: np.ndarray, words: int, fragments: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` among ``pairs(a, b, n_a, n_b)`` of ``sets(node, key, id)`` by the sum of their overlaps per fragment."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut_lineage(wanted.join(sets.select("node", "key", "id"), "node"), "join-wanted")
     shipped = source.sparkSession.sparkContext.broadcast(fragment_of_class(sketch, fragments))
 
     def split(batch):
@@ -93,14 +93,15 @@ def overlaps(source: DataFrame, pairs: DataFrame, sketch: np.ndarray, words: int
                     items.append(chosen.view(np.int64))
         return [keys, parts, items]
 
-    texts = semi_join_keys(source, wanted, "id")
+    texts = semi_join_keys(source, wanted.select("id").distinct(), "id")
     pieces = arrow_map(texts, split, "key binary, fragment int, items array<long>")
     # Documents with equal sets give equal pieces; any one of them serves.
     pieces = cut_lineage(pieces.groupBy("key", "fragment").agg(F.first("items").alias("items")), "join-fragments")
-    left = pairs.select("a", "b", "n_a", "n_b").join(
-        pieces.select(F.col("key").alias("a"), "fragment", F.col("items").alias("items_a")), "a"
+    keyed = pairs.join(wanted.select(F.col("node").alias("a"), F.col("key").alias("key_a")), "a").join(
+        wanted.select(F.col("node").alias("b"), F.col("key").alias("key_b")), "b"
     )
-    both = left.join(pieces.select(F.col("key").alias("b"), "fragment", F.col("items").alias("items_b")), ["b", "fragment"])
+    left = keyed.join(pieces.select(F.col("key").alias("key_a"), "fragment", F.col("items").alias("items_a")), "key_a").drop("key_a")
+    both = left.join(pieces.select(F.col("key").alias("key_b"), "fragment", F.col("items").alias("items_b")), ["key_b", "fragment"])
     partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).alias("shared"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     return summed.where(linked("shared", "n_a", "n_b", percent)).select("a", "b")
@@ -108,7 +109,7 @@ def overlaps(source: DataFrame, pairs: DataFrame, sketch: np.ndarray, words: int
 
 def often(pairs: DataFrame, times: int) -> DataFrame:
     """Pairs that occur at least ``times`` times, once each; counted in each task before the shuffle."""
-    return pairs.groupBy("a", "b", "id_a", "id_b", "n_a", "n_b").count().where(F.col("count") >= times).drop("count")
+    return pairs.groupBy("a", "b", "n_a", "n_b").count().where(F.col("count") >= times).drop("count")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -155,16 +156,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         ),
         "join-prefixes",
     )
-    sets = table.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"))
+    # A set is named by the smallest row that has it.
+    sets = table.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("row").alias("node"))
     sets = cut_lineage(sets, "join-sets")
-    nodes = table.select("row", "firsts").join(sets, "row").select("key", "id", "n", F.posexplode("firsts").alias("place", "shingle"))
-    group = Window.partitionBy("shingle")
+    nodes = table.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), "firsts").join(sets.select("node"), "node")
+    nodes = nodes.select("node", "n", F.posexplode("firsts").alias("place", "shingle"))
+    # A node stays in a shingle's group if its neighbours by size can reach the threshold with it.
+    by_size = Window.partitionBy("shingle").orderBy("n")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # The node with the fewest rarer shingles of its own is the likely origin of a group of copies.
-    member = F.struct("place", "key", "id", "n")
+    member = F.struct("place", "node", "n")
     shared = cut_lineage(
         nodes.repartition("shingle").select(
-            "shingle", "key", "id", "n", "place", F.count(F.lit(1)).over(group).alias("size"), F.min(member).over(group).alias("hub")
-        ).where("size > 1"),
+            "*", F.lag("n").over(by_size).alias("smaller"), F.lead("n").over(by_size).alias("larger"), F.min(member).over(whole).alias("hub")
+        ).where(f"100 * smaller >= {percent} * n OR 100 * n >= {percent} * larger").drop("smaller", "larger"),
         "join-groups",
     )
     near_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
@@ -172,46 +177,46 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reach = (
         f"{100 + percent} * (least(n_a - place_a, n_b - place_b) + {shared_first - 1}) >= {percent} * (n_a + n_b)"
     )
-    spokes = shared.where("key <> hub.key").selectExpr(
-        "least(key, hub.key) AS a", "greatest(key, hub.key) AS b", "IF(key < hub.key, id, hub.id) AS id_a",
-        "IF(key < hub.key, hub.id, id) AS id_b", "IF(key < hub.key, n, hub.n) AS n_a", "IF(key < hub.key, hub.n, n) AS n_b",
-        "IF(key < hub.key, place, hub.place) AS place_a", "IF(key < hub.key, hub.place, place) AS place_b",
+    spokes = shared.where("node <> hub.node").selectExpr(
+        "least(node, hub.node) AS a", "greatest(node, hub.node) AS b",
+        "IF(node < hub.node, n, hub.n) AS n_a", "IF(node < hub.node, hub.n, n) AS n_b",
+        "IF(node < hub.node, place, hub.place) AS place_a", "IF(node < hub.node, hub.place, place) AS place_b",
     ).where(f"{near_size} AND {reach}")
-    spokes = often(spokes, shared_first)
-    spokes = cut_lineage(spokes, "join-spokes")
-    links = cut_lineage(overlaps(source, spokes, sketch, words, fragments, percent), "join-links")
+    spokes = cut_lineage(often(spokes, shared_first), "join-spokes")
+    links = cut_lineage(overlaps(source, spokes, sets, sketch, words, fragments, percent), "join-links")
     labels = components(links, "join-first")
-    named = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_groups = named.select(
-        "shingle", "key", "id", "n", "place", "label",
-        (F.min("label").over(group) != F.max("label").over(group)).alias("open"),
-    ).where("open").drop("open")
+    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    group = Window.partitionBy("shingle")
     # Nodes that can link have sizes in the same band or in neighbouring ones.
     width = float(np.log(100 / percent) * 1.0001) if percent < 100 else 1.0
-    open_groups = cut_lineage(open_groups.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(width))), "join-open")
+    open_groups = cut_lineage(
+        named.select(
+            "shingle", "node", "n", "place", "label", F.floor(F.log(F.col("n")) / F.lit(width)).cast("int").alias("band"),
+            (F.min("label").over(group) != F.max("label").over(group)).alias("open"),
+        ).where("open").drop("open"),
+        "join-open",
+    )
     a = open_groups.selectExpr(
-        "shingle", "key AS key_x", "id AS id_x", "n AS n_a", "place AS place_a", "label AS label_a", "band AS band_a",
+        "shingle", "node AS node_x", "n AS n_a", "place AS place_a", "label AS label_a", "band AS band_a",
         "explode(array(band, band + 1)) AS band",
     )
-    b = open_groups.selectExpr("shingle", "key AS key_y", "id AS id_y", "n AS n_b", "place AS place_b", "label AS label_b", "band")
+    b = open_groups.selectExpr("shingle AS shingle_b", "node AS node_y", "n AS n_b", "place AS place_b", "label AS label_b", "band AS band_b")
     rest = a.join(
-        b.withColumnRenamed("shingle", "shingle_b").withColumnRenamed("band", "band_b"),
+        b,
         F.expr(
-            "shingle = shingle_b AND band = band_b AND label_a <> label_b AND (band_a < band_b OR key_x < key_y)"
+            "shingle = shingle_b AND band = band_b AND label_a <> label_b AND (band_a < band_b OR node_x < node_y)"
             f" AND {near_size} AND {reach}"
         ),
+    ).selectExpr(
+        "least(node_x, node_y) AS a", "greatest(node_x, node_y) AS b",
+        "IF(node_x < node_y, n_a, n_b) AS n_a", "IF(node_x < node_y, n_b, n_a) AS n_b",
     )
-    rest = rest.selectExpr(
-        "least(key_x, key_y) AS a", "greatest(key_x, key_y) AS b", "IF(key_x < key_y, id_x, id_y) AS id_a",
-        "IF(key_x < key_y, id_y, id_x) AS id_b", "IF(key_x < key_y, n_a, n_b) AS n_a", "IF(key_x < key_y, n_b, n_a) AS n_b",
-    )
-    rest = often(rest, shared_first)
-    rest = cut_lineage(rest.join(spokes.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
-    more = overlaps(source, rest, sketch, words, fragments, percent)
+    rest = cut_lineage(often(rest, shared_first).join(spokes.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
+    more = overlaps(source, rest, sets, sketch, words, fragments, percent)
     labels = components(links.union(more), "join-last")
-    ids = sets.join(labels.withColumnRenamed("node", "key"), "key").groupBy("label").agg(F.min("id").alias("component"))
-    found = labels.join(ids, "label").select(F.col("node").alias("key"), "component")
-    own = sets.select("key", "id").join(found, "key", "left").select("key", F.coalesce("component", "id").alias("component"))
+    ids = sets.join(labels, "node").groupBy("label").agg(F.min("id").alias("component"))
+    found = labels.join(ids, "label").select("node", "component")
+    own = sets.join(found, "node", "left").select("key", F.coalesce("component", "id").alias("component"))
     return table.select("id", "n", "key").join(own, "key", "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
