@@ -23,7 +23,7 @@ PERCENT = 90
 FRAGMENTS = 4
 SKETCH = 65_536
 # Shingles that a pair must share among its first ones to be compared.
-SHARED_FIRST = 5
+SHARED_FIRST = 3
 
 
 def sets_of(batch_column: pa.Array, words: int) -> list[np.ndarray]:
