@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,29 +17,59 @@ Rows = Callable[[pa.RecordBatch], list]
 
 # A key table of one long per row is broadcast up to here: 8 MB of keys.
 BROADCAST_KEYS = 1_000_000
+# Rows that a Python worker turns into objects at a time.
+ROWS_AT_ONCE = 1_000
 
 
 def arrow_map(df: DataFrame, function: Rows, schema: str | T.StructType) -> DataFrame:
     """Apply ``function`` to each Arrow batch; it gives the columns of ``schema`` as lists or arrays.
 
-    One batch is in memory at a time; Spark bounds it by rows and bytes
-    (``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``).
+    One batch is in memory at a time, which Spark bounds by rows and bytes
+    (``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``);
+    ``function`` gets ``ROWS_AT_ONCE`` rows of it at most.
     """
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = out.fieldNames()
     kinds = [_arrow_kind(f.dataType) for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [
-                c if isinstance(c, pa.Array) else pa.array(c, kind)
-                for c, kind in zip(function(batch), kinds, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                columns = [
+                    c if isinstance(c, pa.Array) else pa.array(c, kind)
+                    for c, kind in zip(function(batch), kinds, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, out)
 
 
+def arrow_sums(df: DataFrame, add: Callable[[pa.RecordBatch, list[np.ndarray]], None], size: int, count: int) -> list[np.ndarray]:
+    """``count`` arrays of ``size`` integers, filled by ``add`` over all batches of a task and summed over all tasks.
+
+    Tasks give up to ``size`` rows each, which are summed in Spark; the driver gets ``size`` rows.
+    """
+    names = [f"sum_{k}" for k in range(count)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(size, np.int64) for _ in range(count)]
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                add(whole.slice(start, ROWS_AT_ONCE), totals)
+        some = np.flatnonzero(np.any(totals, axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), *(pa.array(t[some]) for t in totals)], names=["place", *names]
+        )
+
+    rows = df.mapInArrow(run, "place int, " + ", ".join(f"{n} long" for n in names))
+    result = [np.zeros(size, np.int64) for _ in range(count)]
+    for place, *values in rows.groupBy("place").agg(*(F.sum(n).alias(n) for n in names)).collect():
+        for array, value in zip(result, values, strict=True):
+            array[place] = value
+    return result
+
+
 def _arrow_kind(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

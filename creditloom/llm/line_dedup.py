@@ -26,6 +26,7 @@ MIN_CHARS = 30
 BLOCK = 512
 # Cells (pairs x characters) verified at a time.
 CELLS = 2_000_000
+REMEMBERED_LINES = 200_000
 
 INDEX, PROBE, BOTH = 0, 1, 2
 
@@ -239,8 +240,13 @@ def occurrences(source: DataFrame, min_chars: int) -> DataFrame:
 def near_lines(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Links between different lines within ``edits`` edits; enough of them to connect all."""
 
+    # Lines and plans that a task has met; empty here, and emptied when large, which only repeats rows.
+    seen, plans = set(), {}
+
     def entries(batch):
-        keys, roles, lines, seen, plans = [], [], [], set(), {}
+        keys, roles, lines = [], [], []
+        if len(seen) > REMEMBERED_LINES:
+            seen.clear()
         for text in batch.column(0).to_pylist():
             for line in (text or "").split("\n"):
                 size = len(line)
@@ -271,15 +277,19 @@ def near_lines(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
     ).where("low < high AND indexed = 1").select("key", "role", "number").distinct()
     shared = cut_lineage(shared, "lines-shared")
 
+    met = set()
+
     def texts(batch):
-        numbers, digests, lines, seen = [], [], [], set()
+        numbers, digests, lines = [], [], []
+        if len(met) > REMEMBERED_LINES:
+            met.clear()
         for text in batch.column(0).to_pylist():
             for line in (text or "").split("\n"):
                 if len(line) < min_chars:
                     continue
                 number = xxhash.xxh3_64_intdigest(line.encode("utf-8"))
-                if number not in seen:
-                    seen.add(number)
+                if number not in met:
+                    met.add(number)
                     numbers.append(number)
                     digests.append(line_digest(line))
                     lines.append(line)

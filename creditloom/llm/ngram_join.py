@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from creditloom.llm.common import arrow_map, components, semi_join_keys, text_bytes
+from creditloom.llm.common import arrow_map, arrow_sums, components, semi_join_keys, text_bytes
 from creditloom.llm.words import WordNumbers, shingle_set
 from creditloom.session import cut_lineage
 
@@ -26,8 +26,7 @@ SKETCH = 65_536
 SHARED_FIRST = 3
 
 
-def sets_of(batch_column: pa.Array, words: int) -> list[np.ndarray]:
-    store = WordNumbers()
+def sets_of(batch_column: pa.Array, words: int, store: WordNumbers) -> list[np.ndarray]:
     return [shingle_set(store.of(t.lower().split()), words) for t in text_bytes(batch_column)]
 
 
@@ -42,21 +41,13 @@ def shingle_sketch(texts: DataFrame, words: int) -> np.ndarray:
     comes late in the global order.
     """
 
-    def count(batch):
-        total = np.zeros(SKETCH, np.int64)
-        for own in sets_of(batch.column(0), words):
-            np.add.at(total, places(own), 1)
-        some = np.flatnonzero(total)
-        return [some.astype(np.int32), total[some]]
+    store = WordNumbers()  # empty here; each task fills its own copy
 
-    def run(batch):
-        return [pa.array(c) for c in count(batch)]
+    def add(batch, totals):
+        for own in sets_of(batch.column(0), words, store):
+            np.add.at(totals[0], places(own), 1)
 
-    sums = arrow_map(texts, run, "class int, docs long").groupBy("class").agg(F.sum("docs").alias("docs"))
-    sketch = np.zeros(SKETCH, np.int64)
-    for at, docs in sums.collect():  # SKETCH rows at most
-        sketch[at] = docs
-    return sketch
+    return arrow_sums(texts, add, SKETCH, 1)[0]
 
 
 def fragment_of_class(sketch: np.ndarray, fragments: int) -> np.ndarray:
@@ -78,9 +69,11 @@ def overlaps(source: DataFrame, pairs: DataFrame, sets: DataFrame, sketch: np.nd
     wanted = cut_lineage(wanted.join(sets.select("node", "key", "id"), "node"), "join-wanted")
     shipped = source.sparkSession.sparkContext.broadcast(fragment_of_class(sketch, fragments))
 
+    store = WordNumbers()
+
     def split(batch):
         keys, parts, items = [], [], []
-        for own in sets_of(batch.column(1), words):
+        for own in sets_of(batch.column(1), words, store):
             if len(own) == 0:
                 continue
             key = xxhash.xxh3_128_digest(own.tobytes())
@@ -139,9 +132,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sketch = shingle_sketch(source.select("text"), words)
     shipped = source.sparkSession.sparkContext.broadcast(sketch)
 
+    store = WordNumbers()
+
     def prefix(batch):
         sizes, keys, firsts = [], [], []
-        for own in sets_of(batch.column(1), words):
+        for own in sets_of(batch.column(1), words, store):
             n = len(own)
             sizes.append(n)
             keys.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)

@@ -50,8 +50,9 @@ def repeated_words(numbers: np.ndarray, window: int = WINDOW_WORDS) -> int:
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """Per document: the counts of its text, and hash and words of each of its lines."""
 
+    store = WordNumbers()  # empty here; each task fills its own copy
+
     def measure(batch):
-        store = WordNumbers()
         counts = [[] for _ in range(5)]
         hashes, words_of = [], []
         for text in text_bytes(batch.column(2)):

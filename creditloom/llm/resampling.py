@@ -8,12 +8,11 @@ likelihoods; Gumbel noise and a top-k draw resample documents by weight.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import arrow_map, ranked_prefix, text_bytes
+from creditloom.llm.common import arrow_map, arrow_sums, ranked_prefix, text_bytes
 from creditloom.llm.mixing import uniform
 from creditloom.llm.words import WordNumbers, ngrams
 from creditloom.session import cut_lineage
@@ -31,38 +30,29 @@ def features(text: bytes, store: WordNumbers) -> np.ndarray:
 
 
 def bucket_counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts of all texts and of the target's; sums of one fixed-size array per batch."""
+    """Feature counts of all texts and of the target's."""
     wanted = docs.sparkSession.sparkContext.broadcast(target_ids)
+    store = WordNumbers()  # empty here; each task fills its own copy
 
-    def count(batch):
-        store = WordNumbers()
-        everything, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    def add(batch, totals):
         chosen = np.isin(pc.fill_null(batch.column(0), -(2**63)).to_numpy(zero_copy_only=False), wanted.value)
         for text, is_target in zip(text_bytes(batch.column(1)), chosen, strict=True):
             own = np.bincount(features(text, store), minlength=BUCKETS)
-            everything += own
+            totals[0] += own
             if is_target:
-                target += own
-        return [np.arange(BUCKETS, dtype=np.int32), pa.array(everything), pa.array(target)]
+                totals[1] += own
 
-    def run(batch):
-        return [pa.array(c) if isinstance(c, np.ndarray) else c for c in count(batch)]
-
-    sums = arrow_map(docs, run, "bucket int, everything long, target long").groupBy("bucket").agg(
-        F.sum("everything").alias("everything"), F.sum("target").alias("target")
-    )
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for bucket, all_count, target_count in sums.collect():  # BUCKETS rows at most
-        raw[bucket], target[bucket] = all_count, target_count
+    raw, target = arrow_sums(docs, add, BUCKETS, 2)
     return raw, target
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """``id, n_features, log_weight`` of each document."""
     shipped = docs.sparkSession.sparkContext.broadcast(ratios)
+    store = WordNumbers()
 
     def score(batch):
-        store, ratio = WordNumbers(), shipped.value
+        ratio = shipped.value
         found = [features(t, store) for t in text_bytes(batch.column(1))]
         return [batch.column(0), [len(f) for f in found], [float(ratio[f].sum()) for f in found]]
 
