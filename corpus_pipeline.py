@@ -76,8 +76,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, packed as little-endian 32-bit integers, and digests of ids and decoded text."""
     model = bpe.default_model()
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), model), model)
-    return coded.select(
+    return bpe.recode(docs.select(*COLUMNS), model).select(
         "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -28,7 +28,7 @@ PIECES = (
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 # Pieces whose ids a task remembers; emptied beyond it, which changes no result.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 150_000
 LONGEST_REMEMBERED = 200
 
 
@@ -171,6 +171,16 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out: str = "i
     return arrow_map(kept, run, kept.withColumn(out, F.lit(b"")).schema)
 
 
+def joined(packed: bytes, string_of: dict[int, bytes]) -> str:
+    """Text of packed ids: their vocabulary strings, concatenated."""
+    ids = np.frombuffer(packed, dtype="<u4").tolist()
+    try:
+        text = b"".join(map(string_of.__getitem__, ids))
+    except KeyError:
+        text = b"".join(string_of.get(i, b"") for i in ids)
+    return text.decode("utf-8", "replace")
+
+
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the text of packed token ids, special tokens included.
 
@@ -183,20 +193,32 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "dec
     place = kept.columns.index(ids_col)
 
     def run(batch):
-        string_of = shipped.value
-        texts = []
-        for packed in text_bytes(batch.column(place)):
-            ids = np.frombuffer(packed, dtype="<u4").tolist()
-            try:
-                joined = b"".join(map(string_of.__getitem__, ids))
-            except KeyError:
-                joined = b"".join(string_of.get(i, b"") for i in ids)
-            texts.append(joined.decode("utf-8", "replace"))
-        return [*batch.columns, pa.array(texts, pa.string())]
+        return [*batch.columns, pa.array([joined(p, shipped.value) for p in text_bytes(batch.column(place))], pa.string())]
 
     return arrow_map(kept, run, kept.withColumn(out, F.lit("")).schema)
 
 
+def recode(df: DataFrame, model_path: str, text_col: str = "text", ids_out: str = "ids", text_out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of what it gave, in one worker: replaces ``text_col`` by ids and decoded text."""
+    model = BpeModel(model_path)
+    context = df.sparkSession.sparkContext
+    parts, strings = context.broadcast(model.parts()), context.broadcast(model.strings)
+    kept = df.drop(*({ids_out, text_out} - {text_col}))
+    place = kept.columns.index(text_col)
+    made: list[Encoder] = []
+
+    def run(batch):
+        if not made:
+            made.append(Encoder(*parts.value))
+        packed = [made[0].encode(t or "") for t in batch.column(place).to_pylist()]
+        texts = [joined(p, strings.value) for p in packed]
+        rest = [c for k, c in enumerate(batch.columns) if k != place]
+        return [*rest, pa.array(packed, pa.binary()), pa.array(texts, pa.string())]
+
+    schema = kept.drop(text_col).withColumn(ids_out, F.lit(b"")).withColumn(text_out, F.lit("")).schema
+    return arrow_map(kept, run, schema)
+
+
 def default_model() -> str:
     """Path of the public 50k byte-level vocabulary."""
     import public_tokenizers
@@ -205,9 +227,7 @@ def default_model() -> str:
 
 
 def encoded_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    coded = encode(docs.select("doc_id", "text"), model_path).drop("text")
-    both = decode(coded, model_path)
-    return both.select(
+    return recode(docs.select("doc_id", "text"), model_path).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

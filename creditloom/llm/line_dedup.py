@@ -25,8 +25,8 @@ MIN_CHARS = 30
 # A segment's lines are compared in blocks of about this many by this many.
 BLOCK = 512
 # Cells (pairs x characters) verified at a time.
-CELLS = 2_000_000
-REMEMBERED_LINES = 200_000
+CELLS = 1_000_000
+REMEMBERED_LINES = 100_000
 
 INDEX, PROBE, BOTH = 0, 1, 2
 

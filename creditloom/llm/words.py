@@ -18,7 +18,7 @@ _ODD = np.array(
 )
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 # Words whose numbers a task remembers; the store is emptied beyond it, which changes no result.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 150_000
 
 
 class WordNumbers(dict):
