@@ -20,6 +20,8 @@ from creditloom.session import cut_lineage
 BUCKETS = 16_384
 # The target model is fitted on at most so many labelled documents, those with the smallest hash.
 TARGET_ROWS = 20_000
+# Weight, in features, of the model of all texts as the prior of the target model.
+PRIOR = 4 * BUCKETS
 
 
 def features(text: bytes, store: WordNumbers) -> np.ndarray:
@@ -74,8 +76,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     chosen = good.orderBy(F.xxhash64("id"), "id").limit(TARGET_ROWS)
     target_ids = np.array([r[0] for r in chosen.collect()], dtype=np.int64)  # TARGET_ROWS at most
     raw, target = bucket_counts(source, target_ids)
-    p_target = (target + 1.0) / (target.sum() + BUCKETS)
     p_raw = (raw + 1.0) / (raw.sum() + BUCKETS)
+    p_target = (target + PRIOR * p_raw) / (target.sum() + PRIOR)
     ratios = np.log(p_target) - np.log(p_raw) if target.sum() else np.zeros(BUCKETS)
     if share is None:
         share = labels.agg(F.avg(F.col("good").cast("double"))).first()[0]
