@@ -8,13 +8,6 @@ DEFAULT_STATUSES = [
     "Does not meet the credit policy. Status:Charged Off",
 ]
 
-# Columns whose NULLs are reported and then filled.
-NULL_CHECKED = [
-    "total_rev_hi_lim", "funded_amnt", "annual_inc", "mths_since_earliest_cr_line",
-    "acc_now_delinq", "total_acc", "pub_rec", "open_acc", "inq_last_6mths",
-    "delinq_2yrs", "emp_length_int",
-]
-
 # Columns where a NULL means zero.
 ZERO_FILLED = [
     "mths_since_earliest_cr_line", "acc_now_delinq", "total_acc", "pub_rec",
@@ -109,6 +102,15 @@ ENGLISH_STOP_WORDS = [
     "now", "cannot", "could", "ought", "would",
 ]
 
+# The contractions of that list.
+ENGLISH_CONTRACTIONS = [
+    "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd", "they'd",
+    "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've", "we've", "you've", "they've",
+    "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "don't", "doesn't", "didn't",
+    "won't", "wouldn't", "shan't", "shouldn't", "mustn't", "can't", "couldn't",
+    "that's", "who's", "what's", "here's", "there's", "when's", "where's", "why's", "how's", "let's",
+]
+
 # Seed words of the default-risk knowledge base.
 RISK_SEEDS = [
     "default", "missed", "late", "payment", "delinquent", "overdue", "bankrupt",
@@ -121,6 +123,8 @@ TFIDF_MIN_DOC_FREQ = 50
 W2V_SIZE = 50
 W2V_MIN_COUNT = 10
 W2V_WINDOW = 3
+W2V_PARTITIONS = 8
+W2V_PASSES = 8
 TITLE_BUCKETS = 20
 CLUSTER_BUCKETS = 1000
 CLUSTERS = 20

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -54,21 +53,15 @@ def sparse_parts(vector: str) -> Column:
     return parts["v"]
 
 
-def word2vec_partitions(df: DataFrame, rows_per_partition: int) -> int:
-    return max(1, math.ceil(df.count() / rows_per_partition))
-
-
 def fit_word2vec(df: DataFrame, tokens: str, out: str = "w2v_features", *, size: int = K.W2V_SIZE,
                  min_count: int = K.W2V_MIN_COUNT, window: int = K.W2V_WINDOW,
-                 partitions: int | None = None, rows_per_partition: int = 100_000):
-    """Skip-gram vectors. The corpus is trained in as many partitions as its size asks for.
+                 partitions: int = K.W2V_PARTITIONS, passes: int = K.W2V_PASSES):
+    """Skip-gram vectors, trained in ``partitions`` parts whose models are averaged after each of ``passes``.
 
-    ``partitions=1`` repeats exactly on small data. More than one averages the
-    partial models after each pass; the number of passes then follows it.
+    Neither follows the size of the data; ``partitions=1`` repeats exactly.
     """
-    parts = partitions or word2vec_partitions(df, rows_per_partition)
     stage = Word2Vec(vectorSize=size, minCount=min_count, windowSize=window, seed=K.SEED,
-                     numPartitions=parts, maxIter=max(1, min(parts, 8)), inputCol=tokens, outputCol=out)
+                     numPartitions=partitions, maxIter=passes, inputCol=tokens, outputCol=out)
     return stage.fit(df)
 
 

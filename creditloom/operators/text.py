@@ -39,8 +39,8 @@ def words(text: Column) -> Column:
 
 
 def clean_tokens(text: Column | str,
-                 stop_words: Sequence[str] = (*K.ENGLISH_STOP_WORDS, *K.DOMAIN_STOP_WORDS)) -> Column:
-    """Tokens of a description: no stop words, no short words, no plain numbers.
+                 stop_words: Sequence[str] = (*K.ENGLISH_STOP_WORDS, *K.ENGLISH_CONTRACTIONS, *K.DOMAIN_STOP_WORDS)) -> Column:
+    """Tokens of a description: no stop words or contractions of them, no short words, no plain numbers.
 
     NULL or blank text gives an empty array. The stop list is an optimised
     ``IN`` set, so the cost per token does not grow with its length.
@@ -49,7 +49,7 @@ def clean_tokens(text: Column | str,
 
     def wanted(w: Column) -> Column:
         return (
-            (F.length(w) > 2) & ~w.startswith("'") & ~w.rlike("^[0-9]+$") & ~w.isin(stops)
+            (F.length(w) > 2) & ~w.startswith("'") & ~w.rlike("^[0-9]+$") & w.rlike(r"[\p{L}\p{N}]") & ~w.isin(stops)
         )
 
     tokens = F.filter(F.split(strip_markup(text), WORD_BREAK), wanted)
@@ -238,10 +238,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(vector: Column | str) -> Column:
-    """The vector divided by its length; NULL when it has none."""
+    """The vector divided by its length; NULL when it has none.
+
+    The length is bound by an outer lambda, so it is computed once a vector.
+    """
     vector = S.col_of(vector)
-    length = F.sqrt(dot(vector, vector))
-    return F.when(length > 0, F.transform(vector, lambda x: x / length))
+    pair = F.struct(vector.alias("v"), F.sqrt(dot(vector, vector)).alias("n"))
+    return F.transform(F.array(pair), lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"])))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -253,40 +256,50 @@ def unit_cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b), F.lit(0.0))
 
 
+# Query vectors that one row of a block holds.
+QUERY_BLOCK = 256
+
+
+def cosines(vectors: DataFrame, queries: DataFrame, word: str, vector: str) -> DataFrame:
+    """``(query, word, cosine)`` of all ``vectors`` against a stated set of query vectors, in blocks.
+
+    The queries, any number of them, become rows of ``QUERY_BLOCK`` unit vectors each; a vector
+    meets a block in one row and all its cosines are computed there, from one
+    unit vector, before they become rows.
+    """
+    count = queries.count()
+    block = F.pmod(F.xxhash64(F.col(word)), F.lit(max(1, -(-count // QUERY_BLOCK))))
+    blocks = queries.groupBy(block.alias("_block")).agg(
+        F.collect_list(F.struct(F.col(word).alias("w"), unit(vector).alias("v"))).alias("_queries")
+    ).select("_queries")
+    pair = F.struct(unit(vector).alias("v"), F.col("_queries").alias("q"))
+    found = F.transform(F.array(pair), lambda p: F.transform(
+        p["q"], lambda s: F.struct(s["w"].alias("query"), unit_cosine(p["v"], s["v"]).alias("cosine"))))[0]
+    return vectors.select(word, vector).crossJoin(blocks).select(
+        F.col(word).alias("word"), F.explode(found).alias("_f")
+    ).select("_f.query", "word", "_f.cosine")
+
+
 def cosine_matrix(vectors: DataFrame, words_: Sequence[str] | None = None,
-                  word: str = "word", vector: str = "vector", limit: int = 1000) -> DataFrame:
+                  word: str = "word", vector: str = "vector") -> DataFrame:
     """``(word_a, word_b, cosine)`` over chosen words; the matrix is the result.
 
-    The chosen vectors (at most ``limit``, checked) travel as one array to each
-    row, so there is no join. Words without a vector give no rows.
+    Words without a vector give no rows.
     """
     chosen = vectors if words_ is None else vectors.where(F.col(word).isin(list(words_)))
-    if chosen.limit(limit + 1).count() > limit:
-        raise ValueError(f"a cosine matrix of more than {limit} words was asked for")
-    scaled = chosen.select(F.col(word).alias("w"), unit(vector).alias("v"))
-    others = scaled.agg(F.collect_list(F.struct("w", "v"))).scalar()
-    return (
-        scaled.select(F.col("w").alias("word_a"), "v", F.explode(others).alias("_o"))
-        .select("word_a", F.col("_o.w").alias("word_b"), unit_cosine(F.col("v"), F.col("_o.v")).alias("cosine"))
-    )
+    return cosines(chosen, chosen, word, vector).select(
+        F.col("word").alias("word_a"), F.col("query").alias("word_b"), "cosine")
 
 
 def nearest(vectors: DataFrame, seeds: DataFrame, k: int = 5, *, word: str = "word",
-            vector: str = "vector", limit: int = 1000) -> DataFrame:
+            vector: str = "vector") -> DataFrame:
     """``(seed, word, cosine, rank)``: the ``k`` nearest words of each seed, itself left out.
 
-    Seeds (``word``, ``vector``; at most ``limit``, checked) travel as one
-    array, so the vector table is read once and never shuffled whole: each
-    task keeps its own ``k`` best per seed before the exchange.
+    The vector table is read once and never shuffled whole: each task keeps its
+    own ``k`` best per seed before the exchange.
     """
-    if seeds.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} seeds")
-    array = seeds.agg(F.collect_list(F.struct(F.col(word).alias("w"), unit(vector).alias("v")))).scalar()
-    scored = (
-        vectors.select(F.col(word).alias("word"), unit(vector).alias("_v"), F.explode(array).alias("_s"))
-        .where(F.col("_s.w") != F.col("word"))
-        .select(F.col("_s.w").alias("seed"), "word", unit_cosine(F.col("_v"), F.col("_s.v")).alias("cosine"))
-    )
+    scored = cosines(vectors, seeds, word, vector).where(F.col("query") != F.col("word"))
+    scored = scored.withColumnRenamed("query", "seed")
     order = Window.partitionBy("seed").orderBy(F.desc(F.round("cosine", 9)), "word")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from creditloom import constants as K
 from creditloom.operators import binning as B
 from creditloom.operators import coarse as C
 from creditloom.operators import prep as P
@@ -12,7 +13,11 @@ from creditloom.plans import views as V
 from creditloom.queries.registry import query, sql_on
 
 DISCRETE = ["grade", "purpose", "addr_state"]
-CONTINUOUS = {"funded_amnt": 10, "dti": 8, "open_acc": 6, "int_rate": 5}
+CONTINUOUS = {f: K.CONTINUOUS_FEATURES[f][0] for f in ("funded_amnt", "dti", "open_acc", "int_rate")}
+
+
+# The specification's monotonic features, and the amount, which the test view makes monotonic.
+MONOTONIC = ["funded_amnt", *(f for f in CONTINUOUS if K.CONTINUOUS_FEATURES[f][1])]
 
 
 def r(c, digits=6):
@@ -194,9 +199,8 @@ def suggested_merges(spark, d):
 
 
 SPECS = [
-    C.FeatureSpec("grade"), C.FeatureSpec("purpose"), C.FeatureSpec("addr_state"),
-    C.FeatureSpec("funded_amnt", "continuous", 10, True), C.FeatureSpec("dti", "continuous", 8),
-    C.FeatureSpec("open_acc", "continuous", 6), C.FeatureSpec("int_rate", "continuous", 5),
+    *(C.FeatureSpec(f) for f in DISCRETE),
+    *(C.FeatureSpec(f, "continuous", bins, f in MONOTONIC) for f, bins in CONTINUOUS.items()),
 ]
 NUMERIC_NAMES = ", ".join(f"'{f}'" for f in CONTINUOUS)
 
@@ -222,14 +226,14 @@ rec AS (
       CASE WHEN lgrp IS NOT NULL AND (rgrp IS NULL OR abs(dwoe) <= rwoe) THEN lgrp ELSE rgrp END AS y
     FROM l WHERE k > 1 AND (pn < 0.05 OR pg < 0.05 OR pb < 0.01)
     UNION ALL SELECT feature, 2, abs(dwoe), 0, 0, pos, lgrp, grp FROM l WHERE abs(dwoe) < 0.005 OR drate < 0.001
-    UNION ALL SELECT feature, 3, 0, 0, 0, pos, lgrp, grp FROM l WHERE feature = 'funded_amnt' AND k >= 3
+    UNION ALL SELECT feature, 3, 0, 0, 0, pos, lgrp, grp FROM l WHERE feature IN ({monotonic}) AND k >= 3
       AND CASE WHEN w1 >= w0 THEN dwoe < 0 ELSE dwoe > 0 END),
   pick AS (SELECT feature, least(x, y) AS lo, greatest(x, y) AS hi FROM cand
     QUALIFY row_number() OVER (PARTITION BY feature ORDER BY rule, a, b, c, pos) = 1)
   SELECT r.feature, r.step + 1, r.bin, r.n_obs, r.n_good, CASE WHEN r.grp = p.hi THEN p.lo ELSE r.grp END
   FROM rec r JOIN pick p ON r.feature = p.feature WHERE r.step < 50)),
 ranked AS (SELECT *, dense_rank() OVER (PARTITION BY feature, step ORDER BY grp) - 1 AS g,
-  MAX(step) OVER (PARTITION BY feature) AS last FROM rec)""".format(numeric=NUMERIC_NAMES)
+  MAX(step) OVER (PARTITION BY feature) AS last FROM rec)""".format(numeric=NUMERIC_NAMES, monotonic=", ".join(f"'{f}'" for f in MONOTONIC))
 ALL_COUNTS = f"counts AS ({DISCRETE_COUNTS} UNION ALL {NUMERIC_COUNTS})"
 FITTED = f"WITH RECURSIVE {EDGES}, {ALL_COUNTS}, {MERGES}"
 

@@ -20,7 +20,7 @@ from creditloom.plans import views as V
 from creditloom.queries.binning import SPECS, all_loans, rounded
 from creditloom.queries.registry import query, sql_on
 from creditloom.queries.text import quoted, token_frame
-from creditloom.session import new_path
+from creditloom.session import cut_lineage, new_path
 
 SPLIT = "((id % 2147483647) * 48271 % 2147483647) % 1000 < 800"
 
@@ -140,8 +140,10 @@ def text_model_metrics(spark, d):
     """AUC, Gini and KS of the text-only models on the test part."""
     train, test = token_parts(spark, d)
     tfidf, w2v = W.hashed_tfidf("tokens").fit(train), W.fit_word2vec(train, "tokens")
-    train, test = [w2v.transform(tfidf.transform(p)).select("id", "good_bad", "tfidf_features", "w2v_features").persist()
-                   for p in (train, test)]
+    train, test = [
+        cut_lineage(w2v.transform(tfidf.transform(p)).select("id", "good_bad", "tfidf_features", "w2v_features"), "text-features")
+        for p in (train, test)
+    ]
     scored = [
         M.fit_naive_bayes(train, test, "tfidf_features")[1],
         M.fit_text_lr(train, test, ["tfidf_features"], "tfidf")[1],
@@ -152,8 +154,7 @@ def text_model_metrics(spark, d):
 
 
 def split_loans(spark, d):
-    loans = all_loans(spark, d).persist()
-    return P.stable_split(loans)
+    return P.stable_split(cut_lineage(all_loans(spark, d), "loans"))
 
 
 @query("lr_raw_vs_coarse")
@@ -255,13 +256,13 @@ def hybrid_inputs(spark, d):
     texts = V.loan_text(spark, d).select("id", F.col("desc_").alias("desc"), "title")
     jobs = V.titles(spark, d).select("id", "emp_title")
     book = loans.join(texts, "id", "left").join(jobs, "id", "left")
-    return P.stable_split(book.persist())
+    return P.stable_split(cut_lineage(book, "hybrid-book"))
 
 
 def hybrid(spark, d):
     train, test = hybrid_inputs(spark, d)
     coarse = ST.fit_structured(train, test, SPECS)
-    text = TX.fit_text(train, clusters=8)
+    text = TX.fit_text(train)
     return H.run_hybrid(coarse, text, train, test)
 
 

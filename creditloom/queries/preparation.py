@@ -67,17 +67,17 @@ def months_since(spark, d):
         "id", "mths_since_issue_d")
 
 
-@query("text_present", sql_on("loan_text", body="""
-SELECT id, good_bad, LENGTH(desc_) AS n_chars FROM loan_text WHERE desc_ IS NOT NULL AND desc_ <> ''"""))
+@query("text_present", sql_on("loan_text_gaps", body="""
+SELECT id, good_bad, LENGTH(desc_) AS n_chars FROM loan_text_gaps WHERE desc_ IS NOT NULL AND desc_ <> ''"""))
 def text_present(spark, d):
-    return X.text_present(V.loan_text(spark, d), "desc_").select(
+    return X.text_present(V.loan_text_gaps(spark, d), "desc_").select(
         "id", "good_bad", F.length("desc_").cast("long").alias("n_chars"))
 
 
-@query("missing_flag", sql_on("loan_text", body="""
-SELECT id, CASE WHEN desc_ IS NULL OR trim(desc_) = '' THEN 1 ELSE 0 END AS desc_missing FROM loan_text"""))
+@query("missing_flag", sql_on("loan_text_gaps", body="""
+SELECT id, CASE WHEN desc_ IS NULL OR trim(desc_) = '' THEN 1 ELSE 0 END AS desc_missing FROM loan_text_gaps"""))
 def missing_flag(spark, d):
-    return V.loan_text(spark, d).select("id", S.missing_flag("desc_").alias("desc_missing"))
+    return V.loan_text_gaps(spark, d).select("id", S.missing_flag("desc_").alias("desc_missing"))
 
 
 @query("binary_target", sql_on("loan_book", body="""
@@ -92,13 +92,13 @@ def binary_target(spark, d):
                         S.good_indicator("good_bad").alias("good_indicator"))
 
 
-@query("normalise_text", sql_on("titles", "loan_text", body="""
+@query("normalise_text", sql_on("titles", "loan_text_gaps", body="""
 SELECT 't' || id AS id, lower(trim(emp_title)) AS tidy FROM titles UNION ALL
-SELECT 'd' || id, CASE WHEN desc_ IS NULL OR trim(desc_) = '' THEN 'missing' ELSE lower(trim(desc_)) END FROM loan_text"""))
+SELECT 'd' || id, CASE WHEN desc_ IS NULL OR trim(desc_) = '' THEN 'missing' ELSE lower(trim(desc_)) END FROM loan_text_gaps"""))
 def normalise_text(spark, d):
     jobs = V.titles(spark, d).select(
         F.concat(F.lit("t"), F.col("id")).alias("id"), S.normalise("emp_title").alias("tidy"))
-    texts = V.loan_text(spark, d).select(
+    texts = V.loan_text_gaps(spark, d).select(
         F.concat(F.lit("d"), F.col("id")).alias("id"), S.normalise("desc_", "missing").alias("tidy"))
     return jobs.unionByName(texts)
 
@@ -225,11 +225,11 @@ def join_one_row_constants(spark, d):
                         F.coalesce("purpose", row["purpose"]).alias("purpose"))
 
 
-@query("restrict_to_ids", sql_on("loan_book", "loan_text", body="""
-SELECT id, good_bad, funded_amnt FROM loan_book WHERE id IN (SELECT id FROM loan_text WHERE desc_ IS NOT NULL AND desc_ <> '')"""))
+@query("restrict_to_ids", sql_on("loan_book", "loan_text_gaps", body="""
+SELECT id, good_bad, funded_amnt FROM loan_book WHERE id IN (SELECT id FROM loan_text_gaps WHERE desc_ IS NOT NULL AND desc_ <> '')"""))
 def restrict_to_ids(spark, d):
     return P.restrict_to(V.loan_book(spark, d, "id", "good_bad", "funded_amnt"),
-                         X.text_present(V.loan_text(spark, d), "desc_"))
+                         X.text_present(V.loan_text_gaps(spark, d), "desc_"))
 
 
 # --- aggregations -----------------------------------------------------------------
@@ -279,13 +279,13 @@ def null_counts(spark, d):
     return E.null_counts(V.loan_book(spark, d, "dti", "purpose", "grade"), ["dti", "purpose", "grade", "absent"])
 
 
-@query("blank_rates", sql_on("loan_text", body="""
+@query("blank_rates", sql_on("loan_text_gaps", body="""
 SELECT 'desc_' AS "column", COUNT(*) FILTER (WHERE desc_ IS NULL OR desc_ = '') AS missing, COUNT(*) AS total,
-  ROUND(COUNT(*) FILTER (WHERE desc_ IS NULL OR desc_ = '') / COUNT(*), 6) AS missing_rate FROM loan_text UNION ALL
+  ROUND(COUNT(*) FILTER (WHERE desc_ IS NULL OR desc_ = '') / COUNT(*), 6) AS missing_rate FROM loan_text_gaps UNION ALL
 SELECT 'title', COUNT(*) FILTER (WHERE title IS NULL OR title = ''), COUNT(*),
-  ROUND(COUNT(*) FILTER (WHERE title IS NULL OR title = '') / COUNT(*), 6) FROM loan_text"""))
+  ROUND(COUNT(*) FILTER (WHERE title IS NULL OR title = '') / COUNT(*), 6) FROM loan_text_gaps"""))
 def blank_rates(spark, d):
-    return E.blank_rates(V.loan_text(spark, d), ["desc_", "title"]).withColumn("missing_rate", r("missing_rate"))
+    return E.blank_rates(V.loan_text_gaps(spark, d), ["desc_", "title"]).withColumn("missing_rate", r("missing_rate"))
 
 
 @query("impute_mean", sql_on("loan_book", body="""
@@ -395,10 +395,10 @@ def top_k_by_absolute(spark, d):
             .orderBy(F.desc(F.abs("dti")), "id").limit(25))
 
 
-@query("union_distinct_ids", sql_on("loan_book", "loan_text", body="""
-SELECT id FROM loan_book UNION SELECT id FROM loan_text WHERE desc_ IS NOT NULL"""))
+@query("union_distinct_ids", sql_on("loan_book", "loan_text_gaps", body="""
+SELECT id FROM loan_book UNION SELECT id FROM loan_text_gaps WHERE desc_ IS NOT NULL"""))
 def union_distinct_ids(spark, d):
-    return P.id_union(V.loan_book(spark, d, "id"), V.loan_text(spark, d).where("desc_ IS NOT NULL"))
+    return P.id_union(V.loan_book(spark, d, "id"), V.loan_text_gaps(spark, d).where("desc_ IS NOT NULL"))
 
 
 @query("union_by_name", sql_on("loan_book", "loan_text", body="""
@@ -426,16 +426,16 @@ def random_split(spark, d):
             .groupBy("part").agg(F.count(F.lit(1)).alias("n"), E.default_rate().alias("default_rate")))
 
 
-@query("text_present_split", sql_on("loan_text", body="""
+@query("text_present_split", sql_on("loan_text_gaps", body="""
 SELECT CASE WHEN ((id % 2147483647) * 48271 % 2147483647) % 1000 < 800 THEN 'train' ELSE 'test' END AS part,
   COUNT(*) AS n, CAST(SUM(1 - good_bad) AS BIGINT) AS defaults
-FROM loan_text WHERE desc_ IS NOT NULL AND desc_ <> '' GROUP BY 1"""))
+FROM loan_text_gaps WHERE desc_ IS NOT NULL AND desc_ <> '' GROUP BY 1"""))
 def text_present_split(spark, d):
     """Ids with text over train and test, kept by a semi join and split again.
 
     The flag is written once, so the texts are read once.
     """
-    flagged = V.loan_text(spark, d).select("id", "good_bad", S.missing_flag("desc_").alias("desc_missing"))
+    flagged = V.loan_text_gaps(spark, d).select("id", "good_bad", S.missing_flag("desc_").alias("desc_missing"))
     train, test = P.stable_split(cut_lineage(flagged, "text-flags"), train=0.5)
     ids = P.id_union(train.where("desc_missing = 0"), test.where("desc_missing = 0"))
     kept = P.restrict_to(P.stack_frames(train, test), ids)

@@ -34,9 +34,11 @@ loan_book AS (
     "loan_text": """
 loan_text AS (
   SELECT d.doc_id AS id, COALESCE(l.quality, 1) AS good_bad,
-    CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.text END AS desc_,
-    d.source AS title, d.lang
+    d.text AS desc_, d.source AS title, d.lang
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
+    "loan_text_gaps": """
+loan_text_gaps AS (
+  SELECT id, good_bad, CASE WHEN id % 3 = 0 THEN NULL ELSE desc_ END AS desc_, title, lang FROM loan_text)""",
     "titles": """
 titles AS (SELECT p_partkey AS id, p_name AS emp_title, p_brand, p_size FROM part)""",
     "word_vectors": """
@@ -53,7 +55,7 @@ scored_long AS (
   SELECT 'a' AS model, id, y, CAST(pd_a AS DOUBLE) AS score FROM scored UNION ALL
   SELECT 'b', id, y, CAST(pd_b AS DOUBLE) FROM scored)""",
 }
-_NEEDS = {"scored": ["loan_book"], "scored_long": ["loan_book", "scored"]}
+_NEEDS = {"loan_text_gaps": ["loan_text"], "scored": ["loan_book"], "scored_long": ["loan_book", "scored"]}
 
 
 def sql_on(*views: str, body: str) -> str:

@@ -20,7 +20,7 @@ def quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-STOPS = quoted(dict.fromkeys([*K.ENGLISH_STOP_WORDS, *K.DOMAIN_STOP_WORDS]))
+STOPS = quoted(dict.fromkeys([*K.ENGLISH_STOP_WORDS, *K.ENGLISH_CONTRACTIONS, *K.DOMAIN_STOP_WORDS]))
 # Words that occur in the test documents, as a stand-in knowledge base.
 KNOWN_RISK = ["the", "with", "were", "which", "dans", "pour", "nicht", "wird", "para", "como", *K.RISK_SEEDS]
 
@@ -34,7 +34,7 @@ raw_tokens AS (
   SELECT id, good_bad, unnest(regexp_split_to_array(body, '[^\\p{{L}}\\p{{N}}''-]+')) AS token FROM cleaned),
 tokens AS (
   SELECT * FROM raw_tokens WHERE length(token) > 2 AND NOT starts_with(token, '''')
-    AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN ({STOPS}))"""
+    AND NOT regexp_full_match(token, '[0-9]+') AND regexp_matches(token, '[\\p{{L}}\\p{{N}}]') AND token NOT IN ({STOPS}))"""
 SENTENCES = CLEAN + """,
 pieces AS (SELECT id, regexp_split_to_array(body, '[.!?]+') AS parts FROM cleaned),
 numbered AS (
