@@ -28,7 +28,7 @@ PIECES = (
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 # Pieces whose ids a task remembers; emptied beyond it, which changes no result.
-REMEMBERED_PIECES = 150_000
+REMEMBERED_PIECES = 300_000
 LONGEST_REMEMBERED = 200
 
 
