@@ -2,8 +2,9 @@
 
 Fitting takes one job for the edges and one for the counts of every feature's
 base classes. Counts add up, so all merge steps are decided on them: each
-feature's few counts go to one task, features run in parallel, and the data is
-not read again.
+feature's counts go to one task, features run in parallel, and the data is
+not read again. A task gives its feature's decisions and the place of each base
+class; the classes of every step follow from these in Spark.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom import constants as K
@@ -22,12 +24,7 @@ from creditloom.functions import names as N
 from creditloom.functions import scalars as S
 from creditloom.operators import binning as B
 from creditloom.operators import woe as W
-from creditloom.session import cut_lineage, lookup_join
-
-# More base classes than this are an identifier, not a category; fit() refuses.
-MAX_CLASSES = 100_000
-# Up to this many known classes a literal map is used, beyond it a join.
-LITERAL_CLASSES = 100
+from creditloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -72,8 +69,9 @@ def default_specs(df: DataFrame) -> tuple[list[FeatureSpec], dict[str, str], lis
 
 # --- merge decisions on counts ---------------------------------------------------------
 
-STEPS_SCHEMA = ("feature string, step int, bin string, grp int, merge_left int, merge_right int, "
-                "reason string")
+# A base class with its place (``bin`` set), or the decision taken at a step.
+PLAN_SCHEMA = "feature string, bin string, at int, merge_left int, merge_right int, reason string"
+GROUPS_SCHEMA = "feature string, bin string, grp int, label string, woe double"
 
 
 def _weights(n: list[int], good: list[int]) -> pd.DataFrame:
@@ -121,32 +119,33 @@ def next_merge(t: pd.DataFrame, spec: FeatureSpec) -> tuple[int, int, str] | Non
     return None
 
 
-def merge_steps(counts: pd.DataFrame, spec: FeatureSpec) -> pd.DataFrame:
-    """Group of every base class at each merge step of one feature.
+def merge_decisions(counts: pd.DataFrame, spec: FeatureSpec) -> list[tuple]:
+    """``(left group, right group, reason)`` of each merge step of one feature.
 
     ``counts`` has ``bin, n_obs, n_good`` of the classes seen in training, in
-    base order. The last step is the final grouping.
+    base order. A merge gives the right group the left one's number, and later
+    groups move down by one. The last step merges nothing.
     """
-    groups = [[i] for i in range(len(counts))]
+    members = [[b] for b in counts["bin"].astype(str)]
     n, good = counts["n_obs"].tolist(), counts["n_good"].tolist()
-    rows = []
+    decisions = []
     for step in range(spec.max_merges + 1):
-        table = _weights([sum(n[i] for i in g) for g in groups], [sum(good[i] for i in g) for g in groups])
-        table["grp"] = range(len(groups))
+        table = _weights(n, good)
+        table["grp"] = range(len(n))
         if spec.kind == "discrete":
-            table["label"] = [" | ".join(str(counts["bin"].iloc[i]) for i in g) for g in groups]
+            table["label"] = [" | ".join(m) for m in members]
             table = table.sort_values(["woe", "label"], kind="stable").reset_index(drop=True)
         choice = next_merge(table, spec) if step < spec.max_merges else None
-        pair = sorted(int(table["grp"][i]) for i in choice[:2]) if choice else (None, None)
-        done = "nothing to merge" if step < spec.max_merges else "merge limit reached"
-        for g, members in enumerate(groups):
-            for i in members:
-                rows.append((spec.name, step, str(counts["bin"].iloc[i]), g, *pair,
-                             choice[2] if choice else done))
         if choice is None:
+            done = "nothing to merge" if step < spec.max_merges else "merge limit reached"
+            decisions.append((None, None, done))
             break
-        groups[pair[0]] = sorted(groups[pair[0]] + groups.pop(pair[1]))
-    return pd.DataFrame(rows, columns=["feature", "step", "bin", "grp", "merge_left", "merge_right", "reason"])
+        left, right = sorted(int(table["grp"][i]) for i in choice[:2])
+        decisions.append((left, right, choice[2]))
+        members[left] = sorted(members[left] + members.pop(right))
+        n[left] += n.pop(right)
+        good[left] += good.pop(right)
+    return decisions
 
 
 def _base_order(counts: pd.DataFrame, kind: str, missing: str) -> pd.DataFrame:
@@ -157,15 +156,34 @@ def _base_order(counts: pd.DataFrame, kind: str, missing: str) -> pd.DataFrame:
 
 
 def plan_merges(counts: DataFrame, specs: Sequence[FeatureSpec], missing: str = K.MISSING) -> DataFrame:
-    """Merge steps of all features; one small group of counts per feature and task."""
+    """Places of the base classes and merge decisions of all features; one task per feature."""
     by_name = {s.name: asdict(s) for s in specs}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         spec = FeatureSpec(**by_name[pdf["feature"].iloc[0]])
-        steps = merge_steps(_base_order(pdf, spec.kind, missing), spec)
-        return steps.astype({"merge_left": "Int32", "merge_right": "Int32"})
-
-    return counts.groupBy("feature").applyInPandas(run, STEPS_SCHEMA)
+        ordered = _base_order(pdf, spec.kind, missing)
+        rows = [(spec.name, None, step, *made) for step, made in enumerate(merge_decisions(ordered, spec))]
+        rows += [(spec.name, b, at, None, None, None) for at, b in enumerate(ordered["bin"].astype(str))]
+        plan = pd.DataFrame(rows, columns=["feature", "bin", "at", "merge_left", "merge_right", "reason"])
+        return plan.astype({"merge_left": "Int32", "merge_right": "Int32"})
+
+    return counts.groupBy("feature").applyInPandas(run, PLAN_SCHEMA)
+
+
+def merge_steps(plan: DataFrame, last_only: bool = False) -> DataFrame:
+    """``(feature, step, bin, grp, merge_left, merge_right, reason)`` of every merge step, or of the last."""
+    # At most ``max_merges`` + 1 decisions and one row per feature.
+    decisions = plan.where("bin IS NULL").groupBy("feature").agg(
+        F.sort_array(F.collect_list(F.struct("at", "merge_left", "merge_right", "reason"))).alias("_made"))
+    last = F.size("_made") - 1
+    step = last if last_only else F.explode(F.sequence(F.lit(0), last))
+    rows = plan.where("bin IS NOT NULL").select("feature", "bin", "at").join(decisions, "feature").withColumn("step", step)
+    grp = F.aggregate(
+        F.slice("_made", F.lit(1), F.col("step")), F.col("at"),
+        lambda g, m: F.when(g == m["merge_right"], m["merge_left"]).when(g > m["merge_right"], g - 1).otherwise(g))
+    made = F.get("_made", F.col("step"))
+    return rows.select("feature", "step", "bin", grp.alias("grp"), made["merge_left"].alias("merge_left"),
+                       made["merge_right"].alias("merge_right"), made["reason"].alias("reason"))
 
 
 # --- fitted classing -----------------------------------------------------------------------
@@ -174,50 +192,67 @@ def plan_merges(counts: DataFrame, specs: Sequence[FeatureSpec], missing: str =
 class Classing:
     """Fitted coarse classes of a set of features.
 
-    ``edges`` and ``groups`` are small Python tables; ``counts`` and ``steps``
-    stay DataFrames (written to the shared folder by :func:`fit_classing`).
+    ``groups`` (feature, bin, grp, label, woe), ``counts`` and ``plan`` are
+    tables in the shared folder. The driver holds what the specifications
+    bound: edges and groups of numeric bins, and one fallback per text feature.
     """
 
     specs: list[FeatureSpec]
     edges: dict[str, list[float]]
-    groups: list[dict]  # feature, bin, grp, label, woe
+    groups: DataFrame
     counts: DataFrame | None = None
-    steps: DataFrame | None = None
+    plan: DataFrame | None = None
     missing: str = K.MISSING
-    _by_feature: dict[str, list[dict]] = field(default_factory=dict, repr=False)
-
-    def __post_init__(self):
-        for row in self.groups:
-            self._by_feature.setdefault(row["feature"], []).append(row)
 
     @property
     def features(self) -> list[str]:
         return [s.name for s in self.specs]
 
-    def of(self, feature: str) -> list[dict]:
-        return self._by_feature.get(feature, [])
+    @cached_property
+    def _numeric(self) -> dict[str, list]:
+        found: dict[str, list] = {f: [] for f in self.edges}
+        for row in self.groups.where(F.col("feature").isin(list(self.edges))).collect():
+            found[row["feature"]].append(row)
+        return found
+
+    @cached_property
+    def _spare(self) -> dict[str, Row]:
+        """Class that an unseen text takes: that of NULLs, else the smallest known."""
+        order = F.struct(F.col("bin") != self.missing, "bin")
+        rows = self.groups.where(~F.col("feature").isin(list(self.edges))).groupBy("feature").agg(
+            F.min_by(F.struct("grp", "label", "woe"), order).alias("spare"))
+        return {r["feature"]: r["spare"] for r in rows.collect()}
+
+    @cached_property
+    def _labels(self) -> dict[str, list[tuple[int, str]]]:
+        """``(group, label)`` of the groups seen in training: one per indicator column."""
+        found: dict[str, list[tuple[int, str]]] = {f: [] for f in self.features}
+        seen = self.groups.where("woe IS NOT NULL").select("feature", "grp", "label").distinct()
+        for row in seen.orderBy("feature", "grp").collect():
+            found[row["feature"]].append((row["grp"], row["label"]))
+        return found
+
+    def of(self, feature: str) -> list:
+        """Rows ``(feature, bin, grp, label, woe)`` of a numeric feature's bins."""
+        return self._numeric[feature]
 
     def labels(self, feature: str) -> list[str]:
         """Final group labels seen in training, in group order."""
-        seen = {r["grp"]: r["label"] for r in self.of(feature) if r["woe"] is not None}
-        return [seen[g] for g in sorted(seen)]
+        return [label for _, label in self._labels[feature]]
 
     def group_counts(self, all_steps: bool = False) -> DataFrame:
         """Counts per group, at the end or at every merge step."""
-        steps = self.steps
-        if not all_steps:
-            last = steps.groupBy("feature").agg(F.max("step").alias("step"))
-            steps = steps.join(F.broadcast(last), ["feature", "step"])  # one row per feature
         return (
-            steps.join(self.counts, ["feature", "bin"])
+            merge_steps(self.plan, not all_steps).join(self.counts, ["feature", "bin"])
             .groupBy("feature", "step", "grp", "merge_left", "merge_right", "reason")
+            # A group has at most ``max_merges`` + 1 base classes.
             .agg(F.sum("n_obs").alias("n_obs"), F.sum("n_good").alias("n_good"),
                  F.sort_array(F.collect_list("bin")).alias("members"))
         )
 
     def report(self) -> DataFrame:
         """Final WoE/IV report of all features in one table."""
-        names = self.groups_frame().groupBy("feature", "grp").agg(F.first("label").alias("bin"))
+        names = self.groups.groupBy("feature", "grp").agg(F.first("label").alias("bin"))
         return self._ordered_report(self.group_counts().join(names, ["feature", "grp"]), ("feature",))
 
     def history(self) -> DataFrame:
@@ -233,8 +268,8 @@ class Classing:
     def comparison(self) -> DataFrame:
         """Report before the first merge and after the last, stacked."""
         history = self.history()
-        last = self.steps.groupBy("feature").agg(F.max("step").alias("last"))
-        return history.join(F.broadcast(last), "feature").where(
+        last = self.plan.where("bin IS NULL").groupBy("feature").agg(F.max("at").alias("last"))
+        return history.join(F.broadcast(last), "feature").where(  # one row per feature
             (F.col("step") == 0) | (F.col("step") == F.col("last"))
         ).withColumn("stage", F.when(F.col("step") == F.col("last"), "final").otherwise("initial")).drop("last")
 
@@ -244,13 +279,6 @@ class Classing:
         order = F.when(F.col("feature").isin(continuous), F.col("grp")).otherwise(0)
         return W.woe_table(grouped.withColumn("_order", order), keys=keys, order_by="_order")
 
-    def groups_frame(self, spark: SparkSession | None = None) -> DataFrame:
-        """``groups(feature, bin, grp, label, woe)`` as a DataFrame."""
-        spark = spark or SparkSession.getActiveSession()
-        schema = "feature string, bin string, grp int, label string, woe double"
-        rows = [(r["feature"], r["bin"], r["grp"], r["label"], r["woe"]) for r in self.groups]
-        return spark.createDataFrame(rows, schema)
-
     # --- application -------------------------------------------------------------------
 
     def group_edges(self, feature: str) -> list[float]:
@@ -261,10 +289,11 @@ class Classing:
         return [edges[0], *inner, edges[-1]]
 
     def _with_groups(self, df: DataFrame) -> DataFrame:
-        """Adds the final group number ``<feature>__g`` of every feature.
+        """Adds number, label and WoE of every feature's final group: ``<feature>__g``, ``__l``, ``__w``.
 
         Numbers are cut at the merged edges, so a group is found by binary
-        search; texts go through a literal map, or a join when there are many.
+        search. Texts are joined to their classes: Spark broadcasts these below
+        its size threshold, and beyond it splits a class that many rows share.
         """
         cuts = {}
         for f in self.edges:
@@ -275,23 +304,23 @@ class Classing:
         placed = B.with_bin_ids(df, cuts, "__cut") if cuts else df
         columns: dict[str, Column] = {}
         for feature in [f for f in self.features if f in df.columns]:
-            rows = {r["bin"]: r["grp"] for r in self.of(feature)}
             if feature in self.edges:
+                rows = {r["bin"]: r["grp"] for r in self.of(feature)}
                 grp_by_cut = [rows.get(str(i), 0) for i in self._first_bins(feature)]
                 if len(cuts[feature]) > len(grp_by_cut) + 1:
                     grp_by_cut *= 2
                 number = F.get(F.array(*[F.lit(g) for g in grp_by_cut]), F.col(f"{feature}__cut"))
-                columns[f"{feature}__g"] = F.coalesce(number, F.lit(rows[self.missing]))
+                number = F.coalesce(number, F.lit(rows[self.missing]))
+                columns |= {f"{feature}__g": number, f"{feature}__l": self._by_group(feature, "label", number),
+                            f"{feature}__w": self._by_group(feature, "woe", number)}
                 continue
-            base, spare = S.base_class(feature, self.missing), rows[self._fallback(feature)]
-            if len(rows) > LITERAL_CLASSES:
-                mapping = self.groups_frame(df.sparkSession).where(F.col("feature") == feature).select(
-                    F.col("bin").alias(f"{feature}__base"), F.col("grp").alias(f"{feature}__found"))
-                placed = lookup_join(placed.withColumn(f"{feature}__base", base), mapping, f"{feature}__base")
-                number = F.col(f"{feature}__found")
-            else:
-                number = S.recode(base, rows)
-            columns[f"{feature}__g"] = F.coalesce(number, F.lit(spare))
+            known = self.groups.where(F.col("feature") == feature).select(
+                F.col("bin").alias(f"{feature}__base"), F.struct("grp", "label", "woe").alias(f"{feature}__found"))
+            placed = placed.withColumn(f"{feature}__base", S.base_class(feature, self.missing)).join(
+                known, f"{feature}__base", "left")
+            spare = self._spare[feature]
+            for short, name in (("g", "grp"), ("l", "label"), ("w", "woe")):
+                columns[f"{feature}__{short}"] = F.coalesce(F.col(f"{feature}__found")[name], F.lit(spare[name]))
         return placed.select(*df.columns, *[c.alias(n) for n, c in columns.items()])
 
     def _first_bins(self, feature: str) -> list[int]:
@@ -299,16 +328,11 @@ class Classing:
         edges, merged = self.edges[feature], self.group_edges(feature)
         return [edges.index(e) for e in merged[:-1]]
 
-    def _fallback(self, feature: str) -> str:
-        known = [r["bin"] for r in self.of(feature)]
-        return self.missing if self.missing in known else min(known)
-
-    def _by_group(self, feature: str, field_: str) -> Column:
-        """``field_`` of a group as a lookup by group number."""
+    def _by_group(self, feature: str, field_: str, number: Column) -> Column:
+        """``field_`` of a numeric feature's group as a lookup by group number."""
         values = {r["grp"]: r[field_] for r in self.of(feature)}
         kind = "double" if field_ == "woe" else "string"
-        items = [F.lit(values.get(g)).cast(kind) for g in range(max(values) + 1)]
-        return F.get(F.array(*items), F.col(f"{feature}__g"))
+        return F.get(F.array(*[F.lit(values.get(g)).cast(kind) for g in range(max(values) + 1)]), number)
 
     def transform(self, df: DataFrame, output: str = "both") -> DataFrame:
         """Adds ``<feature>_grp`` and/or ``<feature>_woe`` for every fitted feature.
@@ -321,9 +345,9 @@ class Classing:
         columns: list[Column] = []
         for feature in [f for f in self.features if f in df.columns]:
             if output != "woe":
-                columns.append(self._by_group(feature, "label").alias(f"{feature}_grp"))
+                columns.append(F.col(f"{feature}__l").alias(f"{feature}_grp"))
             if output != "group":
-                columns.append(self._by_group(feature, "woe").alias(f"{feature}_woe"))
+                columns.append(F.col(f"{feature}__w").alias(f"{feature}_woe"))
         return self._with_groups(df).select(*df.columns, *columns)
 
     def indicator_names(self) -> dict[str, list[tuple[str, str]]]:
@@ -340,10 +364,9 @@ class Classing:
         flags = []
         for feature, pairs in self.indicator_names().items():
             if feature in df.columns:
-                numbers = sorted({r["grp"] for r in self.of(feature) if r["woe"] is not None})
                 flags += [
                     F.when(F.col(f"{feature}__g") == g, 1).otherwise(0).alias(column)
-                    for g, (column, _) in zip(numbers, pairs)
+                    for (g, _), (column, _) in zip(self._labels[feature], pairs)
                 ]
         return self._with_groups(df).select(*keep, *flags)
 
@@ -352,7 +375,7 @@ class Classing:
     def save(self, spark: SparkSession, path: str, style: str = "half_open") -> None:
         """Writes ``bins``, ``groups`` and ``specs`` tables below ``path``."""
         B.bins_frame(spark, self.edges, style).write.mode("overwrite").parquet(f"{path}/bins")
-        self.groups_frame(spark).write.mode("overwrite").parquet(f"{path}/groups")
+        self.groups.write.mode("overwrite").parquet(f"{path}/groups")
         specs = [(i, json.dumps(asdict(s))) for i, s in enumerate(self.specs)]
         spark.createDataFrame(specs, "position int, spec string").coalesce(1).write.mode(
             "overwrite").parquet(f"{path}/specs")
@@ -362,7 +385,7 @@ class Classing:
         edges: dict[str, list[float]] = {}
         for row in spark.read.parquet(f"{path}/bins").orderBy("feature", "bin_id").collect():
             edges.setdefault(row["feature"], [row["lo"]]).append(row["hi"])
-        groups = [r.asDict() for r in spark.read.parquet(f"{path}/groups").collect()]
+        groups = spark.read.parquet(f"{path}/groups")
         specs = spark.read.parquet(f"{path}/specs").orderBy("position").collect()
         return Classing([FeatureSpec(**json.loads(r["spec"])) for r in specs], edges, groups)
 
@@ -381,7 +404,7 @@ def group_label(members: Sequence[str], spec: FeatureSpec, edges: Sequence[float
     return " | ".join(parts)
 
 
-def _final_groups(final: list, spec: FeatureSpec, edges: Sequence[float] | None, missing: str,
+def _final_groups(final: list[dict], spec: FeatureSpec, edges: Sequence[float] | None, missing: str,
                   style: str) -> list[dict]:
     """Group, label and WoE of every base class; bins empty in training join the left one."""
     order = {r["bin"]: i for i, r in enumerate(final)}
@@ -433,22 +456,16 @@ def fit_classing(train: DataFrame, specs: Sequence[FeatureSpec], target: str = "
     classes = B.base_classes(train, discrete, edges, keep=[target], missing=missing)
     counted = W.class_counts(classes, {s.name: s.name for s in specs}, target, good_value)
     counts = cut_lineage(counted, "class-counts")
-    sizes = counts.groupBy("feature").count().where(F.col("count") > MAX_CLASSES).collect()
-    if sizes:
-        raise ValueError("too many distinct values to class: "
-                         + ", ".join(f"{r['feature']} ({r['count']})" for r in sizes))
-    steps = cut_lineage(plan_merges(counts, specs, missing), "merge-steps")
-    last = steps.groupBy("feature").agg(F.max("step").alias("step"))
-    final = (
-        steps.join(F.broadcast(last), ["feature", "step"])  # one row per feature
-        .join(counts, ["feature", "bin"]).select("feature", "bin", "grp", "n_obs", "n_good").collect()
-    )
-    by_feature: dict[str, list] = {}
-    for row in final:
-        by_feature.setdefault(row["feature"], []).append(row)
-    groups: list[dict] = []
-    for spec in specs:
-        groups += _final_groups(
-            sorted(by_feature.get(spec.name, []), key=lambda r: r["bin"]), spec, edges.get(spec.name),
-            missing, label_style)
-    return Classing(list(specs), edges, groups, counts, steps, missing)
+    plan = cut_lineage(plan_merges(counts, specs, missing), "merge-plan")
+    by_name = {s.name: asdict(s) for s in specs}
+
+    def name_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+        spec = FeatureSpec(**by_name[pdf["feature"].iloc[0]])
+        final = pdf.sort_values("bin").to_dict("records")
+        rows = _final_groups(final, spec, edges.get(spec.name), missing, label_style)
+        return pd.DataFrame(rows, columns=["feature", "bin", "grp", "label", "woe"])
+
+    final = merge_steps(plan, last_only=True).join(counts, ["feature", "bin"]).select(
+        "feature", "bin", "grp", "n_obs", "n_good")
+    groups = cut_lineage(final.groupBy("feature").applyInPandas(name_groups, GROUPS_SCHEMA), "groups")
+    return Classing(list(specs), edges, groups, counts, plan, missing)

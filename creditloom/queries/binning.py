@@ -281,7 +281,7 @@ def coarse_classing_comparison(spark, d):
 SELECT r.feature, r.bin, CAST(r.g AS INTEGER) AS grp, ROUND(p.woe, 6) AS woe FROM ranked r
 JOIN report p ON r.feature = p.feature AND r.g = p.g WHERE r.step = r.last"""))
 def coarse_classing_mapping(spark, d):
-    return rounded(fitted(spark, d).groups_frame(spark).where("woe IS NOT NULL").select("feature", "bin", "grp", "woe"))
+    return rounded(fitted(spark, d).groups.where("woe IS NOT NULL").select("feature", "bin", "grp", "woe"))
 
 
 TRAIN = "((id % 2147483647) * 48271 % 2147483647) % 1000 < 800"
@@ -320,7 +320,7 @@ def indicator_columns(spark, d):
     """Ones per indicator column of the test part, with the group it stands for."""
     train, test = P.stable_split(all_loans(spark, d))
     classing = fitted(spark, d, loans=train)
-    order = {(row["feature"], row["label"]): row["grp"] for row in classing.groups}
+    order = {(row["feature"], row["label"]): row["grp"] for row in classing.groups.select("feature", "label", "grp").distinct().collect()}
     named = [(c, f, order[f, label]) for f, pairs in classing.indicator_names().items() for c, label in pairs]
     flags = classing.indicators(test)
     sums = flags.agg(*[F.sum(f"`{c}`").alias(c) for c, _, _ in named])

@@ -38,17 +38,18 @@ def loss_targets(spark, d):
 
 @query("expected_loss", sql_on("loan_book", "scored", body=f"""WITH {EL}
 SELECT id, y AS y_true, pd_b AS "PD_baseline", pd_a AS "PD_hybrid", ROUND(lgd, 6) AS lgd_pred, ROUND(ead, 4) AS ead_pred,
-  ROUND(el_b + 3e-9, 3) AS "EL_baseline", ROUND(el_h + 3e-9, 3) AS "EL_hybrid", ROUND(el_h - el_b + 3e-9, 3) AS "EL_delta" FROM el"""))
+  FLOOR(el_b * 1000 + 0.5::DOUBLE) / 1000 AS "EL_baseline", FLOOR(el_h * 1000 + 0.5::DOUBLE) / 1000 AS "EL_hybrid",
+  FLOOR((el_h - el_b) * 1000 + 0.5::DOUBLE) / 1000 AS "EL_delta" FROM el"""))
 def expected_loss(spark, d):
-    """Loss per loan.
+    """Loss per loan, to a tenth of a cent.
 
     A fully repaid loan's loss is a multiple of 1e-8 and may sit on a rounding
-    boundary; both engines add the same 3e-9, which moves it off.
+    boundary, where the engines' own ROUND differ; both round by FLOOR here.
     """
     el = given_scores(spark, d)
     names = ["EL_baseline", "EL_hybrid", "EL_delta"]
-    moved = el.withColumns({c: F.col(c) + 3e-9 for c in names})
-    return rounded(moved, ead_pred=4, **{c: 3 for c in names})
+    cents = {c: F.floor(F.col(c) * 1000 + 0.5) / 1000 for c in names}
+    return rounded(el, ead_pred=4, **{c: 12 for c in names}).withColumns(cents)
 
 
 @query("expected_loss_summary", sql_on("loan_book", "scored", body=f"""WITH {EL}

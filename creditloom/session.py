@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only after a count proved it stays below this.
-BROADCAST_ROW_LIMIT = 1_000_000
+# A lookup side is broadcast only after its measured bytes proved to stay below this.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,9 +66,20 @@ def unnest(df: DataFrame, keep: list[str], array: Column | str, *names: str) ->
     return rows.where(F.col(names[-1]).isNotNull())
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``limit`` rows; stops counting beyond it."""
-    return df.limit(limit + 1).count() <= limit
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``: 16 a row and plain value, 8 an array element, texts and other types by length."""
+    def width(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.octet_length(c)
+        if kind in ("array<double>", "array<float>", "array<bigint>", "array<int>"):
+            return 8 * F.array_size(c)
+        if "<" in kind or kind == "vector":
+            return F.octet_length(F.to_json(F.struct(c)))
+        return F.lit(0)
+
+    row = sum((F.coalesce(width(n, k), F.lit(0)) + 16 for n, k in df.dtypes), F.lit(16))
+    return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
 
 
 def lookup_join(
@@ -79,17 +90,17 @@ def lookup_join(
     *,
     salt_by: str | None = None,
     salts: int = 16,
-    limit: int = BROADCAST_ROW_LIMIT,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join a large, possibly skewed fact table to a lookup with one row per key.
 
-    A lookup proven small is broadcast, so no fact row moves. A larger one is
-    copied once per salt and the facts are spread over the salts by a hash of
+    A lookup of at most ``limit`` measured bytes is broadcast, so no fact row
+    moves. A larger one is copied once per salt and the facts are spread over the salts by a hash of
     ``salt_by``: a key that holds a third of all facts is then shared by
     ``salts`` tasks. The salt depends on the row only, so a recomputed task
     places its rows as before.
     """
-    if is_small(lookup, limit):
+    if measured_bytes(lookup) <= limit:
         return facts.join(F.broadcast(lookup), on=on, how=how)
     if salt_by is None:
         return facts.join(lookup, on=on, how=how)

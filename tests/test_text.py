@@ -130,6 +130,13 @@ def test_lookup_join_ways_agree(spark):
     assert small.exceptAll(salted.select(*small.columns)).count() == 0 and salted.count() == 900
 
 
+def test_measured_bytes(spark):
+    from creditloom.session import measured_bytes
+    wide = spark.range(10).select("id", F.array_repeat(F.lit(1.0), 300).alias("v"), F.repeat(F.lit("é"), 50).alias("s"))
+    assert measured_bytes(wide) == 10 * (16 + 16 + 16 + 300 * 8 + 16 + 100)
+    assert measured_bytes(wide.limit(0)) == 0
+
+
 def test_text_score_and_one_hot(spark):
     rows = [(i, i % 4 > 0, Vectors.dense([float(i % 4 > 0), 0.1 * (i % 3)])) for i in range(80)]
     df = spark.createDataFrame([(i, int(g), v) for i, g, v in rows], ["id", "good_bad", "v"])
