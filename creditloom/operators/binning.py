@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from creditloom import constants as K
 from creditloom.functions import scalars as S
-from creditloom.operators.prefix import exact_quantiles, range_edges
+from creditloom.operators.prefix import exact_quantiles
 from creditloom.operators.profile import long_values
 
 INF = float("inf")
@@ -34,9 +34,7 @@ def numeric_edges(df: DataFrame, bins: Mapping[str, int], *, exact: bool = False
     columns = list(bins)
     points = sorted({i / n for n in bins.values() for i in range(1, n)})
     if exact:
-        values = long_values(df, columns)
-        edges = range_edges(values, "value")
-        rows = exact_quantiles(values, "value", points, keys=("column",), edges=edges).collect()
+        rows = exact_quantiles(long_values(df, columns), "value", points, keys=("column",)).collect()
         found = {(row["column"], row["q"]): row["value"] for row in rows}
     else:
         wide = df.select(*[S.numeric(df, c).alias(c) for c in columns])

@@ -441,13 +441,14 @@ def fit_classing(train: DataFrame, specs: Sequence[FeatureSpec], target: str = "
                  missing: str = K.MISSING, label_style: str = "half_open") -> Classing:
     """Fit bins, merges and weights of all features.
 
-    Given ``edges`` replace the quantile edges of their features. The counts
-    are written once to the shared folder, so neither the merge steps nor any
-    report reads the training data again.
+    Given ``edges`` replace the quantile edges of their features. The needed
+    columns are written once to the shared folder, for edges and counts to read;
+    then the counts, so neither the merge steps nor any report reads rows again.
     """
     for name in [*[s.name for s in specs], target]:
         if name not in train.columns:
             raise ValueError(f"column {name!r} is not in the training frame")
+    train = cut_lineage(train.select(*{s.name: 0 for s in specs} | {target: 0}), "classing-rows")
     edges = {f: list(e) for f, e in (edges or {}).items()}
     to_cut = {s.name: s.bins for s in specs if s.kind == "continuous" and s.name not in edges}
     if to_cut:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from creditloom.session import cut_lineage
+
 MAX_RANGES = 4000
 
 
@@ -96,21 +98,22 @@ def exact_quantiles(
     points: Sequence[float],
     *,
     keys: Sequence[str] = (),
-    edges: Sequence[float] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """``(keys…, q, value)``: linearly interpolated quantiles, exact at any size.
 
-    A first pass counts rows per value range (a few thousand numbers per key,
-    summed in the tasks and brought to the driver). It tells which ranges hold
-    the wanted ranks; a second pass shuffles and orders those ranges only. NULL
-    and NaN are left out. ``keys`` name few groups, such as features or models.
+    The data is read once, for a written table of rows (or their ``weight``) per
+    distinct value. Its counts per value range (a few thousand numbers per key,
+    summed in the tasks and brought to the driver) tell which ranges hold the
+    wanted ranks, and only those ranges are ordered. NULL and NaN are left out.
+    ``keys`` name few groups, such as features or models.
     """
     keys = list(keys)
-    clean = df.select(*keys, value).where(F.col(value).isNotNull() & ~F.isnan(value))
-    if edges is None:
-        edges = range_edges(clean, value)
-    ranged = with_range(clean, value, edges)
-    totals = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("n")).collect()
+    clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = cut_lineage(clean.groupBy(*keys, value).agg(rows.cast("long").alias("_c")), "value-counts")
+    ranged = with_range(counts, value, range_edges(counts, value))
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("n")).collect()
     per_key: dict[tuple, list[tuple[int, int]]] = {}
     for row in totals:
         per_key.setdefault(tuple(row[k] for k in keys), []).append((row["_range"], row["n"]))
@@ -118,7 +121,7 @@ def exact_quantiles(
         (*key, *place) for key, sizes in per_key.items() for place in _rank_places(sorted(sizes), points)
     ]
     schema = StructType([
-        *[clean.schema[k] for k in keys],
+        *[counts.schema[k] for k in keys],
         *StructType.fromDDL("_range int, q double, _share double, _rank long").fields,
     ])
     # At most two ranks per point and key: safe to broadcast.
@@ -127,11 +130,7 @@ def exact_quantiles(
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    walked = (
-        ranged.join(needed, [*keys, "_range"], "left_semi")
-        .groupBy(*keys, "_range", value).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(inside))
-    )
+    walked = ranged.join(needed, [*keys, "_range"], "left_semi").withColumn("_upto", F.sum("_c").over(inside))
     hits = walked.join(F.broadcast(places), [*keys, "_range"]).where(
         (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
     )

@@ -11,6 +11,7 @@ from creditloom.operators import prep as P
 from creditloom.operators import woe as W
 from creditloom.plans import views as V
 from creditloom.queries.registry import query, sql_on
+from creditloom.session import cut_lineage
 
 DISCRETE = ["grade", "purpose", "addr_state"]
 CONTINUOUS = {f: K.CONTINUOUS_FEATURES[f][0] for f in ("funded_amnt", "dti", "open_acc", "int_rate")}
@@ -78,7 +79,7 @@ def all_loans(spark, d):
 
 
 def numeric_counts(spark, d, loans=None):
-    loans = V.loan_book(spark, d, "good_bad", *CONTINUOUS)
+    loans = cut_lineage(V.loan_book(spark, d, "good_bad", *CONTINUOUS), "loans")
     edges = B.numeric_edges(loans, CONTINUOUS, exact=True)
     classes = B.base_classes(loans, [], edges, keep=["good_bad"])
     return W.class_counts(classes, {f: f for f in CONTINUOUS})
