@@ -37,6 +37,8 @@ P_BARRIERS = frozenset("table td th caption button object html body".split())
 PARAGRAPHS = frozenset("p pre td blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TAG_POINTS = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0}
+# Words of class, id and role names that mark a reader comment, also on an article element.
+COMMENT = frozenset("comment comments disqus replies reply".split())
 # Words of class, id and role names that mark what is not the article.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent"
@@ -52,7 +54,7 @@ TOKEN = re.compile(
       |(?P<text>[^<]++|<)""",
     re.S | re.X,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 COMMAS = re.compile("[,،、，]")
 
 
@@ -66,8 +68,8 @@ class Node:
         self.chars = self.link_chars = 0
 
 
-def not_article(attrs: str) -> bool:
-    """Whether the attributes hide an element or mark it as page furniture."""
+def not_article(attrs: str, words: frozenset[str] = NOT_ARTICLE) -> bool:
+    """Whether the attributes hide an element or mark it as page furniture by one of ``words``."""
     if not attrs or attrs.isspace():
         return False
     for found in ATTRIBUTE.finditer(attrs):
@@ -76,7 +78,7 @@ def not_article(attrs: str) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role") and not NOT_ARTICLE.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id", "role") and not words.isdisjoint(re.split(r"[^a-z]+", value)):
             return True
     return False
 
@@ -132,7 +134,7 @@ def parse(page: str) -> Node:
         parent = stack[-1]
         dropped = parent.dropped or name in DROPPED or (
             name == "header" and not (opened.get("article") or opened.get("main"))
-        ) or (name not in ("article", "main") and not_article(attrs))
+        ) or not_article(attrs, COMMENT if name in ("article", "main") else NOT_ARTICLE)
         if name in VOID:
             if name == "br" or name == "hr":
                 parent.parts.append(" ")

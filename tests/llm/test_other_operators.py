@@ -114,6 +114,13 @@ def test_main_text():
     assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_attributes_are_read_by_name():
+    text = html_text.main_text
+    assert text('<p title="a hidden id=ad">Kept, all of it.</p><p data-id="comments" data-hidden>And this, too.</p>') == "Kept, all of it. And this, too."
+    assert text("<p id=sidebar>a</p><p hidden>b</p><p style='display: none'>c</p><p aria-hidden=true>d</p><p aria-hidden=false>e</p>") == "e"
+    assert text('<article class="post ad-free"><p>Body, of some length.</p></article><article class="comment"><p>Reader, at length.</p></article>') == "Body, of some length."
+
+
 def test_extract_handles_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "old"), (1, "", "old"), (2, "<p>" + "a, " * 50000, "old")], "page_id long, html string, text string")
     assert [len(r.text) for r in html_text.extract(df).orderBy("page_id").collect()] == [0, 0, 149999]
