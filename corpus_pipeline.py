@@ -4,8 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)``, with ``docs`` read from Parquet, and
 returns a DataFrame that is written and read again as the next stage's ``docs``.
 All but the last return the columns of ``documents``.
 
-Rows are followed through a stage by their place in the table's files, so rows
-that repeat an id, or have none, stay rows of their own.
+Rows are followed through a stage by file and place in the file, so rows that
+repeat an id, or have none, stay rows of their own. That place does not depend
+on how a scan is split, which follows the executors present at the time.
 """
 
 from __future__ import annotations
@@ -22,11 +23,20 @@ from creditloom.llm import bpe, line_dedup, mixing, ngram_join, quality_rules  #
 from creditloom.session import new_path  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# More than a Parquet file has rows: a row key is the file's number times this, plus the row's place.
+ROWS_OF_FILE = 1 << 36
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """The documents with a row key from their place in the files, the same in every scan."""
-    return docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    """The documents with a row key from file and place in it, the same in every scan; ``docs`` is read from Parquet."""
+    at = docs.metadataColumn("_metadata")
+    files = docs.select(at["file_path"].alias("file")).distinct().orderBy("file").collect()
+    # One row per file of the table, a list that the scan's own plan holds too.
+    numbers = docs.sparkSession.createDataFrame([(f, n) for n, (f,) in enumerate(files)], "_file string, _number long")
+    rows = docs.select(*COLUMNS, at["file_path"].alias("_path"), at["row_index"].alias("_place"))
+    return rows.join(F.broadcast(numbers), F.col("_path") == F.col("_file")).select(
+        *COLUMNS, (F.col("_number") * F.lit(ROWS_OF_FILE) + F.col("_place")).alias("_row")
+    )
 
 
 def with_text(docs: DataFrame, text) -> DataFrame:

@@ -221,20 +221,19 @@ def line_digest(line: str) -> bytes:
 
 
 def occurrences(source: DataFrame, min_chars: int) -> DataFrame:
-    """``row, id, line_no, digest`` of each line with ``min_chars`` characters or more."""
+    """Per document of ``source(row, id, text)``: ``row, id, n_lines`` and number and digest of each line with ``min_chars`` characters or more."""
 
     def run(batch):
-        rows, ids, numbers, digests = [], [], [], []
-        for row, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for number, line in enumerate((text or "").split("\n")):
-                if len(line) >= min_chars:
-                    rows.append(row)
-                    ids.append(own)
-                    numbers.append(number)
-                    digests.append(line_digest(line))
-        return [rows, ids, numbers, digests]
+        counts, numbers, digests = [], [], []
+        for text in batch.column(2).to_pylist():
+            lines = [] if text is None else text.split("\n")
+            chosen = [(n, line_digest(x)) for n, x in enumerate(lines) if len(x) >= min_chars]
+            counts.append(len(lines))
+            numbers.append([n for n, _ in chosen])
+            digests.append([d for _, d in chosen])
+        return [batch.column(0), batch.column(1), counts, numbers, digests]
 
-    return arrow_map(source, run, "row long, id long, line_no int, digest binary")
+    return arrow_map(source, run, "row long, id long, n_lines long, numbers array<int>, digests array<binary>")
 
 
 def near_lines(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -334,9 +333,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if min_chars < edits + 1:
         raise ValueError("min_chars must exceed edits")
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.lit(None)
     source = docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = cut_lineage(occurrences(source, min_chars), "lines")
+    table = occurrences(source, min_chars)
+    # Row keys are given once, as the table is written: another scan of the texts might be split otherwise.
+    table = cut_lineage(table if row_col else table.withColumn("row", F.monotonically_increasing_id()), "lines")
+    lines = table.select("row", "id", F.explode(F.arrays_zip("numbers", "digests")).alias("line")).select(
+        "row", "id", F.col("line.numbers").alias("line_no"), F.col("line.digests").alias("digest")
+    )
     spot = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
     groups = lines.groupBy("digest").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("size"))
     labels = components(near_lines(source, edits, min_chars), "lines-classes")
@@ -351,8 +355,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "line_no", F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_line")
         ))).alias("repeats"))
     )
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
-    return source.select("row", "id", n_lines.cast("long").alias("n_lines")).join(gone, "row", "left").select(
+    return table.select("row", "id", "n_lines").join(gone, "row", "left").select(
         "id", "row", "n_lines", F.coalesce(F.size("repeats"), F.lit(0)).cast("long").alias("n_removed"), "repeats",
     )
 
