@@ -206,7 +206,7 @@ SPECS = [
 NUMERIC_NAMES = ", ".join(f"'{f}'" for f in CONTINUOUS)
 
 # The merge loop as a recursive query: one step per round, all features at once.
-MERGES = """
+MERGE_STEPS = """
 base AS (SELECT feature, bin, n_obs, n_good, row_number() OVER (PARTITION BY feature ORDER BY
     CASE WHEN feature IN ({numeric}) THEN COALESCE(TRY_CAST(bin AS INTEGER), 1000000) ELSE 0 END, bin) - 1 AS grp FROM counts),
 rec AS (
@@ -234,9 +234,17 @@ rec AS (
   SELECT r.feature, r.step + 1, r.bin, r.n_obs, r.n_good, CASE WHEN r.grp = p.hi THEN p.lo ELSE r.grp END
   FROM rec r JOIN pick p ON r.feature = p.feature WHERE r.step < 50)),
 ranked AS (SELECT *, dense_rank() OVER (PARTITION BY feature, step ORDER BY grp) - 1 AS g,
-  MAX(step) OVER (PARTITION BY feature) AS last FROM rec)""".format(numeric=NUMERIC_NAMES, monotonic=", ".join(f"'{f}'" for f in MONOTONIC))
+  MAX(step) OVER (PARTITION BY feature) AS last FROM rec)"""
 ALL_COUNTS = f"counts AS ({DISCRETE_COUNTS} UNION ALL {NUMERIC_COUNTS})"
-FITTED = f"WITH RECURSIVE {EDGES}, {ALL_COUNTS}, {MERGES}"
+
+
+def fitted_sql(monotonic: list[str]) -> str:
+    steps = MERGE_STEPS.format(numeric=NUMERIC_NAMES, monotonic=", ".join(f"'{f}'" for f in monotonic))
+    return f"WITH RECURSIVE {EDGES}, {ALL_COUNTS}, {steps}"
+
+
+FITTED = fitted_sql(MONOTONIC)
+
 
 def fitted(spark, d, specs=SPECS, loans=None):
     return C.fit_classing(all_loans(spark, d) if loans is None else loans, specs, exact_edges=True)
@@ -260,6 +268,18 @@ def coarse_classing_report(spark, d):
         "feature", "position", "n_obs", "n_good", "n_bad", "prop_good", "woe", "diff_woe", "iv_component", "iv"))
 
 
+@query("default_spec_classing", sql_on("loan_book", body=f"""
+{fitted_sql([f for f in CONTINUOUS if K.CONTINUOUS_FEATURES[f][1]])}, {merged_report('feature', 'step = last')}
+SELECT CASE feature WHEN 'dti' THEN 'dti_factor' ELSE feature END AS feature, CAST(position AS INTEGER) AS position, n_obs, n_good, n_bad,
+  ROUND(woe, 6) AS woe, ROUND(iv, 6) AS iv FROM report"""))
+def default_spec_classing(spark, d):
+    """Features, aliases, class counts and orders resolved from the default specs, with nothing named here."""
+    loans = V.loan_book(spark, d).withColumnRenamed("dti", "dti_factor")
+    specs, names, _ = C.default_specs(loans)
+    report = fitted(spark, d, specs, loans.select("id", "good_bad", *names.values())).report()
+    return rounded(report.select("feature", "position", "n_obs", "n_good", "n_bad", "woe", "iv"))
+
+
 @query("coarse_classing_history", sql_on("loan_book", body=f"""
 {FITTED}, {merged_report('feature, step', 'TRUE')}
 SELECT feature, CAST(step AS INTEGER) AS step, CAST(position AS INTEGER) AS position, bin, n_obs, n_good, ROUND(woe, 6) AS woe, ROUND(iv, 6) AS iv FROM report"""))

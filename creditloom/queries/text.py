@@ -10,6 +10,7 @@ from creditloom.operators import text as X
 from creditloom.operators import profile as E
 from creditloom.plans import views as V
 from creditloom.queries.registry import query, sql_on
+from creditloom.session import cut_lineage
 
 
 def r(c, digits=6):
@@ -70,6 +71,22 @@ def clean_tokens(spark, d):
         "id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.sort_array("t"), " ").alias("joined"))
 
 
+@query("clean_tokens_lemmas", sql_on("loan_text", body=f"""WITH {TOKENS},
+words AS (SELECT DISTINCT token FROM tokens),
+lemmas AS (SELECT a.token, b.token AS lemma FROM words a JOIN words b ON a.token = b.token || 's'),
+named AS (SELECT t.id, COALESCE(l.lemma, t.token) AS token FROM tokens t LEFT JOIN lemmas l ON t.token = l.token)
+SELECT t.id, COALESCE(k.n, 0) AS n_tokens, COALESCE(k.joined, '') AS joined FROM loan_text t LEFT JOIN (
+  SELECT id, COUNT(*) AS n, string_agg(token, ' ' ORDER BY token) AS joined FROM named GROUP BY id) k ON t.id = k.id"""))
+def clean_tokens_lemmas(spark, d):
+    """The dictionary comes from the texts: a word with an ``s`` after another word stands for that."""
+    frame = cut_lineage(V.loan_text(spark, d).select("id", X.clean_tokens("desc_").alias("t")), "tokens")
+    words = frame.select(F.explode("t").alias("lemma")).distinct()
+    several = words.select(F.col("lemma").alias("token"))
+    lemmas = several.join(words, F.col("token") == F.concat("lemma", F.lit("s")))
+    return X.with_lemmas(frame, "t", lemmas).select(
+        "id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.sort_array("t"), " ").alias("joined"))
+
+
 @query("token_frequency", sql_on("loan_text", body=f"""WITH {TOKENS}
 SELECT token, COUNT(*) AS "count" FROM tokens GROUP BY token ORDER BY 2 DESC, 1 LIMIT 5000"""))
 def token_frequency(spark, d):
