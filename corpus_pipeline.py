@@ -22,6 +22,8 @@ from pyspark.sql import functions as F  # noqa: E402
 from creditloom.llm import bpe, line_dedup, mixing, ngram_join, quality_rules  # noqa: E402
 from creditloom.session import new_path  # noqa: E402
 
+# Near duplicates share this per cent of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # More than a Parquet file has rows: a row key is the file's number times this, plus the row's place.
 ROWS_OF_FILE = 1 << 36
@@ -69,7 +71,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one stays. Documents without words are in no group and stay.
     """
     rows = placed(docs)
-    ranked = ngram_join.similar_documents(rows, id_col="_row").select(F.col("id").alias("_row"), F.col("component_id").alias("_group"))
+    found = ngram_join.similar_documents(rows, id_col="_row", words=NEAR_WORDS, percent=NEAR_PERCENT)
+    ranked = found.select(F.col("id").alias("_row"), F.col("component_id").alias("_group"))
     ids = rows.select("_row", "doc_id").join(ranked, "_row")
     smallest = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first"))
     return rows.join(smallest.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)

@@ -60,6 +60,23 @@ def test_stages_take_effect(spark, docs_of, tmp_path):
     assert all(r.n_tokens * 4 == len(r.ids) for r in tokens.collect())
 
 
+def test_near_stage_matches_brute_force(spark, docs_of, tmp_path):
+    base = [unique(k, 200).split() for k in range(12)]
+    texts = [" ".join(b) for b in base]
+    # One changed word per step of 200 / k: between the settings of the stage and of op5's query.
+    texts += [" ".join(f"c{k}y{j}" if j % (200 // (k + 1)) == 50 // (k + 1) else w for j, w in enumerate(b)) for k, b in enumerate(base)]
+    sets = lambda words: [{tuple(w[j : j + words]) for j in range(len(w) - words + 1)} for w in map(str.split, texts)]
+
+    def reached(words, percent):
+        s = sets(words)
+        return {k for k in range(12) if 100 * len(s[k] & s[12 + k]) >= percent * len(s[k] | s[12 + k])}
+
+    assert 0 < len(reached(3, 90)) < len(reached(5, 80)) < 12
+    docs_of(list(enumerate(texts))).write.parquet(str(tmp_path / "in"))
+    left = corpus_pipeline.near_stage(spark, spark.read.parquet(str(tmp_path / "in")), "").collect()
+    assert {r.doc_id for r in left} == {*range(24)} - {12 + k for k in reached(5, 80)}
+
+
 def test_empty_tables_pass(spark, docs_of, tmp_path):
     docs_of([]).write.parquet(str(tmp_path / "in"))
     assert [d.count() for d in chained(spark, spark.read.parquet(str(tmp_path / "in")), tmp_path)] == [0] * 5
