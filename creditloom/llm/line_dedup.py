@@ -4,6 +4,7 @@ Two lines within ``edits`` edits share one of the first line's ``edits + 1``
 segments unchanged. Segments are indexed with line length and segment number,
 each line probes the few substrings of every shorter or equal length that can
 hold a segment, and candidates are verified by a banded bit-parallel edit distance.
+Equal lines are found by digest at any length.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from creditloom.llm.common import arrow_map, components, semi_join_keys
 from creditloom.session import cut_lineage
 
 EDITS = 2
+# Shorter lines are linked if equal only: a few edits make other lines of them.
 MIN_CHARS = 30
+# What a line without a word consists of.
+BLANK = " \t\n\v\f\r"
 # A segment's lines are compared in blocks of about this many by this many.
 BLOCK = 512
 # Cells (pairs x characters) verified at a time.
@@ -220,14 +224,14 @@ def line_digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8"))
 
 
-def occurrences(source: DataFrame, min_chars: int) -> DataFrame:
-    """Per document of ``source(row, id, text)``: ``row, id, n_lines`` and number and digest of each line with ``min_chars`` characters or more."""
+def occurrences(source: DataFrame) -> DataFrame:
+    """Per document of ``source(row, id, text)``: ``row, id, n_lines`` and number and digest of each line with a word."""
 
     def run(batch):
         counts, numbers, digests = [], [], []
         for text in batch.column(2).to_pylist():
             lines = [] if text is None else text.split("\n")
-            chosen = [(n, line_digest(x)) for n, x in enumerate(lines) if len(x) >= min_chars]
+            chosen = [(n, line_digest(x)) for n, x in enumerate(lines) if x.strip(BLANK)]
             counts.append(len(lines))
             numbers.append([n for n, _ in chosen])
             digests.append([d for _, d in chosen])
@@ -237,7 +241,7 @@ def occurrences(source: DataFrame, min_chars: int) -> DataFrame:
 
 
 def near_lines(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Links between different lines within ``edits`` edits; enough of them to connect all."""
+    """Links between different lines of ``min_chars`` characters or more within ``edits`` edits; enough of them to connect all."""
 
     # Lines and plans that a task has met; empty here, and emptied when large, which only repeats rows.
     seen, plans = set(), {}
@@ -249,7 +253,7 @@ def near_lines(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
         for text in batch.column(0).to_pylist():
             for line in (text or "").split("\n"):
                 size = len(line)
-                if size < min_chars:
+                if size < min_chars or not line.strip(BLANK):
                     continue
                 number = xxhash.xxh3_64_intdigest(line.encode("utf-8"))
                 if number in seen:
@@ -284,7 +288,7 @@ def near_lines(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
             met.clear()
         for text in batch.column(0).to_pylist():
             for line in (text or "").split("\n"):
-                if len(line) < min_chars:
+                if len(line) < min_chars or not line.strip(BLANK):
                     continue
                 number = xxhash.xxh3_64_intdigest(line.encode("utf-8"))
                 if number not in met:
@@ -324,10 +328,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``repeats`` lists the lines that go, each as ``(line_no, first_id,
     first_line)``: its number in the text and the first line of its class, in
-    order of id (null last), row and line. A class holds equal lines and all that
-    links of at most ``edits`` edits (in code points) connect; its first line
-    stays. Lines end at ``\\n``; those under ``min_chars`` characters are too
-    short to tell and always stay. A null text has no lines. Rows that repeat an
+    order of id (null last), row and line. A class holds equal lines of any
+    length and all that links of at most ``edits`` edits (in code points) between
+    lines of ``min_chars`` characters or more connect; its first line stays.
+    Lines end at ``\\n``; those without a word always stay. A null text has no lines. Rows that repeat an
     id are documents of their own, told apart by ``row``; ``row_col`` names a
     caller's row key, which must be unique. An empty table gives an empty result.
     """
@@ -335,7 +339,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("min_chars must exceed edits")
     row = F.col(row_col) if row_col else F.lit(None)
     source = docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = occurrences(source, min_chars)
+    table = occurrences(source)
     # Row keys are given once, as the table is written: another scan of the texts might be split otherwise.
     table = cut_lineage(table if row_col else table.withColumn("row", F.monotonically_increasing_id()), "lines")
     lines = table.select("row", "id", F.explode(F.arrays_zip("numbers", "digests")).alias("line")).select(

@@ -72,6 +72,14 @@ def test_repeated_lines_match_brute_force(docs_of, monkeypatch):
     assert [x.n_removed for x in got] == [len(x.repeats or []) for x in got]
 
 
+def test_equal_short_lines_are_repeats(docs_of):
+    rows = [(k, f"All rights reserved.\n\n \t\nOwn {k}\nA line that is long enough for edits {k}.") for k in range(30)]
+    rows += [(40, "All rights reserved!\nx"), (41, "x\nx\n\n")]
+    got = {r.id: [(x.line_no, x.first_id, x.first_line) for x in r.repeats or []] for r in line_dedup.repeated_lines(docs_of(rows)).collect()}
+    assert got[0] == [] and all(got[k] == [(0, 0, 0), (4, 0, 4)] for k in range(1, 30))
+    assert got[40] == [] and got[41] == [(0, 40, 1), (1, 40, 1)]
+
+
 def test_lines_are_taken_out(spark):
     from pyspark.sql import functions as F
 
