@@ -19,7 +19,7 @@ RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
-# Words in a host's labels that mark a URL as unwanted, for labelling.
+# Words in a host's labels that mark a URL as unwanted; where no rule covers it; they fit few tables.
 UNWANTED = ("ads", "bets", "casino", "cheap", "pills", "spam")
 # The trees are fitted on at most so many labelled URLs, those with the smallest hash.
 TRAINING_ROWS = 20_000
@@ -91,16 +91,19 @@ def train(labelled: DataFrame) -> tuple[GBTClassificationModel, DataFrame]:
     return trees, suffixes
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None) -> DataFrame:
-    """One row per page: ``id, host, path, rule, verdict, score``.
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None, words: tuple[str, ...] = UNWANTED) -> DataFrame:
+    """One row per page: ``id, host, path, rule, verdict, score, judged_by``.
 
     The longest rule that fits decides; other URLs are judged by the trees,
     blocked from a score of 0.5. ``labels`` (``url``, ``label`` 1 for unwanted)
-    trains them; without it URLs of the table that no block rule covers are
-    labelled by ``UNWANTED`` words in their hosts. Suffix counts are taken over all
+    trains them; without it the rules' verdicts are the labels, and URLs without
+    a rule are labelled by ``words`` in their hosts, or not at all if ``words``
+    is empty. Suffix counts are taken over all
     rows. A null URL or one without ``://`` has an empty host and path and is
-    judged by the trees like any other. If the labels have one class only,
-    every score is that class. Repeated rows are rows of their own.
+    judged by the trees like any other. ``judged_by`` is ``rule`` or
+    ``trees``. If the labels have one class only, or there are none, no trees are
+    trained: scores are null, URLs without a rule are allowed and ``judged_by``
+    says ``none``. Repeated rows are rows of their own.
     """
     urls = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"))
     urls = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
@@ -110,10 +113,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     found = longest_rule(F.col("host"), F.col("path"), rules)
     table = table.withColumn("found", found)
     if labels is None:
-        words = F.split("host", "[^a-z]+")
-        labelled = table.where(F.col("found.verdict").isNull() | (F.col("found.verdict") == "allow")).where("host <> ''").withColumn(
-            "label", F.arrays_overlap(words, F.array(*map(F.lit, UNWANTED))).cast("int")
-        )
+        by_words = F.arrays_overlap(F.split("host", "[^a-z]+"), F.array(*map(F.lit, words))) if words else F.lit(None)
+        by_rule = F.col("found.verdict") == "block"
+        labelled = table.where("host <> ''").withColumn("label", F.coalesce(by_rule, by_words).cast("int"))
     else:
         own = labels.select("url", "label").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
         known = lexical(own.select(F.col("label").alias("key"), "url", "host", "path"))
@@ -121,7 +123,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     labelled = labelled.select("url", "suffix", *FEATURES[:13], "label").where("label IS NOT NULL")
     classes = [r[0] for r in labelled.select("label").distinct().limit(2).collect()]
     if len(classes) < 2:
-        scored = table.withColumn("score", F.lit(float(classes[0]) if classes else 0.0))
+        scored = table.withColumn("score", F.lit(None).cast("double"))
     else:
         trees, suffixes = train(labelled)
         rows = table.join(cut_lineage(suffixes, "suffix-rates"), "suffix", "left").fillna({"suffix_unwanted": 0.5})
@@ -133,6 +135,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     return scored.select(
         F.col("key").alias("id"), "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", by_trees).alias("verdict"), "score",
+        F.when(F.col("found").isNotNull(), "rule").when(F.col("score").isNotNull(), "trees").otherwise("none").alias("judged_by"),
     )
 
 

@@ -159,6 +159,19 @@ def test_url_trees_on_held_out_labels(spark):
     assert sum(got[k] == bool(y) for k, (_, y) in enumerate(rows[600:])) >= 0.95 * 300
 
 
+def test_url_trees_learn_from_rule_verdicts(spark):
+    # Hosts whose words are in no list of the code; block rules name some of them.
+    urls = [f"http://{'lottery-prize' if k % 3 == 0 else 'weather'}{k % 50}.{'net' if k % 2 else 'org'}/{k}" for k in range(600)]
+    rules = [("block" if k % 3 == 0 else "allow", u.split("/")[2], "/") for k, u in enumerate(urls) if k % 50 < 20]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.id: r for r in url_filter.judge(df, rules=sorted(set(rules)), words=()).collect()}
+    assert {r.judged_by for r in got.values()} == {"rule", "trees"}
+    free = [k for k in range(600) if got[k].judged_by == "trees"]
+    assert sum((got[k].verdict == "block") == (k % 3 == 0) for k in free) >= 0.95 * len(free)
+    alone = url_filter.judge(df, rules=[("block", "weather1.net", "/")], words=()).collect()
+    assert {(r.judged_by, r.verdict, r.score) for r in alone} == {("rule", "block", None), ("none", "allow", None)}
+
+
 def test_resampling_keeps_the_share_and_the_good(spark, docs_of):
     rows = [(k, f"plain words about number {k} and other things of the day") for k in range(300)]
     rows += [(1000 + k, "buy$$$ now### cheap%%% " * 6) for k in range(100)] + [(None, None), (None, ""), (5000, "plain words")]
