@@ -3,8 +3,9 @@
 Every document of a source is due ``target / source size`` copies. The whole
 part of that is certain; the rest is an inclusion probability. Documents are
 ranked by random odds divided by inclusion odds, and the ranking is taken until
-the source's remaining words are reached: a sample of fixed size. DataFrame
-functions only.
+the source's remaining words are reached: a sample of fixed size. Inclusion
+probabilities are equal within a source, so the ranking is a random order there.
+DataFrame functions only.
 """
 
 from __future__ import annotations
