@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from creditloom.llm import bpe, exact_dedup, html_text, line_dedup, mixing, ngram_join, quality_rules, resampling, url_filter, warc
+from creditloom.llm import (
+    bpe, conversation_repair, exact_dedup, html_text, line_dedup, mixing, ngram_join, quality_rules, resampling, secrets, url_filter, warc,
+    whitening,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_resampling": resampling.op10_resampling,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
@@ -22,4 +28,5 @@ SQL = {
     "op6_mixing": mixing.SQL,
     "op7_warc": warc.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
 }
