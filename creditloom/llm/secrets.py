@@ -79,14 +79,14 @@ def suspicious(run: str, cls: CharacterClass) -> list[tuple[int, int]]:
     held = [0] * (len(cls.mixed) + 1)
     total, spans = 0, []
     for at, new in enumerate(run):
-        total += terms[counts[new] + 1] - terms[counts[new]]
-        counts[new] += 1
-        held[group.get(new, -1)] += 1
         if at >= size:
             old = run[at - size]
             total += terms[counts[old] - 1] - terms[counts[old]]
             counts[old] -= 1
             held[group.get(old, -1)] -= 1
+        total += terms[counts[new] + 1] - terms[counts[new]]
+        counts[new] += 1
+        held[group.get(new, -1)] += 1
         if at >= size - 1 and total <= most and all(held[:-1]):
             if spans and at - size + 1 <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], at + 1)
