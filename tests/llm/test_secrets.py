@@ -74,7 +74,8 @@ def test_entropy_spans_and_allow_list(docs_of):
     kinds = {i: [k for k, *_ in spans] for i, spans in got.items()}
     assert got[0] == [("entropy64", 6, 6 + len(RANDOM64))]
     assert kinds[2] == ["entropy64"] and kinds[5] == ["entropy16"]
-    for i in (1, 3, 4, 6, 7, 8, 9, 11):
+    assert kinds[11] == ["hex"]  # digits alone are a known form
+    for i in (1, 3, 4, 6, 7, 8, 9):
         assert kinds[i] == [], texts[i]
     assert kinds[10] == ["assign"] and kinds[12] == ["assign", "entropy16"]
 
