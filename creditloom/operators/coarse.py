@@ -1,21 +1,22 @@
 """Coarse classing: merge base classes by weight of evidence and apply the result.
 
 Fitting takes one job for the edges and one for the counts of every feature's
-base classes. Counts add up, so all merge steps are decided on them: each
-feature's counts go to one task, features run in parallel, and the data is
-not read again. A task gives its feature's decisions and the place of each base
-class; the classes of every step follow from these in Spark.
+base classes. Counts add up, so all merge steps are decided on them, and the
+data is not read again. A feature gives its decisions and the place of each
+base class; the classes of every step follow from these in Spark. Which class
+belongs to which group is one table, and what a group is called is another.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from bisect import bisect, insort
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 from functools import cached_property
 
-import pandas as pd
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,9 @@ from creditloom import constants as K
 from creditloom.functions import names as N
 from creditloom.functions import scalars as S
 from creditloom.operators import binning as B
+from creditloom.operators import prefix as R
 from creditloom.operators import woe as W
-from creditloom.session import cut_lineage
+from creditloom.session import cut_lineage, lookup_join
 
 
 @dataclass(frozen=True)
@@ -71,103 +73,307 @@ def default_specs(df: DataFrame) -> tuple[list[FeatureSpec], dict[str, str], lis
 
 # A base class with its place (``bin`` set), or the decision taken at a step.
 PLAN_SCHEMA = "feature string, bin string, at int, merge_left int, merge_right int, reason string"
-GROUPS_SCHEMA = "feature string, bin string, grp int, label string, woe double"
+# Features of up to so many classes are decided on the driver, from their counts alone; wider ones stay tables.
+DRIVER_CLASSES = 1_000
 
+SMALL, CLOSE, BROKEN = "small class", "neighbours too similar", "monotonic order broken"
+Decision = tuple[int | None, int | None, str]
 
-def _weights(n: list[int], good: list[int]) -> pd.DataFrame:
-    """Shares and weight of evidence of the present groups."""
-    t = pd.DataFrame({"n": n, "good": good}, dtype="float64")
-    bad = t["n"] - t["good"]
-    share_good = t["good"] / (t["good"].sum() or 1.0)
-    share_bad = bad / (bad.sum() or 1.0)
-    ratio = (share_good + K.WOE_EPSILON) / (share_bad + K.WOE_EPSILON)
-    return t.assign(
-        share=t["n"] / (t["n"].sum() or 1.0), share_good=share_good, share_bad=share_bad,
-        rate=t["good"] / t["n"], woe=[math.log(x) for x in ratio],
-    )
 
+@dataclass(frozen=True)
+class Totals:
+    n: int
+    good: int
+
+
+@dataclass
+class Group:
+    """Merged base classes: their numbers of loans, names, and the least of their places."""
+
+    id: int
+    n: int
+    good: int
+    members: list[str]
+    totals: Totals
+
+    def __post_init__(self):
+        t = self.totals
+        self.share = self.n / (t.n or 1)
+        self.share_good = self.good / (t.good or 1)
+        self.share_bad = (self.n - self.good) / ((t.n - t.good) or 1)
+        self.rate = self.good / self.n
+        # Groups are ordered by this ratio, whose logarithm is the weight of evidence.
+        self.ratio = (self.share_good + K.WOE_EPSILON) / (self.share_bad + K.WOE_EPSILON)
+        self.woe = math.log(self.ratio)
+        self.label = " | ".join(self.members)
+
+    @property
+    def key(self) -> tuple[float, str]:
+        return self.ratio, self.label
+
+    def is_small(self, spec: FeatureSpec) -> bool:
+        return self.share < spec.min_obs or self.share_good < spec.min_good or self.share_bad < spec.min_bad
+
+    def smallness(self) -> tuple:
+        return self.n, min(self.share_good, self.share_bad), -abs(self.woe)
+
+    def is_close(self, other: Group, spec: FeatureSpec) -> bool:
+        return abs(self.woe - other.woe) < spec.min_woe or abs(self.rate - other.rate) < spec.min_rate
 
-def next_merge(t: pd.DataFrame, spec: FeatureSpec) -> tuple[int, int, str] | None:
-    """Row positions to merge next in an ordered table of groups, or None.
+    def merged(self, other: Group) -> Group:
+        return Group(min(self.id, other.id), self.n + other.n, self.good + other.good,
+                     sorted(self.members + other.members), self.totals)
+
+
+def next_merge(groups: Sequence[Group], spec: FeatureSpec) -> tuple[int, int, str] | None:
+    """Positions to merge next in an ordered list of groups, or None.
 
     Order of the rules: smallest unstable class to its nearest neighbour, then
     the closest pair, then the first break of a wanted monotonic order.
     """
-    if len(t) < 2:
+    if len(groups) < 2:
         return None
-    small = t[(t["share"] < spec.min_obs) | (t["share_good"] < spec.min_good)
-              | (t["share_bad"] < spec.min_bad)]
-    if len(small):
-        keys = pd.DataFrame({
-            "n": small["n"], "rare": small[["share_good", "share_bad"]].min(axis=1),
-            "flat": -small["woe"].abs(), "at": small.index,
-        })
-        at = int(keys.sort_values(["n", "rare", "flat", "at"])["at"].iloc[0])
-        sides = [i for i in (at - 1, at + 1) if 0 <= i < len(t)]
-        other = min(sides, key=lambda i: abs(t["woe"][at] - t["woe"][i]))
-        return min(at, other), max(at, other), "small class"
-    step = t["woe"].diff()
-    close = t.index[(step.abs() < spec.min_woe) | (t["rate"].diff().abs() < spec.min_rate)]
-    if len(close):
-        at = int(step.abs()[close].idxmin())
-        return at - 1, at, "neighbours too similar"
-    if spec.monotonic and spec.kind == "continuous" and len(t) >= 3:
-        rising = t["woe"].iloc[-1] >= t["woe"].iloc[0]
-        wrong = t.index[step < 0] if rising else t.index[step > 0]
-        if len(wrong):
-            return int(wrong[0]) - 1, int(wrong[0]), "monotonic order broken"
+    small = [i for i, g in enumerate(groups) if g.is_small(spec)]
+    if small:
+        at = min(small, key=lambda i: (groups[i].smallness(), i))
+        sides = [i for i in (at - 1, at + 1) if 0 <= i < len(groups)]
+        other = min(sides, key=lambda i: abs(groups[at].woe - groups[i].woe))
+        return min(at, other), max(at, other), SMALL
+    pairs = range(1, len(groups))
+    close = [i for i in pairs if groups[i - 1].is_close(groups[i], spec)]
+    if close:
+        at = min(close, key=lambda i: (abs(groups[i].woe - groups[i - 1].woe), i))
+        return at - 1, at, CLOSE
+    if spec.monotonic and spec.kind == "continuous" and len(groups) >= 3:
+        rising = groups[-1].woe >= groups[0].woe
+        for i in pairs:
+            step = groups[i].woe - groups[i - 1].woe
+            if (step < 0) if rising else (step > 0):
+                return i - 1, i, BROKEN
     return None
 
 
-def merge_decisions(counts: pd.DataFrame, spec: FeatureSpec) -> list[tuple]:
+class Numbers:
+    """Running numbers of groups: a merge gives the right group the left one's, and later groups move down by one."""
+
+    def __init__(self) -> None:
+        self.gone: list[int] = []
+
+    def merge(self, a: Group, b: Group) -> tuple[int, int]:
+        left, right = sorted((a.id, b.id))
+        pair = left - bisect(self.gone, left), right - bisect(self.gone, right)
+        insort(self.gone, right)
+        return pair
+
+
+def done(step: int, spec: FeatureSpec) -> Decision:
+    """The last decision, which merges nothing."""
+    return None, None, "nothing to merge" if step < spec.max_merges else "merge limit reached"
+
+
+def merge_decisions(counts: Sequence[tuple[str, int, int]], spec: FeatureSpec) -> list[Decision]:
     """``(left group, right group, reason)`` of each merge step of one feature.
 
-    ``counts`` has ``bin, n_obs, n_good`` of the classes seen in training, in
-    base order. A merge gives the right group the left one's number, and later
-    groups move down by one. The last step merges nothing.
+    ``counts`` has ``(bin, n_obs, n_good)`` of the classes seen in training, in base order.
     """
-    members = [[b] for b in counts["bin"].astype(str)]
-    n, good = counts["n_obs"].tolist(), counts["n_good"].tolist()
-    decisions = []
+    totals = Totals(sum(n for _, n, _ in counts), sum(g for _, _, g in counts))
+    groups = [Group(i, n, good, [b], totals) for i, (b, n, good) in enumerate(counts)]
+    numbers, decisions = Numbers(), []
     for step in range(spec.max_merges + 1):
-        table = _weights(n, good)
-        table["grp"] = range(len(n))
         if spec.kind == "discrete":
-            table["label"] = [" | ".join(m) for m in members]
-            table = table.sort_values(["woe", "label"], kind="stable").reset_index(drop=True)
-        choice = next_merge(table, spec) if step < spec.max_merges else None
+            groups.sort(key=lambda g: g.key)
+        choice = next_merge(groups, spec) if step < spec.max_merges else None
         if choice is None:
-            done = "nothing to merge" if step < spec.max_merges else "merge limit reached"
-            decisions.append((None, None, done))
-            break
-        left, right = sorted(int(table["grp"][i]) for i in choice[:2])
-        decisions.append((left, right, choice[2]))
-        members[left] = sorted(members[left] + members.pop(right))
-        n[left] += n.pop(right)
-        good[left] += good.pop(right)
-    return decisions
-
-
-def _base_order(counts: pd.DataFrame, kind: str, missing: str) -> pd.DataFrame:
+            return [*decisions, done(step, spec)]
+        left, right, reason = choice
+        decisions.append((*numbers.merge(groups[left], groups[right]), reason))
+        groups[left] = groups[left].merged(groups.pop(right))
+    raise AssertionError("the last step merges nothing")
+
+
+def base_order(counts: Sequence[tuple[str, int, int]], kind: str, missing: str) -> list[tuple[str, int, int]]:
     if kind == "discrete":
-        return counts.sort_values("bin").reset_index(drop=True)
-    number = pd.to_numeric(counts["bin"].where(counts["bin"] != missing), errors="coerce")
-    return counts.assign(_o=number.fillna(math.inf)).sort_values("_o").reset_index(drop=True)
+        return sorted(counts)
+    return sorted(counts, key=lambda c: math.inf if c[0] == missing else int(c[0]))
 
 
-def plan_merges(counts: DataFrame, specs: Sequence[FeatureSpec], missing: str = K.MISSING) -> DataFrame:
-    """Places of the base classes and merge decisions of all features; one task per feature."""
-    by_name = {s.name: asdict(s) for s in specs}
+class WideFeature:
+    """Merge steps of a feature with very many classes, which stay a table ordered by weight of evidence.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spec = FeatureSpec(**by_name[pdf["feature"].iloc[0]])
-        ordered = _base_order(pdf, spec.kind, missing)
-        rows = [(spec.name, None, step, *made) for step, made in enumerate(merge_decisions(ordered, spec))]
-        rows += [(spec.name, b, at, None, None, None) for at, b in enumerate(ordered["bin"].astype(str))]
-        plan = pd.DataFrame(rows, columns=["feature", "bin", "at", "merge_left", "merge_right", "reason"])
-        return plan.astype({"merge_left": "Int32", "merge_right": "Int32"})
+    At most ``max_merges`` merges can touch a few classes each. The smallest
+    unstable classes and the closest neighbours are therefore taken from the
+    table once, enough of them for all steps; after that a step reads single
+    rows by their place: the neighbours of a class, and where a merged group
+    belongs. The driver holds these rows and the merged groups, however
+    many classes there are.
+    """
 
-    return counts.groupBy("feature").applyInPandas(run, PLAN_SCHEMA)
+    def __init__(self, classes: DataFrame, spec: FeatureSpec, totals: Totals) -> None:
+        self.spec, self.totals = spec, totals
+        self.table = classes.where(F.col("feature") == spec.name)
+        self.rows: dict[int, Group] = {}
+        self.touched: set[int] = set()
+        self.merged: dict[int, tuple[Group, int]] = {}  # by id: the group, and the last place before it
+        self.last = self.table.agg(F.max("pos")).first()[0]
+        limit = spec.max_merges
+        small = self.table.where("small").orderBy("n_obs", "rare", F.desc(F.abs("woe")), "pos").limit(2 * limit + 1)
+        close = self.table.where("close").orderBy("step", "pos").limit(5 * limit + 1)
+        self.small = [self._keep(r) for r in small.collect()]
+        self.close = [self._keep(r) for r in close.collect()]
+        near = {p + d for p in [*self.small, *self.close] for d in (-2, -1, 1, 2)}
+        self._fetch(near)
+
+    def _keep(self, row: Row) -> int:
+        self.rows[row["pos"]] = Group(row["at"], row["n_obs"], row["n_good"], [row["bin"]], self.totals)
+        return row["pos"]
+
+    def _fetch(self, places: set[int]) -> None:
+        missing = [p for p in places if 0 <= p <= self.last and p not in self.rows]
+        if missing:
+            for row in self.table.where(F.col("pos").isin(missing)).collect():
+                self._keep(row)
+
+    def _untouched(self, place: int, step: int) -> int | None:
+        """Nearest place from ``place`` on that no merge has touched."""
+        while 0 <= place <= self.last:
+            if place not in self.touched:
+                return place
+            place += step
+        return None
+
+    def _between(self, low: int | None, high: int | None) -> list[Group]:
+        """The untouched classes at two places and the merged groups between them, in order."""
+        self._fetch({p for p in (low, high) if p is not None})
+        ends = [self.rows[p] for p in (low, high) if p is not None]
+        inside = [g for g, before in self.merged.values()
+                  if (low is None or before >= low) and (high is None or before < high)]
+        return sorted([*ends, *inside], key=lambda g: g.key)
+
+    def _around(self, before: int) -> list[Group]:
+        """Consecutive groups between the untouched classes at or below ``before`` and above it."""
+        return self._between(self._untouched(before, -1), self._untouched(before + 1, 1))
+
+    def _smallest(self) -> tuple[Group, list[Group]] | None:
+        """The smallest unstable group, and the groups around it."""
+        untouched = next((p for p in self.small if p not in self.touched), None)
+        found = [(g.smallness(), g.key, g, before) for g, before in self.merged.values() if g.is_small(self.spec)]
+        if untouched is not None:
+            g = self.rows[untouched]
+            found.append((g.smallness(), g.key, g, None))
+        if not found:
+            return None
+        *_, group, before = min(found, key=lambda f: f[:2])
+        if before is not None:
+            return group, self._around(before)
+        low, high = self._untouched(untouched - 1, -1), self._untouched(untouched + 1, 1)
+        return group, sorted({g.id: g for g in [*self._between(low, untouched), *self._between(untouched, high)]}.values(), key=lambda g: g.key)
+
+    def _choice(self) -> tuple[Group, Group, str] | None:
+        if self.last + 1 - len(self.touched) + len(self.merged) < 2:
+            return None
+        smallest = self._smallest()
+        if smallest:
+            group, chain = smallest
+            at = next(i for i, g in enumerate(chain) if g.id == group.id)
+            sides = [chain[i] for i in (at - 1, at + 1) if 0 <= i < len(chain)]
+            return group, min(sides, key=lambda g: abs(group.woe - g.woe)), SMALL
+        befores = {before for _, before in self.merged.values()}
+        pairs = [(self.rows[p - 1], self.rows[p]) for p in self.close
+                 if p not in self.touched and p - 1 not in self.touched and p - 1 not in befores]
+        pairs = pairs[:1]  # the closest of those that no merge has changed
+        for before in befores | self.touched:
+            chain = self._around(before)
+            pairs += [(a, b) for a, b in zip(chain, chain[1:]) if a.is_close(b, self.spec)]
+        if not pairs:
+            return None
+        return *min(pairs, key=lambda p: (abs(p[1].woe - p[0].woe), p[1].key)), CLOSE
+
+    def _take(self, group: Group) -> None:
+        if group.id in self.merged:
+            del self.merged[group.id]
+        else:
+            self.touched.add(next(p for p, g in self.rows.items() if g is group))
+
+    def decisions(self) -> list[Decision]:
+        numbers, decisions = Numbers(), []
+        for step in range(self.spec.max_merges + 1):
+            choice = self._choice() if step < self.spec.max_merges else None
+            if choice is None:
+                return [*decisions, done(step, self.spec)]
+            a, b, reason = choice
+            decisions.append((*numbers.merge(a, b), reason))
+            self._take(a)
+            self._take(b)
+            group = a.merged(b)
+            below = (F.col("ratio") < group.ratio) | ((F.col("ratio") == group.ratio) & (F.col("bin") < group.label))
+            before = self.table.where(below).agg(F.max("pos")).first()[0]
+            self.merged[group.id] = group, -1 if before is None else before
+        raise AssertionError("the last step merges nothing")
+
+
+def ordered_classes(counts: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
+    """Classes of discrete features with their places by name (``at``) and by weight of evidence (``pos``), and rule flags.
+
+    Places come from a range partitioning, so that no task holds a whole
+    feature; flags of neighbours look over the edges of the tasks.
+    """
+    spark = counts.sparkSession
+    totals = counts.groupBy("feature").agg(F.sum("n_obs").alias("_n"), F.sum("n_good").alias("_good"))
+    limits = spark.createDataFrame(
+        [(s.name, s.min_obs, s.min_good, s.min_bad, s.min_woe, s.min_rate) for s in specs],
+        "feature string, min_obs double, min_good double, min_bad double, min_woe double, min_rate double")
+    facts = totals.join(limits, "feature")  # one row per feature
+
+    def share(part: Column, whole: Column) -> Column:
+        return part / F.greatest(whole, F.lit(1))
+
+    good = share(F.col("n_good"), F.col("_good"))
+    bad = share(F.col("n_obs") - F.col("n_good"), F.col("_n") - F.col("_good"))
+    rows = R.numbered(counts, ["bin"], keys=["feature"], name="at").join(F.broadcast(facts), "feature").select(
+        "feature", "bin", "n_obs", "n_good", F.col("at").cast("int").alias("at"), "min_woe", "min_rate",
+        ((good + K.WOE_EPSILON) / (bad + K.WOE_EPSILON)).alias("ratio"), F.least(good, bad).alias("rare"),
+        ((share(F.col("n_obs"), F.col("_n")) < F.col("min_obs")) | (good < F.col("min_good")) | (bad < F.col("min_bad"))).alias("small"),
+    ).withColumn("woe", F.ln("ratio"))
+    placed = R.numbered(rows, ["ratio", "bin"], keys=["feature"], name="pos", previous=["woe", "n_obs", "n_good"])
+    step = F.abs(F.col("woe") - F.col("previous_woe"))
+    turn = F.abs(F.col("n_good") / F.col("n_obs") - F.col("previous_n_good") / F.col("previous_n_obs"))
+    return placed.select(
+        "feature", "bin", "n_obs", "n_good", "at", "pos", "ratio", "rare", "woe", "small", step.alias("step"),
+        F.coalesce((step < F.col("min_woe")) | (turn < F.col("min_rate")), F.lit(False)).alias("close"))
+
+
+def plan_merges(counts: DataFrame, specs: Sequence[FeatureSpec], missing: str = K.MISSING, *,
+                driver_classes: int = DRIVER_CLASSES) -> DataFrame:
+    """Places of the base classes and merge decisions of all features.
+
+    The classes of a feature come to the driver if they are few, as those of
+    numbers always are; of a wider feature only what its merges touch does.
+    """
+    spark = counts.sparkSession
+    sizes = {r["feature"]: r for r in counts.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("n_obs").alias("n"), F.sum("n_good").alias("good")).collect()}
+    present = [s for s in specs if s.name in sizes]
+    wide = [s for s in present if s.kind == "discrete" and sizes[s.name]["classes"] > driver_classes]
+    narrow = [s for s in present if s not in wide]
+    found: dict[str, list[tuple[str, int, int]]] = {s.name: [] for s in narrow}
+    for row in counts.where(F.col("feature").isin(list(found))).collect():
+        found[row["feature"]].append((row["bin"], row["n_obs"], row["n_good"]))
+    rows: list[tuple] = []
+    for spec in narrow:
+        ordered = base_order(found[spec.name], spec.kind, missing)
+        rows += [(spec.name, None, step, *made) for step, made in enumerate(merge_decisions(ordered, spec))]
+        rows += [(spec.name, b, at, None, None, None) for at, (b, *_) in enumerate(ordered)]
+    if not wide:
+        return spark.createDataFrame(rows, PLAN_SCHEMA)
+    classes = cut_lineage(ordered_classes(counts.where(F.col("feature").isin([s.name for s in wide])), wide), "ordered-classes")
+    for spec in wide:
+        size = sizes[spec.name]
+        steps = WideFeature(classes, spec, Totals(size["n"], size["good"])).decisions()
+        rows += [(spec.name, None, step, *made) for step, made in enumerate(steps)]
+    nothing = F.lit(None)
+    places = classes.select("feature", "bin", "at", nothing.cast("int").alias("merge_left"), nothing.cast("int").alias("merge_right"),
+                            nothing.cast("string").alias("reason"))
+    return places.union(spark.createDataFrame(rows, PLAN_SCHEMA))
 
 
 def merge_steps(plan: DataFrame, last_only: bool = False) -> DataFrame:
@@ -192,14 +398,16 @@ def merge_steps(plan: DataFrame, last_only: bool = False) -> DataFrame:
 class Classing:
     """Fitted coarse classes of a set of features.
 
-    ``groups`` (feature, bin, grp, label, woe), ``counts`` and ``plan`` are
-    tables in the shared folder. The driver holds what the specifications
-    bound: edges and groups of numeric bins, and one fallback per text feature.
+    ``members`` (feature, bin, grp), ``named`` (feature, grp, label, woe),
+    ``counts`` and ``plan`` are tables in the shared folder. The driver holds
+    what the specifications bound: edges and groups of numeric bins, and one
+    fallback per text feature.
     """
 
     specs: list[FeatureSpec]
     edges: dict[str, list[float]]
-    groups: DataFrame
+    members: DataFrame
+    named: DataFrame
     counts: DataFrame | None = None
     plan: DataFrame | None = None
     missing: str = K.MISSING
@@ -208,6 +416,11 @@ class Classing:
     def features(self) -> list[str]:
         return [s.name for s in self.specs]
 
+    @property
+    def groups(self) -> DataFrame:
+        """``(feature, bin, grp, label, woe)``: each base class with its group's name, which is as long as its classes."""
+        return self.members.join(self.named, ["feature", "grp"]).select("feature", "bin", "grp", "label", "woe")
+
     @cached_property
     def _numeric(self) -> dict[str, list]:
         found: dict[str, list] = {f: [] for f in self.edges}
@@ -219,15 +432,29 @@ class Classing:
     def _spare(self) -> dict[str, Row]:
         """Class that an unseen text takes: that of NULLs, else the smallest known."""
         order = F.struct(F.col("bin") != self.missing, "bin")
-        rows = self.groups.where(~F.col("feature").isin(list(self.edges))).groupBy("feature").agg(
-            F.min_by(F.struct("grp", "label", "woe"), order).alias("spare"))
-        return {r["feature"]: r["spare"] for r in rows.collect()}
+        first = self.members.where(~F.col("feature").isin(list(self.edges))).groupBy("feature").agg(
+            F.min_by("grp", order).alias("grp"))
+        rows = self.named.join(F.broadcast(first), ["feature", "grp"])  # one row per feature
+        return {r["feature"]: r for r in rows.collect()}
+
+    @cached_property
+    def _lookup_bytes(self) -> dict[str, tuple[int, int]]:
+        """Bytes of each feature's base classes, and of its group names, as ``measured_bytes`` counts them."""
+        classes = self.members.groupBy("feature").agg(F.sum(F.octet_length("bin") + 80).alias("classes"))
+        names = self.named.groupBy("feature").agg(F.sum(F.octet_length("label") + 64).alias("names"))
+        return {r["feature"]: (r["classes"], r["names"]) for r in classes.join(names, "feature").collect()}
+
+    @cached_property
+    def group_numbers(self) -> dict[str, int]:
+        """Number of the groups of each feature that training saw; they are numbered from 0."""
+        seen = self.named.where("woe IS NOT NULL").groupBy("feature").agg(F.max("grp").alias("last")).collect()
+        return {f: 0 for f in self.features} | {r["feature"]: r["last"] + 1 for r in seen}
 
     @cached_property
     def _labels(self) -> dict[str, list[tuple[int, str]]]:
         """``(group, label)`` of the groups seen in training: one per indicator column."""
         found: dict[str, list[tuple[int, str]]] = {f: [] for f in self.features}
-        seen = self.groups.where("woe IS NOT NULL").select("feature", "grp", "label").distinct()
+        seen = self.named.where("woe IS NOT NULL")
         for row in seen.orderBy("feature", "grp").collect():
             found[row["feature"]].append((row["grp"], row["label"]))
         return found
@@ -252,7 +479,7 @@ class Classing:
 
     def report(self) -> DataFrame:
         """Final WoE/IV report of all features in one table."""
-        names = self.groups.groupBy("feature", "grp").agg(F.first("label").alias("bin"))
+        names = self.named.select("feature", "grp", F.col("label").alias("bin"))
         return self._ordered_report(self.group_counts().join(names, ["feature", "grp"]), ("feature",))
 
     def history(self) -> DataFrame:
@@ -288,12 +515,13 @@ class Classing:
         inner = [edges[i] for i in range(1, len(edges) - 1) if grp_of.get(str(i)) != grp_of.get(str(i - 1))]
         return [edges[0], *inner, edges[-1]]
 
-    def _with_groups(self, df: DataFrame) -> DataFrame:
-        """Adds number, label and WoE of every feature's final group: ``<feature>__g``, ``__l``, ``__w``.
+    def _with_groups(self, df: DataFrame, labels: bool = True) -> DataFrame:
+        """Adds number, WoE and label (unless left out) of every feature's final group: ``<feature>__g``, ``__w``, ``__l``.
 
         Numbers are cut at the merged edges, so a group is found by binary
-        search. Texts are joined to their classes: Spark broadcasts these below
-        its size threshold, and beyond it splits a class that many rows share.
+        search. Texts are joined to their classes, and these to the names: each
+        table is broadcast below a limit on its measured bytes, and beyond it
+        joined with salts, so that a class that many rows share is split.
         """
         cuts = {}
         for f in self.edges:
@@ -303,6 +531,8 @@ class Classing:
                 cuts[f] = merged if len(merged) > 2 else [merged[0], 0.0, merged[-1]]
         placed = B.with_bin_ids(df, cuts, "__cut") if cuts else df
         columns: dict[str, Column] = {}
+        plain = ("string", "tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")
+        salt = F.struct(*[F.col(f"`{n}`") for n, kind in df.dtypes if kind in plain or kind.startswith("decimal")])
         for feature in [f for f in self.features if f in df.columns]:
             if feature in self.edges:
                 rows = {r["bin"]: r["grp"] for r in self.of(feature)}
@@ -314,13 +544,19 @@ class Classing:
                 columns |= {f"{feature}__g": number, f"{feature}__l": self._by_group(feature, "label", number),
                             f"{feature}__w": self._by_group(feature, "woe", number)}
                 continue
-            known = self.groups.where(F.col("feature") == feature).select(
-                F.col("bin").alias(f"{feature}__base"), F.struct("grp", "label", "woe").alias(f"{feature}__found"))
-            placed = placed.withColumn(f"{feature}__base", S.base_class(feature, self.missing)).join(
-                known, f"{feature}__base", "left")
-            spare = self._spare[feature]
-            for short, name in (("g", "grp"), ("l", "label"), ("w", "woe")):
-                columns[f"{feature}__{short}"] = F.coalesce(F.col(f"{feature}__found")[name], F.lit(spare[name]))
+            spare, (class_bytes, name_bytes) = self._spare[feature], self._lookup_bytes[feature]
+            base, number = f"{feature}__base", f"{feature}__known"
+            known = self.members.where(F.col("feature") == feature).join(
+                self.named.where(F.col("feature") == feature).select("grp", "woe"), "grp").select(
+                F.col("bin").alias(base), F.col("grp").alias(number), F.col("woe").alias(f"{feature}__known_woe"), F.lit(True).alias(f"{feature}__seen"))
+            placed = lookup_join(placed.withColumn(base, S.base_class(feature, self.missing)), known, base, salt_by=salt, size=class_bytes)
+            columns[f"{feature}__g"] = F.coalesce(number, F.lit(spare["grp"]))
+            columns[f"{feature}__w"] = F.when(F.col(f"{feature}__seen"), F.col(f"{feature}__known_woe")).otherwise(F.lit(spare["woe"]))
+            if labels:
+                names = self.named.where(F.col("feature") == feature).select(
+                    F.col("grp").alias(number), F.col("label").alias(f"{feature}__known_label"))
+                placed = lookup_join(placed, names, number, salt_by=salt, size=name_bytes)
+                columns[f"{feature}__l"] = F.coalesce(f"{feature}__known_label", F.lit(spare["label"]))
         return placed.select(*df.columns, *[c.alias(n) for n, c in columns.items()])
 
     def _first_bins(self, feature: str) -> list[int]:
@@ -348,7 +584,7 @@ class Classing:
                 columns.append(F.col(f"{feature}__l").alias(f"{feature}_grp"))
             if output != "group":
                 columns.append(F.col(f"{feature}__w").alias(f"{feature}_woe"))
-        return self._with_groups(df).select(*df.columns, *columns)
+        return self._with_groups(df, output != "woe").select(*df.columns, *columns)
 
     def indicator_names(self) -> dict[str, list[tuple[str, str]]]:
         """Per feature the (column name, group label) of its indicators."""
@@ -368,14 +604,36 @@ class Classing:
                     F.when(F.col(f"{feature}__g") == g, 1).otherwise(0).alias(column)
                     for (g, _), (column, _) in zip(self._labels[feature], pairs)
                 ]
-        return self._with_groups(df).select(*keep, *flags)
+        return self._with_groups(df, labels=False).select(*keep, *flags)
+
+    def indicator_vectors(self, df: DataFrame, keep: Sequence[str] = ("id", "good_bad"), suffix: str = "_ind") -> DataFrame:
+        """One sparse vector ``<feature>_ind`` per feature, with a 1 at the place of the row's final group.
+
+        Vectors are as long as training has groups; a row of a class that
+        training did not see, and that takes no other class, has none set. No
+        name and no label is needed, so a feature may have any number of groups.
+        """
+        features = [f for f in self.features if f in df.columns and self.group_numbers[f]]
+        sizes = [self.group_numbers[f] for f in features]
+        placed = self._with_groups(df, labels=False).select(
+            *keep, *[F.least(F.col(f"{f}__g"), F.lit(n)).cast("double").alias(f"{f}__place") for f, n in zip(features, sizes)])
+        encoder = OneHotEncoder(inputCols=[f"{f}__place" for f in features], outputCols=[f"{f}{suffix}" for f in features], dropLast=True)
+        # The last place stands for no group; it is the one that the encoder leaves out.
+        widest = df.sparkSession.createDataFrame([tuple(map(float, sizes))], ", ".join(f"`{f}__place` double" for f in features))
+        return encoder.fit(widest).transform(placed).select(*keep, *[f"{f}{suffix}" for f in features])
+
+    def indicator_table(self) -> DataFrame:
+        """``(feature, grp, label, name)`` of every place of the indicator vectors, as a table."""
+        name = F.concat(F.col("feature"), F.lit("_"), N.indicator_suffix_col(F.col("label")))
+        return self.named.where("woe IS NOT NULL").select("feature", "grp", "label", name.alias("name"))
 
     # --- storage -----------------------------------------------------------------------
 
     def save(self, spark: SparkSession, path: str, style: str = "half_open") -> None:
-        """Writes ``bins``, ``groups`` and ``specs`` tables below ``path``."""
+        """Writes ``bins``, ``members``, ``groups`` (their names) and ``specs`` tables below ``path``."""
         B.bins_frame(spark, self.edges, style).write.mode("overwrite").parquet(f"{path}/bins")
-        self.groups.write.mode("overwrite").parquet(f"{path}/groups")
+        self.members.write.mode("overwrite").parquet(f"{path}/members")
+        self.named.write.mode("overwrite").parquet(f"{path}/groups")
         specs = [(i, json.dumps(asdict(s))) for i, s in enumerate(self.specs)]
         spark.createDataFrame(specs, "position int, spec string").coalesce(1).write.mode(
             "overwrite").parquet(f"{path}/specs")
@@ -385,9 +643,9 @@ class Classing:
         edges: dict[str, list[float]] = {}
         for row in spark.read.parquet(f"{path}/bins").orderBy("feature", "bin_id").collect():
             edges.setdefault(row["feature"], [row["lo"]]).append(row["hi"])
-        groups = spark.read.parquet(f"{path}/groups")
+        members, named = spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/groups")
         specs = spark.read.parquet(f"{path}/specs").orderBy("position").collect()
-        return Classing([FeatureSpec(**json.loads(r["spec"])) for r in specs], edges, groups)
+        return Classing([FeatureSpec(**json.loads(r["spec"])) for r in specs], edges, members, named)
 
 
 def group_label(members: Sequence[str], spec: FeatureSpec, edges: Sequence[float] | None,
@@ -404,41 +662,67 @@ def group_label(members: Sequence[str], spec: FeatureSpec, edges: Sequence[float
     return " | ".join(parts)
 
 
-def _final_groups(final: list[dict], spec: FeatureSpec, edges: Sequence[float] | None, missing: str,
-                  style: str) -> list[dict]:
-    """Group, label and WoE of every base class; bins empty in training join the left one."""
-    order = {r["bin"]: i for i, r in enumerate(final)}
-    grp_of = {r["bin"]: r["grp"] for r in final}
-    counts: dict[int, list[int]] = {}
-    for r in final:
-        total = counts.setdefault(r["grp"], [0, 0])
-        total[0] += r["n_obs"]
-        total[1] += r["n_good"]
-    groups = sorted(counts)
-    table = _weights([counts[g][0] for g in groups], [counts[g][1] for g in groups])
-    woe = {g: float(w) for g, w in zip(groups, table["woe"])}
-    members: dict[int, list[str]] = {}
-    for b in sorted(grp_of, key=lambda b: order[b]):
-        members.setdefault(grp_of[b], []).append(b)
-    if spec.kind == "continuous":
-        seen = sorted(int(b) for b in grp_of if b != missing)
+MEMBERS = "feature string, bin string, grp int"
+NAMED = "feature string, grp int, label string, woe double"
+
+
+def _numeric_groups(final: list[tuple[str, int, int, int]], spec: FeatureSpec, edges: Sequence[float], missing: str,
+                    style: str) -> tuple[list[tuple], list[tuple]]:
+    """Members and names of a numeric feature's groups from ``(bin, grp, n_obs, n_good)``.
+
+    Bins empty in training join the left one; NULLs that training lacks are a group without a weight.
+    """
+    grp_of = {b: g for b, g, _, _ in final}
+    totals = Totals(sum(n for *_, n, _ in final), sum(good for *_, good in final))
+    woe = {}
+    for g in set(grp_of.values()):
+        n, good = (sum(row[k] for row in final if row[1] == g) for k in (2, 3))
+        woe[g] = Group(g, n, good, [], totals).woe
+    seen = sorted(int(b) for b in grp_of if b != missing)
+    if seen:
         for i in range(len(edges) - 1):
-            if str(i) not in grp_of and seen:
-                left = [s for s in seen if s < i]
-                grp_of[str(i)] = grp_of[str(left[-1] if left else seen[0])]
-                members[grp_of[str(i)]].append(str(i))
-    labels = {g: group_label(m, spec, edges, missing, style) for g, m in members.items()}
-    rows = [{"feature": spec.name, "bin": b, "grp": g, "label": labels[g], "woe": woe[g]}
-            for b, g in grp_of.items()]
-    if spec.kind == "continuous" and missing not in grp_of:
-        rows.append({"feature": spec.name, "bin": missing, "grp": max(groups, default=-1) + 1,
-                     "label": missing, "woe": None})
-    return rows
+            grp_of.setdefault(str(i), grp_of[str(max((s for s in seen if s < i), default=seen[0]))])
+    if missing not in grp_of:
+        grp_of[missing] = max(woe, default=-1) + 1
+    bins: dict[int, list[str]] = {}
+    for b, g in grp_of.items():
+        bins.setdefault(g, []).append(b)
+    return ([(spec.name, b, g) for b, g in grp_of.items()],
+            [(spec.name, g, group_label(m, spec, edges, missing, style), woe.get(g)) for g, m in bins.items()])
+
+
+def name_groups(final: DataFrame, specs: Sequence[FeatureSpec], edges: Mapping[str, Sequence[float]], missing: str,
+                style: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of members and names of the final groups in ``final(feature, bin, grp, n_obs, n_good)``.
+
+    A text group is named by its classes, once; numeric groups are as few as their edges.
+    """
+    spark = final.sparkSession
+    numeric = {s.name: s for s in specs if s.kind == "continuous"}
+    rows: dict[str, list[tuple]] = {f: [] for f in numeric}
+    is_numeric = F.col("feature").isin(list(numeric))
+    for r in final.where(is_numeric).collect():
+        rows[r["feature"]].append((r["bin"], r["grp"], r["n_obs"], r["n_good"]))
+    members, named = [], []
+    for feature, spec in numeric.items():
+        for to, found in zip((members, named), _numeric_groups(rows[feature], spec, edges[feature], missing, style)):
+            to += found
+    texts = final.where(~is_numeric)
+    totals = texts.groupBy("feature").agg(F.sum("n_obs").alias("_n"), F.sum("n_good").alias("_good"))
+    # A group has at most ``max_merges`` + 1 base classes.
+    grouped = texts.groupBy("feature", "grp").agg(
+        F.sum("n_obs").alias("n"), F.sum("n_good").alias("good"), F.array_join(F.sort_array(F.collect_list("bin")), " | ").alias("label"))
+    good = F.col("good") / F.greatest("_good", F.lit(1))
+    bad = (F.col("n") - F.col("good")) / F.greatest(F.col("_n") - F.col("_good"), F.lit(1))
+    weighed = grouped.join(F.broadcast(totals), "feature").select(  # one row per feature
+        "feature", "grp", "label", F.ln((good + K.WOE_EPSILON) / (bad + K.WOE_EPSILON)).alias("woe"))
+    return (texts.select("feature", "bin", "grp").union(spark.createDataFrame(members, MEMBERS)),
+            weighed.union(spark.createDataFrame(named, NAMED)))
 
 
 def fit_classing(train: DataFrame, specs: Sequence[FeatureSpec], target: str = "good_bad", *,
                  good_value=1, exact_edges: bool = False, edges: Mapping[str, Sequence[float]] | None = None,
-                 missing: str = K.MISSING, label_style: str = "half_open") -> Classing:
+                 missing: str = K.MISSING, label_style: str = "half_open", driver_classes: int = DRIVER_CLASSES) -> Classing:
     """Fit bins, merges and weights of all features.
 
     Given ``edges`` replace the quantile edges of their features. The needed
@@ -457,16 +741,8 @@ def fit_classing(train: DataFrame, specs: Sequence[FeatureSpec], target: str = "
     classes = B.base_classes(train, discrete, edges, keep=[target], missing=missing)
     counted = W.class_counts(classes, {s.name: s.name for s in specs}, target, good_value)
     counts = cut_lineage(counted, "class-counts")
-    plan = cut_lineage(plan_merges(counts, specs, missing), "merge-plan")
-    by_name = {s.name: asdict(s) for s in specs}
-
-    def name_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        spec = FeatureSpec(**by_name[pdf["feature"].iloc[0]])
-        final = pdf.sort_values("bin").to_dict("records")
-        rows = _final_groups(final, spec, edges.get(spec.name), missing, label_style)
-        return pd.DataFrame(rows, columns=["feature", "bin", "grp", "label", "woe"])
-
+    plan = cut_lineage(plan_merges(counts, specs, missing, driver_classes=driver_classes), "merge-plan")
     final = merge_steps(plan, last_only=True).join(counts, ["feature", "bin"]).select(
         "feature", "bin", "grp", "n_obs", "n_good")
-    groups = cut_lineage(final.groupBy("feature").applyInPandas(name_groups, GROUPS_SCHEMA), "groups")
-    return Classing(list(specs), edges, groups, counts, plan, missing)
+    members, named = name_groups(cut_lineage(final, "final-classes"), specs, edges, missing, label_style)
+    return Classing(list(specs), edges, cut_lineage(members, "members"), cut_lineage(named, "groups"), counts, plan, missing)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import constants as K
+from creditloom.operators import profile as E
 from creditloom.operators import text as X
 
 
@@ -123,25 +124,20 @@ def title_clusters(column: str, k: int = K.CLUSTERS, buckets: int = K.CLUSTER_BU
     ])
 
 
-def fit_text_score(train: DataFrame, vector: str, label: str = "good_bad", *, hidden: int = 16,
-                   max_iter: int = 50):
-    """A small neural network on word-vector means.
+def fit_text_score(train: DataFrame, vector: str, label: str = "good_bad", *, max_iter: int = 100, reg: float = 0.01):
+    """Logistic regression on word-vector means with balanced class weights.
 
-    Classes are balanced by whole copies of the rarer class's rows, so no row of
-    either class is lost.
+    A row of the rarer class weighs more in the loss; no row is copied, so an
+    uneven table does not grow.
     """
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-
-    size = train.select(F.size(vector_to_array(vector)).alias("n")).first()["n"]
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    largest = max(counts.values())
-    copies = F.lit(1)
-    for value, n in counts.items():
-        copies = F.when(F.col(label) == value, F.lit(max(1, round(largest / n)))).otherwise(copies)
-    balanced = train.select("id", label, vector, F.explode(F.array_repeat(F.lit(1), copies)).alias("_c"))
-    net = MultilayerPerceptronClassifier(featuresCol=vector, labelCol=label, layers=[size, hidden, 2],
-                                         maxIter=max_iter, seed=K.SEED)
-    return net.fit(balanced)
+    from pyspark.ml.classification import LogisticRegression
+
+    weights = {r[label]: r["weight"] for r in E.class_weights(train, label).collect()}  # one per class
+    weight = F.lit(1.0)
+    for value, w in weights.items():
+        weight = F.when(F.col(label) == value, F.lit(w)).otherwise(weight)
+    fit = LogisticRegression(featuresCol=vector, labelCol=label, weightCol="_weight", maxIter=max_iter, regParam=reg)
+    return fit.fit(train.withColumn("_weight", weight))
 
 
 def text_score(model, df: DataFrame, out: str = "text_score") -> DataFrame:

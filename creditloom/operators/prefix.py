@@ -92,6 +92,42 @@ def _offsets(ranged: DataFrame, keys: list[str], sums: Sequence[str], descending
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str], *, keys: Sequence[str] = (), name: str = "at", previous: Sequence[str] = ()) -> DataFrame:
+    """Adds each row's place (from 0) among the rows of its ``keys`` in ascending ``order``.
+
+    Rows are dealt over tasks by range and written with their place in the
+    task; one row per task supplies the offsets, so no task holds all rows of a key. ``previous``
+    columns of the row before, within the keys, are added as ``previous_<column>``.
+    ``keys`` name few groups, such as features.
+    """
+    columns = [*keys, *order]
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row"))
+    placed = cut_lineage(placed, "numbered")
+    ends = placed.groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max_by(F.struct(*keys, *previous), "_row").alias("_end"))
+    by_part = Window.orderBy("_part")
+    offsets = ends.select(
+        "_part", F.coalesce(F.sum("_rows").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lag("_end").over(by_part).alias("_end"))
+    # One row per task.
+    rows = placed.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_before") + F.col("_row"))
+    if previous:
+        inside = Window.partitionBy("_part").orderBy("_row")
+        last = F.coalesce(F.lag(F.struct(*keys, *previous)).over(inside), F.col("_end"))
+        same = F.lit(True)
+        rows = rows.withColumn("_last", last)
+        for key in keys:
+            same = same & F.col(f"_last.{key}").eqNullSafe(F.col(key))
+        rows = rows.select("*", *[F.when(same, F.col(f"_last.{c}")).alias(f"previous_{c}") for c in previous])
+    if keys:
+        first = rows.groupBy(*keys).agg(F.min("_at").alias("_first"))
+        same_keys = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+        first = first.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_first")
+        rows = rows.join(F.broadcast(first), same_keys).withColumn("_at", F.col("_at") - F.col("_first"))
+    return rows.select(*df.columns, *[f"previous_{c}" for c in previous], F.col("_at").alias(name))
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,

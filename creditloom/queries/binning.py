@@ -347,3 +347,22 @@ def indicator_columns(spark, d):
     sums = flags.agg(*[F.sum(f"`{c}`").alias(c) for c, _, _ in named])
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(g).alias("grp"), F.col(f"`{c}`").alias("ones")) for c, f, g in named])
     return sums.select(F.inline(rows)).where("ones > 0")
+
+
+@query("indicator_vectors", sql_on("loan_book", body=f"""
+{APPLIED}
+SELECT feature, CAST(g AS INTEGER) AS grp, COUNT(*) AS ones FROM placed GROUP BY feature, g"""))
+def indicator_vectors(spark, d):
+    """Ones per place of the indicator vectors of the test part; a vector is as long as training has groups."""
+    train, test = P.stable_split(all_loans(spark, d))
+    vectors = fitted(spark, d, loans=train).indicator_vectors(test)
+    from creditloom.operators.embeddings import sparse_parts
+
+    features = [*DISCRETE, *CONTINUOUS]
+    places = vectors.select(*[sparse_parts(f"{f}_ind")["indices"].alias(f) for f in features])
+    return places.unpivot([], features, "feature", "indices").select("feature", F.explode("indices").alias("grp")).groupBy(
+        "feature", "grp").agg(F.count(F.lit(1)).alias("ones"))
+
+
+# The training part's rows with their groups.
+TRAIN_PLACED = APPLIED.replace("FROM test_loans", "FROM train_loans")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom import constants as K
 from creditloom.functions import scalars as S
+from creditloom.operators import coarse as C
 from creditloom.operators import embeddings as W
 from creditloom.operators import evaluation as L
 from creditloom.operators import loss as Q
@@ -17,7 +18,7 @@ from creditloom.plans import hybrid as H
 from creditloom.plans import structured as ST
 from creditloom.plans import textual as TX
 from creditloom.plans import views as V
-from creditloom.queries.binning import SPECS, all_loans, rounded
+from creditloom.queries.binning import SPECS, TRAIN_PLACED, all_loans, rounded
 from creditloom.queries.registry import query, sql_on
 from creditloom.queries.text import TOKENS, quoted, token_frame
 from creditloom.session import cut_lineage, new_path
@@ -168,11 +169,61 @@ def split_loans(spark, d):
 def lr_raw_vs_coarse(spark, d):
     """Logistic regression on raw columns against coarse-class indicators."""
     train, test = split_loans(spark, d)
-    coarse = ST.fit_structured(train, test, SPECS)
-    scored = P.stack_frames(M.fit_raw_lr(train, test)[1], M.fit_indicator_lr(coarse.train, coarse.test)[1])
+    classing = C.fit_classing(train, SPECS)
+    parts = [cut_lineage(classing.indicator_vectors(part), "indicator-vectors") for part in (train, test)]
+    scored = P.stack_frames(M.fit_raw_lr(train, test)[1], M.fit_indicator_lr(*parts)[1])
     return L.metrics(L.cumulative(scored)).join(L.accuracy(scored), "model")
 
 
+@query("score_equations", sql_on("loan_book", body=f"""
+{TRAIN_PLACED},
+bad AS (SELECT feature, CAST(g AS INTEGER) AS grp, COUNT(*) FILTER (b.good_bad = 0) AS n FROM placed p JOIN loan_book b ON p.id = b.id GROUP BY feature, g)
+SELECT feature, grp, n AS observed, n AS implied FROM bad
+UNION ALL SELECT 'intercept', -1, COUNT(*) FILTER (good_bad = 0), COUNT(*) FILTER (good_bad = 0) FROM train_loans"""))
+def score_equations(spark, d):
+    """Defaults per group of the training part, as counted and as the logistic model on indicator vectors implies them.
+
+    The implied number is the sum of predicted probabilities plus the penalty's
+    part; a model that is not at its optimum gives another one.
+    """
+    from pyspark.ml.feature import VectorAssembler
+
+    train, _ = split_loans(spark, d)
+    classing = C.fit_classing(train, SPECS, exact_edges=True)
+    vectors = cut_lineage(classing.indicator_vectors(train), "indicator-vectors").withColumn("bad_label", S.bad_label("good_bad"))
+    features = list(classing.group_numbers)
+    frame = VectorAssembler(inputCols=[f"{f}_ind" for f in features], outputCol="features").transform(vectors)
+    model = M.logistic("bad_label", 200, tol=1e-7).fit(frame)
+    M.checked(model, 200)
+    sizes = [classing.group_numbers[f] for f in features]
+    spans = [(f, sum(sizes[:k]), n) for k, (f, n) in enumerate(zip(features, sizes))]  # one row per feature
+    places = spark.createDataFrame(spans, "feature string, start int, size int").select(
+        "feature", F.posexplode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("grp", "position"))
+    table = M.score_equations(model, frame, "bad_label").join(F.broadcast(places), "position", "left")
+    return table.select(F.coalesce("feature", F.lit("intercept")).alias("feature"), F.coalesce("grp", F.lit(-1)).alias("grp"),
+                        F.round("observed").cast("long").alias("observed"), F.round("implied").cast("long").alias("implied"))
+
+
+@query("exposure_equations", sql_on("loan_book", body=f"""
+{TRAIN_PLACED},
+t AS (SELECT id, CASE WHEN funded_amnt > 0 THEN total_rec_prncp / funded_amnt ELSE 0.0 END AS rr, funded_amnt FROM loan_book)
+SELECT feature, CAST(g AS INTEGER) AS grp, ROUND(AVG(funded_amnt * greatest(0.0, least(1.0, rr))), 2) AS mean_ead
+FROM placed p JOIN t ON p.id = t.id GROUP BY feature, g"""))
+def exposure_equations(spark, d):
+    """Mean exposure per group of the training part, as the regression on all indicators predicts it: at its optimum the mean itself."""
+    train, _ = split_loans(spark, d)
+    classing = C.fit_classing(train, SPECS, exact_edges=True)
+    flags = cut_lineage(classing.indicators(train), "indicators")
+    columns = [c for c in flags.columns if c not in ("id", "good_bad")]
+    targets = Q.with_loss_targets(V.loan_book(spark, d, "id", "funded_amnt", "total_rec_prncp"))
+    model = M.fit_ead(flags, targets, columns)
+    scored = model.transform(flags)
+    named = [(c, f, g) for f, pairs in classing.indicator_names().items() for g, (c, _) in enumerate(pairs)]
+    sums = scored.agg(*[(F.sum(F.col(f"`{c}`") * F.col("prediction")) / F.sum(f"`{c}`")).alias(c) for c, _, _ in named])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(g).alias("grp"), F.round(F.col(f"`{c}`"), 2).alias("mean_ead")) for c, f, g in named])
+    return sums.select(F.inline(rows))
+
+
 @query("coefficient_table")
 def coefficient_table(spark, d):
     train, test = split_loans(spark, d)

@@ -422,12 +422,13 @@ def stable_split(spark, d):
 @query("random_split", sql_on("loan_book", body="""
 SELECT COUNT(*) AS n, COUNT(DISTINCT id) AS ids, CAST(SUM(1 - good_bad) AS BIGINT) AS defaults, TRUE AS share_as_wanted FROM loan_book"""))
 def random_split(spark, d):
-    """Both parts together: every loan once, and 80% of them (within 2 points) in the first."""
+    """Both parts together: every loan once, and 80% of them (within 5 standard deviations) in the first."""
     train, test = P.random_split(V.loan_book(spark, d, "id", "good_bad"))
     parts = train.select(F.lit(1).alias("first"), "*").union(test.select(F.lit(0).alias("first"), "*"))
     return parts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"),
                      F.sum(1 - F.col("good_bad")).cast("long").alias("defaults"),
-                     (F.abs(F.avg("first") - 0.8) < 0.02).alias("share_as_wanted"))
+                     # A share of n draws has variance 0.8 * 0.2 / n.
+                     (F.pow(F.avg("first") - 0.8, 2) * F.count(F.lit(1)) < 25 * 0.8 * 0.2).alias("share_as_wanted"))
 
 
 @query("text_present_split", sql_on("loan_text_gaps", body="""

@@ -88,19 +88,20 @@ def lookup_join(
     on: str,
     how: str = "left",
     *,
-    salt_by: str | None = None,
+    salt_by: Column | str | None = None,
     salts: int = 16,
     limit: int = BROADCAST_BYTES,
+    size: int | None = None,
 ) -> DataFrame:
     """Join a large, possibly skewed fact table to a lookup with one row per key.
 
-    A lookup of at most ``limit`` measured bytes is broadcast, so no fact row
-    moves. A larger one is copied once per salt and the facts are spread over the salts by a hash of
+    A lookup of at most ``limit`` measured bytes (``size``, if they were measured
+    before) is broadcast, so no fact row moves. A larger one is copied once per salt and the facts are spread over the salts by a hash of
     ``salt_by``: a key that holds a third of all facts is then shared by
     ``salts`` tasks. The salt depends on the row only, so a recomputed task
     places its rows as before.
     """
-    if measured_bytes(lookup) <= limit:
+    if (measured_bytes(lookup) if size is None else size) <= limit:
         return facts.join(F.broadcast(lookup), on=on, how=how)
     if salt_by is None:
         return facts.join(lookup, on=on, how=how)

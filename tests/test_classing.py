@@ -101,8 +101,8 @@ def test_replay_on_counts_equals_rescan_of_rows(seed):
     loans = pd.DataFrame({"bin": [str(b) if b < 11 else "MISSING" for b in bins],
                           "good": (rng.random(3000) < 0.6 + 0.03 * bins).astype(int)})
     counts = loans.groupby("bin")["good"].agg(n_obs="count", n_good="sum").reset_index()
-    ordered = C._base_order(counts, kind, "MISSING")
-    groups = [[b] for b in ordered["bin"]]
+    ordered = C.base_order([tuple(r) for r in counts.itertuples(index=False)], kind, "MISSING")
+    groups = [[b] for b, *_ in ordered]
     for left, right, _ in C.merge_decisions(ordered, spec)[:-1]:
         groups[left] += groups.pop(right)
     assert {b: g for g, members in enumerate(groups) for b in members} == rescan(loans, spec)
@@ -216,6 +216,61 @@ def test_text_numbers_are_classed_as_numbers(spark):
     assert [r["p__bin"] for r in out.collect()] == [0, 1, None]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_wide_features_take_the_same_decisions(spark, seed):
+    """Steps on the ordered table and steps on the driver's list, with ties, under several limits."""
+    rng = np.random.default_rng(seed)
+    rows, specs = [], []
+    for f, limits in enumerate([{}, {"min_obs": 0.0, "min_good": 0.0, "min_bad": 0.0}, {"min_obs": 0.002, "min_good": 0.0, "min_bad": 0.0, "max_merges": 12},
+                                {"min_obs": 0.0, "min_good": 0.0, "min_bad": 0.0, "min_woe": 0.2}]):
+        for c in range(int(rng.integers(2, 90))):
+            n = int(rng.integers(1, 12 if seed % 2 else 400))
+            rows.append((f"f{f}", f"c{c:02d}", n, int(rng.integers(0, n + 1))))
+        specs.append(C.FeatureSpec(f"f{f}", **limits))
+    counts = counts_frame(spark, rows).cache()
+    wide = sorted(map(str, C.plan_merges(counts, specs, driver_classes=0).collect()))
+    assert wide == sorted(map(str, C.plan_merges(counts, specs).collect()))
+
+
+def test_a_million_classes(spark):
+    """One feature of a million classes: groups are named once, and their names grow with the classes, not their square."""
+    df = spark.range(1_500_000).select("id", (F.col("id") % 7 > 0).cast("int").alias("good_bad"),
+                                       F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.col("id") % 1000).cast("string").alias("c"))
+    classing = C.fit_classing(df, [C.FeatureSpec("c", max_merges=6)])
+    classes = df.select("c").distinct().count()
+    assert classes > 1_000_000 and classing.members.count() == classes
+    assert classing.named.count() == classes - 6
+    assert classing.named.agg(F.sum(F.length("label"))).first()[0] <= 8 * classes + 3 * 6
+    assert classing.group_numbers == {"c": classes - 6}
+    vectors = classing.indicator_vectors(df.where("id < 1000"))
+    assert vectors.count() == 1000 and vectors.first()["c_ind"].size == classes - 6
+    out = classing.transform(df, "both")
+    assert out.where("c_grp IS NULL OR c_woe IS NULL").count() == 0
+
+
+def test_vectors_equal_indicator_columns(spark, classing):
+    columns = {f: [c for c, _ in pairs] for f, pairs in classing.indicator_names().items()}
+    odd = spark.createDataFrame([(7000, 1, -5.0, "zzz", 1e12, 3.0)], frame(spark).schema)
+    df = frame(spark).where("id % 37 = 0").union(odd)
+    flags = {r["id"]: r for r in classing.indicators(df).collect()}
+    vectors = classing.indicator_vectors(df).collect()
+    assert len(vectors) == len(flags)
+    for row in vectors:
+        for f, names in columns.items():
+            assert list(row[f"{f}_ind"].toArray()) == [flags[row["id"]][c] for c in names]
+    table = {(r["feature"], r["grp"]): r["label"] for r in classing.indicator_table().collect()}
+    assert [table["x", g] for g in range(len(columns["x"]))] == classing.labels("x")
+
+
+def test_large_lookups_are_joined_with_salts(spark, classing, monkeypatch):
+    df = frame(spark)
+    want = sorted(map(str, classing.transform(df).select("id", "c_grp", "c_woe").collect()))
+    classing.__dict__["_lookup_bytes"] = {f: (1 << 40, 1 << 40) for f in classing.features}
+    got = classing.transform(df).select("id", "c_grp", "c_woe")
+    del classing.__dict__["_lookup_bytes"]
+    assert sorted(map(str, got.collect())) == want
+
+
 def test_many_categories(spark):
     """More classes than a driver list should hold; one class has a third of all rows."""
     df = spark.range(360_000).select("id", (F.col("id") % 7 > 0).cast("int").alias("good_bad"),

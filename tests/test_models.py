@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from creditloom.operators import embeddings as W
 from creditloom.operators import models as M
+from creditloom.operators import prep as P
 from creditloom.plans import general as G
 
 
@@ -94,3 +96,73 @@ def test_general_preparation(spark):
     assert [rows[i]["good_bad"] for i in (1, 2, 3)] == [1, 0, 0] and rows[1]["open_acc"] == 0.0
     # The test part takes the training part's largest offset.
     assert b.first()["mths_since_earliest_cr_line"] == 227
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 5, 8, 16, 40])
+def test_random_split_share(spark, parts):
+    df = spark.range(1500).repartition(parts)
+    train, test = P.random_split(df)
+    assert train.count() + test.count() == 1500 and train.union(test).distinct().count() == 1500
+    assert (train.count() / 1500 - 0.8) ** 2 * 1500 < 25 * 0.16
+
+
+def numbers(spark, n=600):
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(n):
+        kind = i % 3
+        a, x = float(kind == 0), float(rng.standard_normal())
+        y = int(rng.random() < 1 / (1 + np.exp(-0.7 * x - a)))
+        rows.append((i, y, a, float(kind == 1), float(kind == 2), x, 5.0, 3 * x + 1, float(np.clip(0.3 + 0.1 * kind + 0.05 * rng.random(), 0.01, 0.99))))
+    return spark.createDataFrame(rows, "id int, good_bad int, a double, b double, c double, x double, constant double, twice double, t double")
+
+
+def test_independent_columns(spark):
+    df = numbers(spark)
+    assert M.independent_columns(df, ["a", "b", "c", "x", "constant", "twice"]) == ["a", "b", "x"]
+    assert M.independent_columns(df, ["constant"]) == ["constant"]
+
+
+def test_score_equations(spark):
+    df = VectorAssembler(inputCols=["a", "b", "c", "x"], outputCol="features").transform(numbers(spark)).cache()
+    model = M.logistic(reg=0.05, max_iter=200, tol=1e-12).fit(df)
+    rows = M.score_equations(model, df).collect()
+    assert [r["position"] for r in rows] == [-1, 0, 1, 2, 3]
+    assert all(abs(r["gradient"]) < 1e-6 for r in rows)
+    # The derivative of the written objective at other coefficients is not zero.
+    short = M.logistic(reg=0.05, max_iter=1).fit(df)
+    assert max(abs(r["gradient"]) for r in M.score_equations(short, df).collect()) > 1e-3
+    assert M.checked(model, 200)[1] and M.checked(short, 1) == (1, False)
+
+
+def test_a_failed_line_search_raises():
+    class Model:
+        class summary:
+            objectiveHistory, totalIterations = [0.7, 0.6, 0.5], 2
+
+    with pytest.raises(M.FitError):
+        M.checked(Model, 50)
+    Model.summary.objectiveHistory = [0.7, float("nan")]
+    with pytest.raises(M.FitError):
+        M.checked(Model, 50)
+
+
+def test_loss_fits_with_columns_that_sum_to_one(spark):
+    """Each group's mean comes out, however many redundant columns are given."""
+    df = numbers(spark)
+    targets = df.select("id", F.col("t").alias("lgd"), (F.col("t") * 100).alias("ead"))
+    columns = ["a", "b", "c", "constant"]
+    for model, target, label in ((M.fit_lgd(df.withColumn("good_bad", F.lit(0)), targets, columns), "lgd", None), (M.fit_ead(df, targets, columns), "ead", None)):
+        out = model.transform(df).join(targets, "id").groupBy("a", "b").agg(F.avg("prediction").alias("p"), F.avg(target).alias("t")).collect()
+        assert all(r["p"] == pytest.approx(r["t"], rel=1e-6) for r in out)
+
+
+def test_weighted_text_score_equals_copies(spark):
+    """Weights do what copies of the rarer class's rows would."""
+    rows = [(i, int(i % 5 > 0), Vectors.dense([(i * 37 % 11) / 11, float(i % 5 > 0) + (i * 13 % 7) / 3])) for i in range(200)]
+    df = spark.createDataFrame(rows, ["id", "good_bad", "v"])
+    weighted = W.fit_text_score(df, "v")
+    copies = df.union(df.where("good_bad = 0")).union(df.where("good_bad = 0")).union(df.where("good_bad = 0"))
+    from pyspark.ml.classification import LogisticRegression
+    plain = LogisticRegression(featuresCol="v", labelCol="good_bad", maxIter=100, regParam=0.01).fit(copies)
+    assert np.allclose(weighted.coefficients.toArray(), plain.coefficients.toArray(), atol=2e-2)

@@ -140,7 +140,7 @@ def test_measured_bytes(spark):
 def test_text_score_and_one_hot(spark):
     rows = [(i, i % 4 > 0, Vectors.dense([float(i % 4 > 0), 0.1 * (i % 3)])) for i in range(80)]
     df = spark.createDataFrame([(i, int(g), v) for i, g, v in rows], ["id", "good_bad", "v"])
-    model = W.fit_text_score(df, "v", hidden=4)
+    model = W.fit_text_score(df, "v")
     scores = W.text_score(model, df)
     out = W.attach_score(df.select("id").union(spark.createDataFrame([(999,)], "id long")), scores)
     assert out.where("id = 999").first()["text_score"] == 0.0
