@@ -1,8 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All shingles have one global order, rare ones first, which is cut into
-fragments. Documents that share a shingle among their first ones are candidate
-pairs; the overlap of a pair is counted in each fragment separately and summed.
+All shingles have one global order, which is cut into fragments: a front part
+of the hash range, ordered by the exact number of sets that hold a shingle, and
+the rest of the range, ordered by hash. Documents that share shingles among
+their first ones are candidate pairs; the overlap of a pair is counted in each
+fragment separately and summed.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from creditloom.llm.common import arrow_map, arrow_sums, components, semi_join_keys, text_bytes
+from creditloom.llm.common import arrow_map, components, semi_join_keys, text_bytes
 from creditloom.llm.words import WordNumbers, shingle_set
 from creditloom.session import cut_lineage
 
 WORDS = 3
 PERCENT = 90
 FRAGMENTS = 4
-SKETCH = 65_536
+# Share of the hash range in front, whose shingles are counted: twice what a set of many shingles needs at 90 per cent.
+FRONT_PERCENT = 20
 # Shingles that a pair must share among its first ones to be compared.
 SHARED_FIRST = 3
 
@@ -30,44 +33,27 @@ def sets_of(batch_column: pa.Array, words: int, store: WordNumbers) -> list[np.n
     return [shingle_set(store.of(t.lower().split()), words) for t in text_bytes(batch_column)]
 
 
-def places(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(48)).astype(np.int64)
+def front_limit(percent: int) -> np.uint64:
+    """First shingle number behind the front part: a linked set needs its first ``100 - percent`` per cent, and twice as many are counted."""
+    share = max(FRONT_PERCENT, min(100, 2 * (100 - percent)))
+    return np.uint64((2**64 - 1) // 100 * share)
 
 
-def shingle_sketch(texts: DataFrame, words: int) -> np.ndarray:
-    """Documents per shingle, summed over ``SKETCH`` hash classes of all documents' shingles.
-
-    A shingle that many documents share lifts its class above the others, and
-    comes late in the global order.
-    """
-
-    store = WordNumbers()  # empty here; each task fills its own copy
-
-    def add(batch, totals):
-        for own in sets_of(batch.column(0), words, store):
-            np.add.at(totals[0], places(own), 1)
-
-    return arrow_sums(texts, add, SKETCH, 1)[0]
-
-
-def fragment_of_class(sketch: np.ndarray, fragments: int) -> np.ndarray:
-    """Cut the global order into fragments with about as many shingles each."""
-    order = np.argsort(sketch, kind="stable")
-    upto = np.cumsum(sketch[order])
-    cut = np.empty(SKETCH, np.int8)
-    cut[order] = np.minimum(fragments - 1, (upto - sketch[order]) * fragments // max(1, upto[-1]))
-    return cut
+def fragment_starts(limit: np.uint64, fragments: int) -> np.ndarray:
+    """First shingle numbers of the fragments after the front one: equal parts of the rest of the hash range."""
+    rest = 2**64 - 1 - int(limit)
+    return np.array([int(limit) + rest * k // max(1, fragments - 1) for k in range(fragments - 1)], dtype=np.uint64)
 
 
 def linked(overlap: str, a: str, b: str, percent: int) -> str:
     return f"100 * {overlap} >= {percent} * ({a} + {b} - {overlap})"
 
 
-def overlaps(source: DataFrame, pairs: DataFrame, sets: DataFrame, sketch: np.ndarray, words: int, fragments: int, percent: int) -> DataFrame:
+def overlaps(source: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, fragments: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` among ``pairs(a, b, n_a, n_b)`` of ``sets(node, key, id)`` by the sum of their overlaps per fragment."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut_lineage(wanted.join(sets.select("node", "key", "id"), "node"), "join-wanted")
-    shipped = source.sparkSession.sparkContext.broadcast(fragment_of_class(sketch, fragments))
+    starts = fragment_starts(front_limit(percent), fragments)
 
     store = WordNumbers()
 
@@ -77,9 +63,7 @@ def overlaps(source: DataFrame, pairs: DataFrame, sets: DataFrame, sketch: np.nd
             if len(own) == 0:
                 continue
             key = xxhash.xxh3_128_digest(own.tobytes())
-            part = shipped.value[places(own)]
-            for fragment in range(fragments):
-                chosen = own[part == fragment]
+            for fragment, chosen in enumerate(np.split(own, np.searchsorted(own, starts))):
                 if len(chosen):
                     keys.append(key)
                     parts.append(fragment)
@@ -105,6 +89,32 @@ def often(pairs: DataFrame, times: int) -> DataFrame:
     return pairs.groupBy("a", "b", "n_a", "n_b").count().where(F.col("count") >= times).drop("count")
 
 
+def needed(n, percent: int, shared_first: int):
+    """First shingles of a set of ``n``, ``shared_first`` of which it shares with every set it links to."""
+    return n - (percent * n + 99) // 100 + shared_first if n else 0
+
+
+def first_shingles(sets: DataFrame, percent: int, shared_first: int) -> DataFrame:
+    """``(node, n, place, shingle)`` of the first shingles in the global order, without those that one set alone holds.
+
+    ``sets`` has ``node, n, front, firsts``: the front shingles, and as many of
+    the rest as are needed, in hash order. Counts are combined before
+    they move. A set's unshared shingles come first and are known by their number, so most
+    sets move no further.
+    """
+    rows = sets.select("node", "n", "front", F.posexplode("firsts").alias("place", "shingle"))
+    front = rows.where("place < front").drop("place")
+    often = front.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    shared = front.join(often, "shingle")
+    of_node = Window.partitionBy("node")
+    before = F.col("front") - F.count(F.lit(1)).over(of_node)  # shingles that no other set holds
+    place = before + F.row_number().over(of_node.orderBy("holders", "shingle")) - 1
+    least = F.expr(f"n - (({percent} * n + 99) div 100) + {shared_first}")
+    ranked = shared.withColumn("place", place.cast("int")).where(F.col("place") < least)
+    columns = ["node", "n", "place", "shingle"]
+    return ranked.select(*columns).union(rows.where((F.col("place") >= F.col("front")) & (F.col("place") < least)).select(*columns))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id``.
 
@@ -129,24 +139,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     while shared_first > 1 and shared_first * (100 - percent) > percent:
         shared_first -= 1
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = shingle_sketch(source.select("text"), words)
-    shipped = source.sparkSession.sparkContext.broadcast(sketch)
-
-    store = WordNumbers()
+    limit = front_limit(percent)
+    store = WordNumbers()  # empty here; each task fills its own copy
 
     def prefix(batch):
-        sizes, keys, firsts = [], [], []
+        sizes, keys, fronts, firsts = [], [], [], []
         for own in sets_of(batch.column(1), words, store):
             n = len(own)
             sizes.append(n)
             keys.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
-            first = n - (percent * n + 99) // 100 + shared_first if n else 0
-            order = np.lexsort((own, shipped.value[places(own)]))[:first]
-            firsts.append(own[order].view(np.int64))
-        return [batch.column(0), sizes, keys, firsts]
+            fronts.append(int(np.searchsorted(own, limit)))
+            firsts.append(own[:max(fronts[-1], needed(n, percent, shared_first))].view(np.int64))
+        return [batch.column(0), sizes, keys, fronts, firsts]
 
     table = cut_lineage(
-        arrow_map(source, prefix, "id long, n long, key binary, firsts array<long>").withColumn(
+        arrow_map(source, prefix, "id long, n long, key binary, front int, firsts array<long>").withColumn(
             "row", F.monotonically_increasing_id()
         ),
         "join-prefixes",
@@ -154,8 +161,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # A set is named by the smallest row that has it.
     sets = table.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("row").alias("node"))
     sets = cut_lineage(sets, "join-sets")
-    nodes = table.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), "firsts").join(sets.select("node"), "node")
-    nodes = nodes.select("node", "n", F.posexplode("firsts").alias("place", "shingle"))
+    nodes = first_shingles(
+        table.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), "front", "firsts").join(sets.select("node"), "node"),
+        percent, shared_first,
+    )
     # A node stays in a shingle's group if its neighbours by size can reach the threshold with it.
     by_size = Window.partitionBy("shingle").orderBy("n")
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -178,7 +187,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "IF(node < hub.node, place, hub.place) AS place_a", "IF(node < hub.node, hub.place, place) AS place_b",
     ).where(f"{near_size} AND {reach}")
     spokes = cut_lineage(often(spokes, shared_first), "join-spokes")
-    links = cut_lineage(overlaps(source, spokes, sets, sketch, words, fragments, percent), "join-links")
+    links = cut_lineage(overlaps(source, spokes, sets, words, fragments, percent), "join-links")
     labels = components(links, "join-first")
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = Window.partitionBy("shingle")
@@ -207,7 +216,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "IF(node_x < node_y, n_a, n_b) AS n_a", "IF(node_x < node_y, n_b, n_a) AS n_b",
     )
     rest = cut_lineage(often(rest, shared_first).join(spokes.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
-    more = overlaps(source, rest, sets, sketch, words, fragments, percent)
+    more = overlaps(source, rest, sets, words, fragments, percent)
     labels = components(links.union(more), "join-last")
     ids = sets.join(labels, "node").groupBy("label").agg(F.min("id").alias("component"))
     found = labels.join(ids, "label").select("node", "component")
