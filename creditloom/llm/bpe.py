@@ -11,6 +11,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,12 @@ PIECES = (
 )
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-# Pieces whose ids a task remembers; emptied beyond it, which changes no result.
-REMEMBERED_PIECES = 300_000
-LONGEST_REMEMBERED = 200
+# Words and pieces whose ids a task remembers at most twice over, which changes no result.
+REMEMBERED_WORDS = 200_000
+REMEMBERED_PIECES = 150_000
+LONGEST_REMEMBERED = 100
+# A pair of symbols as one number, and a queue entry's rank and place as one.
+PAIR_BITS, PLACE_BITS = 24, 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,7 +69,7 @@ class BpeModel:
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.merges[vocab[left] << PAIR_BITS | vocab[right]] = (rank, vocab[left + right])
         self.strings = {i: bytes(alphabet[c] for c in s) for s, i in vocab.items()}
         self.strings |= {i: s.encode() for s, i in self.added.items()}
 
@@ -72,59 +77,88 @@ class BpeModel:
         return self.first, self.merges, self.added
 
 
-def merge_symbols(symbols: list[int], merges: dict) -> list[int]:
-    """Apply merges by rank, leftmost first, until none is left."""
-    size = len(symbols)
-    before, after = list(range(-1, size - 1)), [*range(1, size), -1]
+def merge_symbols(symbols: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
+    """Apply merges by rank, leftmost first, until none is left.
+
+    ``after`` and ``before`` link the symbols that are left. A queue entry is
+    stale if the pair at its place is gone or has another rank by now.
+    """
+    size, find, place = len(symbols), merges.get, (1 << PLACE_BITS) - 1
     queue = []
     for at in range(size - 1):
-        found = merges.get((symbols[at], symbols[at + 1]))
+        found = find(symbols[at] << PAIR_BITS | symbols[at + 1])
         if found:
-            queue.append((found[0], at, symbols[at], symbols[at + 1]))
+            queue.append(found[0] << PLACE_BITS | at)
+    if not queue:
+        return symbols
+    before, after = list(range(-1, size)), list(range(1, size + 1))
     heapq.heapify(queue)
     while queue:
-        _, at, left, right = heapq.heappop(queue)
+        entry = heapq.heappop(queue)
+        at = entry & place
         nxt = after[at]
-        if symbols[at] != left or nxt < 0 or symbols[nxt] != right:
-            continue  # stale: one of the two has merged since
-        symbols[at] = merges[left, right][1]
+        if nxt >= size or symbols[at] < 0:
+            continue
+        found = find(symbols[at] << PAIR_BITS | symbols[nxt])
+        if not found or found[0] != entry >> PLACE_BITS:
+            continue
+        symbols[at] = merged = found[1]
         symbols[nxt] = -1
         after[at] = follow = after[nxt]
-        if follow >= 0:
+        if follow < size:
             before[follow] = at
-            found = merges.get((symbols[at], symbols[follow]))
+            found = find(merged << PAIR_BITS | symbols[follow])
             if found:
-                heapq.heappush(queue, (found[0], at, symbols[at], symbols[follow]))
+                heapq.heappush(queue, found[0] << PLACE_BITS | at)
         ahead = before[at]
         if ahead >= 0:
-            found = merges.get((symbols[ahead], symbols[at]))
+            found = find(symbols[ahead] << PAIR_BITS | merged)
             if found:
-                heapq.heappush(queue, (found[0], ahead, symbols[ahead], symbols[at]))
+                heapq.heappush(queue, found[0] << PLACE_BITS | ahead)
     return [s for s in symbols if s >= 0]
 
 
-class Encoder(dict):
-    """Packed ids of a word with a space before it, computed on first use."""
+class Store(dict):
+    """Values by text, made on first use, in two generations of ``limit`` texts.
 
-    def __init__(self, first: list[int], merges: dict, added: dict) -> None:
+    When the younger one is full it takes the older one's place; a text found
+    there moves back, so frequent ones stay.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
         super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.older.pop(text, None)
+        if value is None:
+            value = self.make(text)
+        if len(text) <= LONGEST_REMEMBERED:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[text] = value
+        return value
+
+
+class Encoder:
+    """Packed ids of texts; remembers words, each with a space before it, and the pieces that words consist of."""
+
+    def __init__(self, first: list[int], merges: dict, added: dict) -> None:
         self.first, self.merges, self.added = first, merges, added
-        self.pattern = regex.compile(PIECES)
+        self.pieces_of = regex.compile(PIECES).findall
         longest_first = sorted(added, key=len, reverse=True)
         self.split_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        self.pieces = Store(self.piece, REMEMBERED_PIECES)
+        self.words = Store(lambda word: self.plain(" " + word), REMEMBERED_WORDS)
 
-    def __missing__(self, word: str) -> bytes:
-        packed = self.plain(" " + word)
-        if len(word) <= LONGEST_REMEMBERED:
-            self[word] = packed
-        return packed
+    def piece(self, piece: str) -> bytes:
+        symbols = list(map(self.first.__getitem__, piece.encode("utf-8")))
+        ids = merge_symbols(symbols, self.merges)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bytes:
-        first, merges, ids = self.first, self.merges, []
-        for piece in self.pattern.findall(text):
-            symbols = [first[b] for b in piece.encode("utf-8")]
-            ids += merge_symbols(symbols, merges) if len(symbols) > 1 else symbols
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.pieces_of(text)))
 
     def ordinary(self, text: str) -> bytes:
         """Ids of a text without added tokens.
@@ -136,17 +170,14 @@ class Encoder(dict):
             parts = regex.split(r"(?<! ) (?=[^ ])", text)
         else:
             parts = text.split(" ")
-        return self.plain(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
+        return self.plain(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
 
     def encode(self, text: str) -> bytes:
-        if len(self) > REMEMBERED_PIECES:
-            self.clear()
         if self.split_added is None:
             return self.ordinary(text)
         parts = self.split_added.split(text) if any(t in text for t in self.added) else [text]
         return b"".join(
-            np.array([self.added[p]], dtype="<u4").tobytes() if k % 2 else self.ordinary(p) if p else b""
-            for k, p in enumerate(parts)
+            struct.pack("<I", self.added[p]) if k % 2 else self.ordinary(p) if p else b"" for k, p in enumerate(parts)
         )
 
 
@@ -155,7 +186,8 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out: str = "i
 
     All columns of ``df`` stay; one named ``out`` is replaced. A null text
     counts as empty and gives no ids. Added tokens in the text become their
-    ids, no others are added; texts of any length are encoded whole.
+    ids, no others are added; texts of any length are encoded whole. Equal
+    rows get equal ids; an empty table gives an empty one.
     """
     shipped = df.sparkSession.sparkContext.broadcast(BpeModel(model_path).parts())
     kept = df.drop(out)
@@ -186,7 +218,8 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "dec
 
     All columns of ``df`` stay; one named ``out`` is replaced. Null or empty
     ids give an empty text; ids outside the vocabulary give nothing; bytes that
-    are no UTF-8 become U+FFFD.
+    are no UTF-8 become U+FFFD. Equal rows get equal texts; an empty table gives
+    an empty one.
     """
     shipped = df.sparkSession.sparkContext.broadcast(BpeModel(model_path).strings)
     kept = df.drop(out)
@@ -199,7 +232,10 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "dec
 
 
 def recode(df: DataFrame, model_path: str, text_col: str = "text", ids_out: str = "ids", text_out: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` of what it gave, in one worker: replaces ``text_col`` by ids and decoded text."""
+    """``encode`` and ``decode`` of what it gave, in one worker: replaces ``text_col`` by ids and decoded text.
+
+    Null texts, repeated rows and empty tables are as in these two.
+    """
     model = BpeModel(model_path)
     context = df.sparkSession.sparkContext
     parts, strings = context.broadcast(model.parts()), context.broadcast(model.strings)

@@ -68,5 +68,17 @@ def test_bpe_encode_then_decode_keeps_columns(docs_of):
 
 
 def test_merges_skip_stale_pairs():
-    merges = {(0, 1): (1, 2), (1, 1): (0, 3), (2, 1): (2, 4)}
+    merges = {a << bpe.PAIR_BITS | b: found for (a, b), found in {(0, 1): (1, 2), (1, 1): (0, 3), (2, 1): (2, 4)}.items()}
     assert bpe.merge_symbols([0, 1, 1, 0, 1], merges) == [0, 3, 2]
+
+
+def test_more_words_than_a_store_holds():
+    """Two small generations give the ids of a large one, also within one text."""
+    model = bpe.BpeModel(bpe.default_model())
+    random.seed(4)
+    words = ["".join(random.choices("abcdefgh", k=random.randint(1, 6))) for _ in range(3000)]
+    text = " ".join(random.choices(words, k=20_000))
+    small, large = bpe.Encoder(*model.parts()), bpe.Encoder(*model.parts())
+    small.words.limit, small.pieces.limit = 50, 20
+    assert small.encode(text) == large.encode(text)
+    assert len(small.words) <= 50 and len(small.words.older) <= 50 and len(small.pieces) <= 20 < len(large.pieces)
