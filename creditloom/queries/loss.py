@@ -9,6 +9,7 @@ from creditloom.operators import profile as E
 from creditloom.plans import views as V
 from creditloom.queries.binning import rounded
 from creditloom.queries.registry import query, sql_on
+from creditloom.session import bucketed
 
 TARGETS = """
 t AS (SELECT *, CASE WHEN funded_amnt > 0 THEN total_rec_prncp / funded_amnt ELSE 0.0 END AS rr FROM scored),
@@ -18,15 +19,17 @@ EL = TARGETS + """,
 el AS (SELECT id, y, pd_b, pd_a, lgd, ead, pd_b * lgd * ead AS el_b, pd_a * lgd * ead AS el_h FROM targets)"""
 
 
+def el_parts(spark, d):
+    """The four inputs of the merge, each one number per loan."""
+    base = M.with_loss_targets(V.scored(spark, d, "total_rec_prncp"))
+    return (base.select("id", (1 - F.col("good_bad")).alias("y_true"), F.col("pd_b").alias("prob_default")),
+            base.select("id", F.col("pd_a").alias("prob_default")),
+            base.select("id", F.col("lgd").alias("lgd_pred")), base.select("id", F.col("ead").alias("ead_pred")))
+
+
 def given_scores(spark, d):
     """Deterministic default scores with the loss targets as predictions."""
-    base = M.with_loss_targets(V.scored(spark, d, "total_rec_prncp"))
-    y = (1 - F.col("good_bad")).alias("y_true")
-    return M.expected_loss(
-        base.select("id", y, F.col("pd_b").alias("prob_default")),
-        base.select("id", F.col("pd_a").alias("prob_default")),
-        base.select("id", F.col("lgd").alias("lgd_pred")),
-        base.select("id", F.col("ead").alias("ead_pred")))
+    return M.expected_loss(*el_parts(spark, d))
 
 
 @query("loss_targets", sql_on("loan_book", "scored", body=f"""WITH {TARGETS}
@@ -52,6 +55,18 @@ def expected_loss(spark, d):
     return rounded(el, ead_pred=4, **{c: 12 for c in names}).withColumns(cents)
 
 
+@query("expected_loss_bucketed", sql_on("loan_book", "scored", body=f"""WITH {EL}
+SELECT id, y AS y_true, ROUND(lgd, 6) AS lgd_pred, ROUND(ead, 4) AS ead_pred,
+  FLOOR(el_b * 1000 + 0.5::DOUBLE) / 1000 AS "EL_baseline", FLOOR(el_h * 1000 + 0.5::DOUBLE) / 1000 AS "EL_hybrid" FROM el"""))
+def expected_loss_bucketed(spark, d):
+    """The four-way merge over tables bucketed by loan: each was dealt once, when it was written, and no join moves a row."""
+    parts = [bucketed(part, name) for part, name in zip(el_parts(spark, d), ("pd-baseline", "pd-hybrid", "lgd", "ead"))]
+    el = M.expected_loss(*parts)
+    cents = {c: F.floor(F.col(c) * 1000 + 0.5) / 1000 for c in ("EL_baseline", "EL_hybrid")}
+    return rounded(el.select("id", "y_true", "lgd_pred", "ead_pred", "EL_baseline", "EL_hybrid"), ead_pred=4, EL_baseline=12,
+                   EL_hybrid=12).withColumns(cents)
+
+
 @query("expected_loss_summary", sql_on("loan_book", "scored", body=f"""WITH {EL}
 SELECT COUNT(*) AS loans, ROUND(SUM(el_b), 2) AS total_baseline, ROUND(SUM(el_h), 2) AS total_hybrid, ROUND(AVG(el_b), 4) AS mean_baseline,
   ROUND(AVG(el_h), 4) AS mean_hybrid, ROUND(AVG(el_h - el_b), 4) AS mean_delta FROM el"""))

@@ -44,6 +44,22 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str = "id", buckets: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key``, sorted in each, and read it back.
+
+    Tables with equally many buckets join on ``key`` where they lie: no row of
+    either moves. Rows are dealt once, here, so that a task writes one file per bucket it holds.
+    The number of buckets is that of shuffle partitions unless given. The session's catalog
+    keeps a name for the layout; a session that ends leaves the files only.
+    """
+    spark = df.sparkSession
+    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096)
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Share the rows of a scan over all cores when it has fewer splits than cores.
 

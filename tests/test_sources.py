@@ -54,3 +54,35 @@ def test_plain_csv(spark, tmp_path, header):
     path = tmp_path / "p.csv"
     path.write_text("1,2\n3,4\n")
     assert A.read_csv(spark, str(path), header=header).count() == (1 if header else 2)
+
+
+def test_bucketed_tables_join_where_they_lie(spark):
+    """No Exchange in the four-way merge, nor in the join of structured and text columns; the rows are those of plain tables."""
+    from creditloom.operators import loss, models
+    from creditloom.queries.loss import el_parts
+    from creditloom.session import bucketed
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = el_parts(spark, "/root/testdata/sf0.001")
+        moved, lying = loss.expected_loss(*plain), loss.expected_loss(*[bucketed(p, "part", buckets=4) for p in plain])
+        rows = sorted(map(str, lying.collect()))
+
+        def plan(df):
+            return df._jdf.queryExecution().executedPlan().toString()
+
+        assert "Exchange" in plan(moved) and "Exchange" not in plan(lying) and "SortMergeJoin" in plan(lying)
+        assert rows == sorted(map(str, moved.collect()))
+        frame = models.variant_frame(bucketed(plain[0], "a", buckets=4), ["y_true"], bucketed(plain[2], "b", buckets=4), ["lgd_pred"], label="prob_default")
+        assert "Exchange" not in plan(frame) and frame.count() == plain[0].count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bucketed_with_null_keys_and_no_rows(spark):
+    from creditloom.session import bucketed
+
+    df = spark.createDataFrame([(None, "a"), (1, None), (1, "b")], "id long, v string")
+    assert sorted(map(str, bucketed(df, "odd").collect())) == sorted(map(str, df.collect()))
+    assert bucketed(df.where("false"), "none").count() == 0
