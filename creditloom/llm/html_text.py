@@ -1,14 +1,15 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for length and commas to their ancestors, a node's
-points are discounted by its link density, and the best container and those of
-its siblings that look like it are kept.
+points are discounted by its link density, and the best container is kept with
+its siblings: all of them that are neither page furniture nor mostly links.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TAG_POINTS = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0}
 # Words of class, id and role names that mark a reader comment, also on an article element.
 COMMENT = frozenset("comment comments disqus replies reply".split())
+# Parts of names that may stand beside a word of NOT_ARTICLE that also has other meanings.
+COMPANIONS = frozenset(
+    "area author bar block body bottom box button buttons container content count form group header holder icon icons"
+    " inner item items left link links list main meta outer panel post posts primary right row secondary section slot"
+    " text thread title top unit wrap wrapper".split()
+)
+# Words of NOT_ARTICLE that name subjects as well: in front of a name they need companions.
+AMBIGUOUS = frozenset(
+    "ad ads banner comment consent cookie cookies menu modal notice notices promotion related reply search share sharing social".split()
+)
+# Elements whose presence makes their parent the frame of the page, not a part of the article.
+FRAME = frozenset("nav header footer aside".split())
 # Words of class, id and role names that mark what is not the article.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent"
@@ -56,16 +69,39 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 COMMAS = re.compile("[,،、，]")
+NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+LISTS = frozenset("ul ol dl".split())
+# A sibling, or a list outside of an article element, with more of its text in links is a menu.
+MOST_LINKS = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "score", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "parts", "dropped", "score", "chars", "link_chars", "frame")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.parts: list = []
         self.score: float | None = None
         self.chars = self.link_chars = 0
+        self.frame = False
+
+
+def marks(name: str, words: frozenset[str]) -> bool:
+    """Whether a class, id or role name is one of ``words``, as a whole or as its first or last part.
+
+    A word that names subjects too does so as first part only among other such
+    words, companions and numbers: ``social-links`` is furniture, ``social-science`` is not.
+    """
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    if not parts:
+        return False
+    if parts[-1] in words or name.lower() in words:
+        return True
+    if parts[-1].isdigit() and len(parts) == 2 and parts[0] in words:
+        return True
+    if parts[0] not in words:
+        return False
+    return parts[0] not in AMBIGUOUS or all(p in words or p in COMPANIONS or p.isdigit() or p == "x" for p in parts[1:])
 
 
 def not_article(attrs: str, words: frozenset[str] = NOT_ARTICLE) -> bool:
@@ -73,12 +109,12 @@ def not_article(attrs: str, words: frozenset[str] = NOT_ARTICLE) -> bool:
     if not attrs or attrs.isspace():
         return False
     for found in ATTRIBUTE.finditer(attrs):
-        name, value = found[1].lower(), (found[2] or "").strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+        name, value = found[1].lower(), (found[2] or "").strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
+        if name == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
-        if name in ("class", "id", "role") and not words.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id", "role") and any(marks(one, words) for one in value.split()):
             return True
     return False
 
@@ -147,6 +183,8 @@ def parse(page: str) -> Node:
             continue
         node = Node(name, parent, dropped)
         parent.parts.append(node)
+        if dropped and name in FRAME:
+            parent.frame = True
         stack.append(node)
         opened[name] = opened.get(name, 0) + 1
     return root
@@ -231,31 +269,51 @@ def main_text(page: str) -> str:
         return " ".join(blocks_of([root]))
     final = {id(n): n.score * (1.0 - link_density(n)) for n in scored}
     best = max(scored, key=lambda n: final[id(n)])
-    above = best
-    while above is not None and above.tag not in ("article", "main"):
-        above = above.parent
-    best = above or best
-    if best.parent is None:
-        return " ".join(blocks_of([best]))
-    enough = max(10.0, 0.2 * final.get(id(best), 0.0))
-    kept = []
-    for near in best.parent.parts:
-        if type(near) is not Node or near.dropped:
-            continue
-        density = link_density(near)
-        if (
-            near is best or final.get(id(near), 0.0) >= enough or near.tag in HEADINGS
-            or (near.tag == "p" and (density < 0.25 if near.chars > 80 else near.chars and density == 0.0))
-        ):
-            kept.append(near)
-    return " ".join(blocks_of(kept))
+    enough = max(10.0, 0.2 * final[id(best)])
+    # An element that says it is the article stays whole, if the best node is in it.
+    article = best
+    for above in ancestors(best):
+        if above.tag == "article":
+            article = above
+    level, in_article = best, article.tag == "article"
+    if not in_article:
+        for node in nodes:
+            node.dropped = node.tag in LISTS and link_density(node) > MOST_LINKS
+    while level.parent is not None:
+        above = level.parent
+        # Beside the best node and in parts of an article, all but menus stays; in the frame of the page, what has points.
+        inside = above.tag == "main" or level.tag not in ("article", "main") and (level is best or not above.frame)
+        if level is article or not in_article:
+            in_article = False
+            above.parts = [
+                p for p in above.parts
+                if p is level or (inside if type(p) is str else not p.dropped and stays(p, inside, final.get(id(p), 0.0) >= enough))
+            ]
+        level = above
+    return " ".join(blocks_of([level]))
+
+
+def ancestors(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def stays(node: Node, inside: bool, scored: bool) -> bool:
+    """Whether a sibling on the way from the best node to the root is part of the article."""
+    density = link_density(node)
+    if inside or node.tag in HEADINGS or scored:
+        return bool(node.chars) and density <= MOST_LINKS
+    return node.tag == "p" and (density < 0.25 if node.chars > 80 else node.chars > 0 and density == 0.0)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """Add ``out``: the main text of each page; all columns stay, one named ``out`` is replaced.
 
-    A null page counts as empty; a page without text gives an empty string.
-    Pages of any length are read whole, repeated rows are rows of their own.
+    A null page counts as empty; a page without text gives an empty string. An
+    empty table gives an empty result. Of nodes with equal points the first in
+    page order is the best. Pages of any length are read whole, repeated rows are
+    rows of their own.
     """
     kept = pages.drop(out)
     place = kept.columns.index(html_col)
