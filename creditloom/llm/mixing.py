@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every document of a source is due ``target / source size`` copies. The whole
-part of that is certain; the rest is an inclusion probability. Documents are
-ranked by random odds divided by inclusion odds, and the ranking is taken until
-the source's remaining words are reached: a sample of fixed size. Inclusion
-probabilities are equal within a source, so the ranking is a random order there.
+part of that is certain. What is left of the target is drawn with inclusion
+probabilities in proportion to size: ``min(1, rate * size)``, where the rate
+makes the expected words equal to what is left. Documents whose probability
+reaches 1 are certain and go first; the others are ranked by random odds divided by
+inclusion odds, and the ranking is taken until the words that are left are reached.
 DataFrame functions only.
 """
 
@@ -44,24 +45,47 @@ def source_targets(sizes: DataFrame, weight: Column, most_copies: int = MOST_COP
     rows = rows.withColumn("_at", F.col("_limit") / F.col("weight"))
     rows = rows.select(
         "*", F.sum("source_size").over(everything).alias("_all"), F.sum("weight").over(everything).alias("_weights"),
-        F.coalesce(F.sum("_limit").over(behind), F.lit(0)).alias("_full"),
+        F.row_number().over(by_limit).alias("_order"), F.coalesce(F.sum("_limit").over(behind), F.lit(0)).alias("_full"),
         F.coalesce(F.sum("weight").over(behind), F.lit(0)).alias("_used"),
     )
     rows = rows.withColumn("_level", (F.col("_all") - F.col("_full")).cast("double") / (F.col("_weights") - F.col("_used")))
     # The level is that of the first source that it leaves below its limit.
-    level = F.min(F.when(F.col("_at") >= F.col("_level"), F.struct("_at", "_level"))).over(everything)["_level"]
+    level = F.min(F.when(F.col("_at") >= F.col("_level"), F.struct("_order", "_level"))).over(everything)["_level"]
     limit = F.col("_limit").cast("double")
     target = F.coalesce(F.least(limit, F.col("weight") * level), limit)
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def inclusion_rates(sizes: DataFrame, room: DataFrame) -> DataFrame:
+    """``source, rate``: the rate at which the sum of ``size * min(1, rate * size)`` over a source is its ``room``.
+
+    ``sizes`` has ``source, size, n``: documents by size above 0, one row each.
+    Sizes are taken from the largest down; those before the first size that the rate
+    leaves at a probability of at most 1 are certain. The sums run over
+    different sizes, of which there are no more than the longest document has words.
+    ``room`` has ``source, room``; each room is less than the sum of the source's sizes.
+    """
+    larger = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Sums of squares pass the range of a long at scale.
+    square = F.col("size").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)") * F.col("n")
+    rows = sizes.select(
+        "source", "size", F.coalesce(F.sum(F.col("size") * F.col("n")).over(larger), F.lit(0)).alias("certain"),
+        F.sum(square.cast("decimal(38,0)")).over(rest).cast("double").alias("squares"),
+    )
+    rows = rows.join(room.select(F.col("source").alias("_source"), "room"), F.col("source").eqNullSafe(F.col("_source")))
+    rows = rows.withColumn("rate", (F.col("room") - F.col("certain")) / F.col("squares")).where(F.col("rate") * F.col("size") <= 1)
+    return rows.groupBy("source").agg(F.max(F.struct("size", "rate")).alias("first")).select("source", F.col("first.rate").alias("rate"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 17, most_copies: int = MOST_COPIES, row_col: str | None = None) -> DataFrame:
-    """One row per document: ``id, source, size, source_size, target, copies, taken``.
+    """One row per document: ``id, source, size, source_size, target, probability, copies, taken``.
 
     A document's size is its number of words (null text: 0). Sources ordered by
     code point, null last, weigh 1, 2, 3, repeating. ``copies`` is how often
     the mix takes the document, at most ``most_copies``, and ``taken`` is
-    ``copies * size``. The draw depends on id and seed only, so reruns agree;
+    ``copies * size``. ``probability`` is that of one copy besides the whole ones;
+    a document without words has none. The draw depends on id and seed only, so reruns agree;
     documents that tie are taken by id, then size. Rows that repeat an id are
     documents of their own; ``row_col`` carries a caller's row key through as
     ``row``. An empty table gives an empty result; if no source has a word, all
@@ -75,7 +99,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ),
         "mix-sizes",
     )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_size = cut_lineage(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-by-size")
+    sizes = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     targets = source_targets(sizes.withColumn("_place", place), F.pmod(F.col("_place") - 1, F.lit(3)) + 1, most_copies)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -84,21 +109,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("room", F.col("target") - F.col("whole") * F.col("source_size")),
         "mix-targets",
     )
+    drawn = targets.where("part > 0")
+    rates = inclusion_rates(by_size.where("size > 0"), drawn).withColumnRenamed("source", "_rated")
+    targets = targets.join(rates, F.col("source").eqNullSafe(F.col("_rated")), "left")
     placed = rows.join(
-        targets.select(F.col("source").alias("_source"), "source_size", "target", "whole", "part"),
+        targets.select(F.col("source").alias("_source"), "source_size", "target", "whole", F.coalesce("rate", F.lit(0.0)).alias("rate")),
         F.col("source").eqNullSafe(F.col("_source")), "left",
-    ).drop("_source")
+    ).drop("_source").withColumn("probability", F.least(F.lit(1.0), F.col("rate") * F.col("size")))
     draw = uniform(F.col("id"), seed)
-    # Random odds over inclusion odds, mapped to (0, 1) in the same order.
-    odds = (draw / (1 - draw)) / (F.col("part") / (1 - F.col("part")))
-    placed = placed.withColumn("rank", F.when(F.col("part") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
+    # Random odds over inclusion odds, mapped to (0, 1) in the same order; certain documents first.
+    odds = (draw / (1 - draw)) / (F.col("probability") / (1 - F.col("probability")))
+    rank = F.when(F.col("probability") >= 1, F.lit(0.0)).when(F.col("probability") > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
+    placed = placed.withColumn("rank", rank)
     chosen = ranked_prefix(
         placed, "source", F.col("rank"), [F.col("rank"), F.col("id").asc_nulls_last(), F.col("size")], "size",
-        targets.where("part > 0").select(F.col("source").alias("_room_group"), "room"),
+        drawn.select(F.col("source").alias("_room_group"), "room"),
     )
-    copies = F.col("whole") + F.when(F.col("chosen") & (F.col("part") > 0), 1).otherwise(0)
+    copies = F.col("whole") + F.when(F.col("chosen") & (F.col("probability") > 0), 1).otherwise(0)
     return chosen.select(
-        "id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"),
+        "id", "source", "size", "source_size", "target", "probability", copies.cast("long").alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"), *(["row"] if row_col else []),
     )
 
@@ -118,17 +147,24 @@ b AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weight
     coalesce(sum(lim) OVER p, 0) AS full_, coalesce(sum(weight) OVER p, 0) AS used
   FROM a WINDOW p AS (ORDER BY at_, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, (total - full_)::DOUBLE / (weights - used)::DOUBLE AS level_ FROM b),
-l AS (SELECT level_ AS lv FROM c WHERE at_ >= level_ ORDER BY at_, level_ LIMIT 1),
+l AS (SELECT level_ AS lv FROM c WHERE at_ >= level_ ORDER BY at_, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, coalesce(least(lim::DOUBLE, weight * (SELECT lv FROM l)), lim::DOUBLE) AS target FROM c),
 f AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM t),
-u AS (SELECT s.doc_id, s.source, s.size, f.source_size, f.target, f.whole, f.due - f.whole AS part,
-    f.target - f.whole * f.source_size AS room,
+z AS (SELECT f.source, s.size, count(*) AS n, any_value(f.target - f.whole * f.source_size) AS room
+  FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source WHERE s.size > 0 AND f.due - f.whole > 0 GROUP BY f.source, s.size),
+y AS (SELECT source, size, (room - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(size::HUGEINT * size * n) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS rate
+  FROM z),
+x AS (SELECT source, max_by(rate, size) AS rate FROM y WHERE rate * size <= 1 GROUP BY source),
+u AS (SELECT s.doc_id, s.source, s.size, f.source_size, f.target, f.whole,
+    least(1.0::DOUBLE, coalesce(x.rate, 0) * s.size) AS p, f.target - f.whole * f.source_size AS room,
     ((('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, 'null') || ':17'), 1, 12))::BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS draw
-  FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source),
-o AS (SELECT *, CASE WHEN part > 0 THEN (draw / (1 - draw)) / (part / (1 - part)) END AS odds FROM u),
-r AS (SELECT *, CASE WHEN part > 0 THEN odds / (1 + odds) ELSE 1.0 END AS rank_ FROM o),
+  FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source LEFT JOIN x ON s.source IS NOT DISTINCT FROM x.source),
+o AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (draw / (1 - draw)) / (p / (1 - p)) END AS odds FROM u),
+r AS (SELECT *, CASE WHEN p >= 1 THEN 0.0 WHEN p > 0 THEN odds / (1 + odds) ELSE 1.0 END AS rank_ FROM o),
 k AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank_, doc_id NULLS LAST, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM r)
 SELECT doc_id, source, size, source_size, target,
-  (size * (whole + CASE WHEN part > 0 AND 2 * cum - size <= 2 * room THEN 1 ELSE 0 END))::BIGINT AS taken FROM k"""
+  (size * (whole + CASE WHEN p > 0 AND 2 * cum - size <= 2 * room THEN 1 ELSE 0 END))::BIGINT AS taken FROM k"""
