@@ -45,6 +45,62 @@ def numeric_edges(df: DataFrame, bins: Mapping[str, int], *, exact: bool = False
     }
 
 
+# A stored sketch of this size holds so many values exactly and misses a rank by about 0.01 per cent beyond.
+SKETCH_SIZE = 65_535
+
+
+def column_sketches(df: DataFrame, columns: Sequence[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """``(column, sketch)``: one mergeable quantile sketch per column, to be written and merged with those of other parts.
+
+    NULL and NaN are left out; a column without values gives no row. Sketches are
+    filled in the tasks that read the rows and merged after one small shuffle.
+    """
+    rows = long_values(df, list(columns))
+    return rows.groupBy("column").agg(F.kll_sketch_agg_double("value", size).alias("sketch"))
+
+
+def merge_sketches(parts: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """``(column, sketch)`` from the sketches of any number of parts; rows are not read again."""
+    return parts.groupBy("column").agg(F.kll_merge_agg_double("sketch", size).alias("sketch"))
+
+
+def sketch_edges(sketches: DataFrame, bins: Mapping[str, int]) -> dict[str, list[float]]:
+    """Edges as of :func:`numeric_edges` from stored sketches: values of the data, one row per column on the driver."""
+    found = _quantiles(sketches, bins)
+    return {c: _with_ends(found.get((c, i / n)) for i in range(1, n)) for c, n in bins.items()}
+
+
+def edge_ranks(df: DataFrame, sketches: DataFrame, bins: Mapping[str, int]) -> DataFrame:
+    """``(column, q, edge, n, below, upto, rank_error)``: how far each sketched edge is from its wanted rank in ``df``.
+
+    ``below`` and ``upto`` count values less than and up to the edge. The error is
+    the distance of ``q`` from the shares of both, 0 if it lies between. Counts come from one pass;
+    the edges, a few per column, are part of its expressions.
+    """
+    found = _quantiles(sketches, bins)
+    wanted = [(c, i / n) for c, n in bins.items() for i in range(1, n)]
+    known = [(c, q, float(found[c, q])) for c, q in wanted if (c, q) in found]
+    if not known:
+        names = "column string, q double, edge double, n long, below long, upto long, rank_error double"
+        return df.sparkSession.createDataFrame([], names)
+    rows = df.select(*[S.numeric(df, c).alias(c) for c in bins]).agg(F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), F.lit(q).alias("q"), F.lit(e).alias("edge"), F.count(c).alias("n"),
+            F.count_if(F.col(c) < e).alias("below"), F.count_if(F.col(c) <= e).alias("upto"),
+        ) for c, q, e in known
+    ]).alias("edges"))
+    counted = rows.select(F.inline("edges"))
+    error = F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("q"), F.col("q") - F.col("upto") / F.col("n"))
+    return counted.withColumn("rank_error", error)
+
+
+def _quantiles(sketches: DataFrame, bins: Mapping[str, int]) -> dict[tuple[str, float], float]:
+    points = sorted({i / n for n in bins.values() for i in range(1, n)})
+    read = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"q{k}") for k, p in enumerate(points)]
+    rows = sketches.where(F.col("column").isin(list(bins))).select("column", *read).collect()
+    return {(row["column"], p): row[f"q{k}"] for row in rows for k, p in enumerate(points)}
+
+
 def with_bin_ids(df: DataFrame, edges: Mapping[str, Sequence[float]], suffix: str = "__bin") -> DataFrame:
     """Adds one integer bin per column; NULL and NaN give a NULL bin.
 

@@ -127,6 +127,27 @@ def quantile_edges(spark, d):
     return B.bins_frame(spark, edges)
 
 
+EDGE_POINTS = "\nUNION ALL ".join(
+    f"SELECT '{f}' AS feature, {i / n!r}::DOUBLE AS q, quantile_disc({f}, {i / n!r}::DOUBLE) AS edge FROM loan_book WHERE {f} IS NOT NULL"
+    for f, n in CONTINUOUS.items() for i in range(1, n))
+VALUES = "\nUNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v FROM loan_book WHERE {f} IS NOT NULL" for f in CONTINUOUS)
+
+
+@query("sketch_edge_ranks", sql_on("loan_book", body=f"""
+WITH p AS ({EDGE_POINTS}), x AS ({VALUES}), c AS (SELECT feature, v, COUNT(*) AS k FROM x GROUP BY 1, 2),
+t AS (SELECT p.feature, q, edge, CAST(SUM(k) AS BIGINT) AS n, CAST(SUM(CASE WHEN v < edge THEN k ELSE 0 END) AS BIGINT) AS below,
+    CAST(SUM(CASE WHEN v <= edge THEN k ELSE 0 END) AS BIGINT) AS upto
+  FROM p JOIN c ON p.feature = c.feature GROUP BY 1, 2, 3)
+SELECT feature, ROUND(q, 6) AS q, ROUND(edge, 6) AS edge, n, below, upto,
+  ROUND(greatest(0.0, below / n - q, q - upto / n), 6) AS rank_error FROM t"""))
+def sketch_edge_ranks(spark, d):
+    """Sketches of two parts are written and merged. Up to ``SKETCH_SIZE`` values they are exact, and equal the SQL's edges."""
+    loans = V.loan_book(spark, d, "id", *CONTINUOUS)
+    parts = [cut_lineage(B.column_sketches(loans.where(F.col("id") % 2 == k), list(CONTINUOUS)), "edge-sketches") for k in (0, 1)]
+    merged = cut_lineage(B.merge_sketches(parts[0].union(parts[1])), "edge-sketches")
+    return rounded(B.edge_ranks(loans, merged, CONTINUOUS).withColumnRenamed("column", "feature"))
+
+
 @query("fine_classing", sql_on("loan_book", body="""
 SELECT id, CASE WHEN funded_amnt IS NULL THEN NULL ELSE CAST(len(list_filter([50000.0, 100000.0, 250000.0, 400000.0], lambda x: x <= funded_amnt)) AS INTEGER) END AS funded_amnt__bin,
   CASE WHEN dti IS NULL THEN NULL ELSE CAST(len(list_filter([0.0, 2500.5, 7000.0], lambda x: x <= dti)) AS INTEGER) END AS dti__bin,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from creditloom import constants as K
@@ -20,7 +20,7 @@ from creditloom.plans import textual as TX
 from creditloom.plans import views as V
 from creditloom.queries.binning import SPECS, TRAIN_PLACED, all_loans, rounded
 from creditloom.queries.registry import query, sql_on
-from creditloom.queries.text import TOKENS, quoted, token_frame
+from creditloom.queries.text import CLEAN, SENTENCES, TOKENS, quoted, token_frame
 from creditloom.session import cut_lineage, new_path
 
 SPLIT = "((id % 2147483647) * 48271 % 2147483647) % 1000 < 800"
@@ -100,6 +100,36 @@ def extract_by_distance(spark, d):
     return X.extract_by_distance(texts, "desc_", vectors, base).select("id", "extracted")
 
 
+VECTOR_WORDS = SENTENCES + TOKENS.removeprefix(CLEAN) + f""",
+ranked AS (SELECT token, row_number() OVER (ORDER BY COUNT(*) DESC, token) - 1 AS k FROM tokens GROUP BY token
+  QUALIFY k < {K.SEQUENCE_VOCABULARY - 2}),
+vectors AS (SELECT r.token AS word, r.k, CAST(e.embedding AS DOUBLE[]) AS vector FROM ranked r JOIN embeddings e ON e.vec_id = r.k)"""
+
+
+@query("extract_by_given_vectors", sql_on("loan_text", body=f"""WITH {VECTOR_WORDS},
+long_vectors AS (SELECT word, k, unnest(vector) AS x, unnest(range(len(vector))) AS dim FROM vectors),
+centre AS (SELECT dim, AVG(x) AS c FROM long_vectors WHERE k < 13 GROUP BY dim),
+size AS (SELECT sqrt(SUM(c * c)) AS size FROM centre),
+line_words AS (SELECT id, pos, unnest(regexp_split_to_array(sentence, '[^\\p{{L}}\\p{{N}}''-]+')) AS w FROM lines),
+counted AS (SELECT id, pos, w, COUNT(*) AS n FROM line_words WHERE length(w) > 2 AND w IN (SELECT word FROM vectors) GROUP BY 1, 2, 3),
+sums AS (SELECT id, pos, dim, SUM(n * x) AS s, SUM(n) AS n FROM counted JOIN long_vectors ON w = word GROUP BY 1, 2, 3),
+scores AS (SELECT id, pos, SUM(s * c) / (sqrt(SUM(s * s)) * ANY_VALUE(size)) AS score
+  FROM sums JOIN centre USING (dim) CROSS JOIN size WHERE n >= 2 GROUP BY 1, 2),
+best AS (SELECT l.id, l.sentence, row_number() OVER (PARTITION BY l.id ORDER BY ROUND(score, 9) DESC NULLS LAST, l.pos) AS k
+  FROM lines l LEFT JOIN scores s ON l.id = s.id AND l.pos = s.pos)
+SELECT c.id, COALESCE(string_agg(sentence, ' ' ORDER BY k), '') AS extracted
+FROM cleaned c LEFT JOIN best b ON c.id = b.id AND k <= 2 GROUP BY c.id"""))
+def extract_by_given_vectors(spark, d):
+    """The k-th most frequent word has the k-th given vector; the 13 most frequent are the knowledge base."""
+    texts = X.text_present(V.loan_text(spark, d), "desc_")
+    codes = cut_lineage(X.vocabulary(token_frame(spark, d), "tokens"), "codes")
+    given = V.word_vectors(spark, d).withColumnRenamed("word", "name")
+    vectors = codes.join(given, F.concat(F.lit("w"), F.col("code") - 2) == F.col("name")).select(
+        F.col("token").alias("word"), array_to_vector("vector").alias("vector"))
+    base = [row["token"] for row in codes.where(F.col("code") < 15).collect()]
+    return X.extract_by_distance(texts, "desc_", vectors, base).select("id", "extracted")
+
+
 SHORT_STOPS = quoted(
     "i me my we he it am is be do a an if or as of at by to up in on no so s t".split())
 STOPS_ALL = quoted(K.ENGLISH_STOP_WORDS) + ", " + SHORT_STOPS
@@ -134,6 +164,18 @@ def title_clusters(spark, d):
     return X.cluster_profile(W.title_clusters("job").fit(titles).transform(titles), "emp_cluster", "emp_title")
 
 
+@query("title_cluster_check", sql_on("titles", body="""
+SELECT COUNT(*) AS n_rows, COUNT(DISTINCT lower(trim(emp_title))) AS n_titles, CAST(0 AS BIGINT) AS not_nearest FROM titles"""))
+def title_cluster_check(spark, d):
+    """Every title's cluster against the distances to all centres, recomputed without the model from its written centres."""
+    titles = V.titles(spark, d).select("id", S.normalise("emp_title", "missing").alias("job"))
+    found = W.centre_distances(W.title_clusters("job").fit(titles), titles, "job")
+    least = F.array_min("distances")
+    return found.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("job").alias("n_titles"),
+        F.count_if(F.col("distances")[F.col("emp_cluster")] > least + 1e-9).alias("not_nearest"))
+
+
 @query("text_risk_score")
 def text_risk_score(spark, d):
     train, test = token_parts(spark, d)

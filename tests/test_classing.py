@@ -295,3 +295,25 @@ def test_structured_plan(spark):
     assert set(plan.strongest(3)) <= set(plan.train.columns) and len(plan.strongest(3, by="iv")) == 3
     assert plan.full().count() == 4000
     assert [r["feature"] for r in plan.iv().collect()]
+
+
+def test_sketches_of_parts_merge_and_keep_ranks(spark):
+    rows = spark.range(40_000).select(
+        ((F.col("id") * 7919) % 40_000).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.col("id") % 11).alias("ties"),
+        F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).alias("none"), "id")
+    columns = {"a": 20, "ties": 5, "none": 4}
+    parts = [B.column_sketches(rows.where(F.col("id") % 4 == k), list(columns), 4000) for k in range(4)]
+    merged = B.merge_sketches(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), 4000)
+    ranks = B.edge_ranks(rows, merged, columns).collect()
+    assert {(r.column, round(r.q, 3)) for r in ranks} == {(c, round(i / n, 3)) for c, n in columns.items() if c != "none" for i in range(1, n)}
+    assert max(r.rank_error for r in ranks) < 0.001 and all(r.n == 40_000 for r in ranks)
+    edges = B.sketch_edges(merged, columns)
+    assert edges["none"] == [-B.INF, 0.0, B.INF] and len(edges["a"]) == 21
+    assert all(abs(e - 2000 * i) <= 40 for i, e in enumerate(edges["a"][1:-1], 1))
+
+
+def test_sketches_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "a double")
+    sketches = B.column_sketches(empty, ["a"])
+    assert B.edge_ranks(empty, sketches, {"a": 3}).count() == 0
+    assert sketches.count() == 0 and B.sketch_edges(sketches, {"a": 3})["a"] == [-B.INF, 0.0, B.INF]
