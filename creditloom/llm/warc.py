@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import arrow_map
-from creditloom.session import cut_lineage, new_path
+from creditloom.session import cut_lineage, lookup_join, new_path
 
 # Payloads from this size on are stored once; equal ones become revisits.
 SMALLEST_SHARED = 1000
-# Records per archive file; a file is read back as one row, so this bounds its size.
-RECORDS_PER_FILE = 3_000
+# A file is read back as one row. Pages of each class of size, up to so many bytes, go to files of so many records (three a
+# page), so the pages of a file are 64 MB at most; a longer page has a file of its own.
+FILE_CLASSES = [(65_536, 3_000), (1_048_576, 192), (16_777_216, 12), (None, 3)]
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -27,6 +30,13 @@ CAPTURE_DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
+RECORD_SCHEMA = (
+    "type string, record_id string, concurrent_to string, refers_to string, url string, digest string, payload binary, bytes long, fields string"
+)
+# Records, and bytes of payloads, that a worker hands on at a time.
+BATCH_RECORDS, BATCH_BYTES = 1_000, 8_388_608
+
+
 def urn(*parts: Column) -> Column:
     """A record id that depends on ``parts`` only."""
     digest = F.md5(F.concat_ws("|", *parts))
@@ -50,21 +60,27 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     ``SMALLEST_SHARED`` bytes the one with the largest id is the response and the
     others are revisits of it, without payload; rows that repeat that id and
     payload are responses too. Line breaks in a URL are percent-encoded; a null
-    URL has no target header. Digests are compared, never payloads moved: groups
-    of equal payloads are found on narrow rows that are counted inside each task
-    first.
+    URL has no target header. Groups of equal payloads are found by SHA-256 on
+    narrow rows that are counted inside each task first; their table is broadcast up to a
+    measured size, and only beyond it payloads move, in salted groups. Files
+    are bounded by bytes: each class of page sizes of ``FILE_CLASSES`` is written for itself, below
+    a folder of its own. An empty table gives no file with records.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    shared = cut_lineage(
-        rows.where(F.col("bytes") >= SMALLEST_SHARED).groupBy("sha1", "bytes", F.sha2("payload", 256).alias("sha2"))
-        .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("sha1", "bytes", "keeper"),
-        "warc-shared",
+    rows = rows.withColumn("sha2", F.when(F.col("bytes") >= SMALLEST_SHARED, F.sha2("payload", 256)))
+    # One pass for groups and sizes: small pages have no digest here and count for their class only.
+    above = F.lit(len(FILE_CLASSES) - 1)
+    for n, (most, _) in reversed(list(enumerate(FILE_CLASSES[:-1]))):
+        above = F.when(F.col("bytes") <= most, n).otherwise(above)
+    rows = rows.withColumn("class", above)
+    groups = cut_lineage(
+        rows.groupBy("sha2", "class").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")), "warc-groups"
     )
-    # Spark broadcasts this table if its files are below its own limit, and shuffles otherwise.
-    rows = rows.join(shared, ["sha1", "bytes"], "left")
+    classes = sorted(r["class"] for r in groups.select("class").distinct().collect()) or [0]
+    shared = groups.where("n > 1 AND sha2 IS NOT NULL").select("sha2", "keeper")
+    rows = lookup_join(rows, shared, "sha2", salt_by=F.struct("page_id", "url"))
     is_revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     # Ids of responses that others refer to follow from page and payload; all others also from the row's place.
     place = F.when(F.col("keeper").isNotNull() & ~is_revisit, F.lit("")).otherwise(F.col("place").cast("string"))
@@ -96,15 +112,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         record("metadata", urn(F.lit("metadata"), page, F.col("sha1"), F.col("place").cast("string")),
                [*concurrent, ("Content-Type", F.lit("application/warc-fields"))], fields),
     )
-    (
-        rows.select(F.explode(records).alias("value"))
-        .write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-    )
+    for n in classes:
+        (
+            rows.where(F.col("class") == n).select(F.explode(records).alias("value"))
+            .write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_CLASSES[n][1])
+            .text(f"{path}/size-{n}")
+        )
 
 
-def parse_archive(content: bytes) -> list[tuple[dict[str, str], bytes]]:
+def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record of one unpacked file."""
-    found, at = [], 0
+    at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
         head = content[at:end].decode("utf-8").split("\r\n")
@@ -115,47 +133,60 @@ def parse_archive(content: bytes) -> list[tuple[dict[str, str], bytes]]:
             name, _, value = line.partition(": ")
             headers[name.lower()] = value
         start, size = end + 4, int(headers["content-length"])
-        found.append((headers, content[start : start + size]))
+        yield headers, content[start : start + size]
         at = start + size + 4
-    return found
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records below ``path``: type, ids, digest in the header, and payload with its own digest and size.
 
-    A payload that does not match its header's digest raises an error.
+    A payload that does not match its header's digest raises an error; a folder
+    without records gives no rows. A worker unpacks one file at a time, whose size its writer
+    bounds, and hands its records on in small batches.
     """
 
-    def run(batch):
-        import zlib
-
-        rows = []
-        for content in batch.column(0).to_pylist():
-            members = []
-            while content:
-                member = zlib.decompressobj(wbits=31)
-                members.append(member.decompress(content))
-                content = member.unused_data
-            for headers, block in parse_archive(b"".join(members)):
-                kind = headers["warc-type"]
-                payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                digest = hashlib.sha1(payload).hexdigest() if payload is not None else None
-                told = headers.get("warc-payload-digest", "sha1:").removeprefix("sha1:")
-                if digest is not None and digest != told:
-                    raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-                rows.append((
-                    kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-refers-to"),
-                    headers.get("warc-target-uri"), told or None, payload, None if payload is None else len(payload),
-                    block.decode("utf-8") if kind in ("metadata", "request") else None,
-                ))
-        return [list(c) for c in zip(*rows)] if rows else [[]] * 9
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return arrow_map(
-        files.select("content"), run,
-        "type string, record_id string, concurrent_to string, refers_to string, url string, digest string,"
-        " payload binary, bytes long, fields string",
-    )
+    def unpacked(content: bytes) -> bytes:
+        members = []
+        while content:
+            member = zlib.decompressobj(wbits=31)
+            members.append(member.decompress(content))
+            content = member.unused_data
+        return b"".join(members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, size = [], 0
+                for row in records_of(unpacked(batch.column(0)[k].as_py())):
+                    rows.append(row)
+                    size += len(row[6] or b"")
+                    if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
+        kinds = [pa.binary() if n == "payload" else pa.int64() if n == "bytes" else pa.string() for n in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
+
+    def records_of(content: bytes) -> Iterator[tuple]:
+        for headers, block in parse_archive(content):
+            kind = headers["warc-type"]
+            payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+            digest = hashlib.sha1(payload).hexdigest() if payload is not None else None
+            told = headers.get("warc-payload-digest", "sha1:").removeprefix("sha1:")
+            if digest is not None and digest != told:
+                raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
+            yield (
+                kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-refers-to"),
+                headers.get("warc-target-uri"), told or None, payload, None if payload is None else len(payload),
+                block.decode("utf-8") if kind in ("metadata", "request") else None,
+            )
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path)
+    return files.select("content").mapInArrow(run, RECORD_SCHEMA)
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -163,7 +194,8 @@ def captures(records: DataFrame) -> DataFrame:
 
     Request and metadata records find their response through the record they
     are concurrent to. Repeated rows share a record id; they are told apart by
-    their order among records of that id.
+    their order among records of that id. Records without a ``payload`` column
+    give captures without one; an empty table gives none.
     """
     from pyspark.sql.window import Window
 
@@ -178,7 +210,8 @@ def captures(records: DataFrame) -> DataFrame:
         F.col("concurrent_to").alias("record_id"), "nth", F.struct(F.col("record_id").alias("id"), "fields").alias("metadata")
     )
     joined = answers.join(requests, ["record_id", "nth"], "left").join(metadata, ["record_id", "nth"], "left")
-    return joined.select("record_id", "url", "type", "digest", "payload", "bytes", "refers_to", "request", "metadata")
+    payload = ["payload"] if "payload" in records.columns else []
+    return joined.select("record_id", "url", "type", "digest", *payload, "bytes", "refers_to", "request", "metadata")
 
 
 def field(name: str) -> Column:
@@ -188,10 +221,15 @@ def field(name: str) -> Column:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder, read them back and list the captures by page."""
+    """Write ``pages`` to archives in the shared folder, read them back and list the captures by page.
+
+    Archives are read and checked once; what the captures need of the records is written without payloads.
+    Repeated rows are captures of their own; an empty table gives an empty result.
+    """
     path = new_path(spark, "warc")
     write_archives(pages, path)
-    return captures(read_records(spark, path)).select(
+    records = cut_lineage(read_records(spark, path).drop("payload"), "warc-records")
+    return captures(records).select(
         field("page").alias("page_id"), field("payload-bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), field("refers-to-page").alias("refers_to"),
     )
