@@ -365,8 +365,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_lines(text: Column, numbers: Column) -> Column:
-    """``text`` without the lines of these numbers; unchanged where ``numbers`` is null or empty."""
-    left = F.filter(F.split(text, "\n", -1), lambda _, at: ~F.array_contains(numbers, at))
+    """``text`` without the lines of these numbers; unchanged where ``numbers`` is null or empty.
+
+    Numbers become one flag per line first, so the work is linear in lines and numbers.
+    """
+    at = F.array_sort(F.array_distinct(numbers))
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.size(at) - 1))
+    flags = F.array_join(F.zip_with(at, before, lambda n, last: F.concat(F.repeat(F.lit("k"), n - last - 1), F.lit("-"))), "")
+    # Bound by an outer lambda: both arrays are made once a text.
+    pair = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), F.split(flags, "").alias("flags")))
+    left = F.transform(pair, lambda p: F.filter(p["lines"], lambda _, k: F.coalesce(F.get(p["flags"], k), F.lit("k")) != "-"))[0]
     return F.when(numbers.isNull() | (F.size(numbers) == 0), text).otherwise(F.array_join(left, "\n"))
 
 
