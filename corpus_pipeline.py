@@ -18,9 +18,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.window import Window  # noqa: E402
 
 from creditloom.llm import bpe, line_dedup, mixing, ngram_join, quality_rules  # noqa: E402
-from creditloom.session import new_path  # noqa: E402
+from creditloom.session import cut_lineage, lookup_join, new_path  # noqa: E402
 
 # Near duplicates share this per cent of their shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -30,13 +31,16 @@ ROWS_OF_FILE = 1 << 36
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """The documents with a row key from file and place in it, the same in every scan; ``docs`` is read from Parquet."""
+    """The documents with a row key from file and place in it, the same in every scan; ``docs`` is read from Parquet.
+
+    Files are numbered in a written table of one narrow row per file, which is broadcast below
+    a limit on its measured bytes and joined by a salted shuffle above it. No row passes through the driver.
+    """
     at = docs.metadataColumn("_metadata")
-    files = docs.select(at["file_path"].alias("file")).distinct().orderBy("file").collect()
-    # One row per file of the table, a list that the scan's own plan holds too.
-    numbers = docs.sparkSession.createDataFrame([(f, n) for n, (f,) in enumerate(files)], "_file string, _number long")
+    files = docs.select(at["file_path"].alias("_path")).distinct()
+    numbers = cut_lineage(files.select("_path", F.row_number().over(Window.orderBy("_path")).cast("long").alias("_number")), "pipeline-files")
     rows = docs.select(*COLUMNS, at["file_path"].alias("_path"), at["row_index"].alias("_place"))
-    return rows.join(F.broadcast(numbers), F.col("_path") == F.col("_file")).select(
+    return lookup_join(rows, numbers, "_path", how="inner", salt_by="_place").select(
         *COLUMNS, (F.col("_number") * F.lit(ROWS_OF_FILE) + F.col("_place")).alias("_row")
     )
 
