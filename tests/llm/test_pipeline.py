@@ -85,3 +85,13 @@ def test_empty_tables_pass(spark, docs_of, tmp_path):
 
 def test_run_reads_documents(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_row_keys_do_not_depend_on_the_join(spark, docs_of, tmp_path, monkeypatch):
+    docs_of([(k % 7, unique(k, 5)) for k in range(60)]).repartition(6).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    keys = lambda: sorted((r["_row"], r["doc_id"], r["text"]) for r in corpus_pipeline.placed(docs).collect())
+    small = keys()
+    join = corpus_pipeline.lookup_join
+    monkeypatch.setattr(corpus_pipeline, "lookup_join", lambda *a, **k: join(*a, **k, limit=0))
+    assert keys() == small and len({r[0] for r in small}) == 60
