@@ -127,15 +127,19 @@ def title_clusters(column: str, k: int = K.CLUSTERS, buckets: int = K.CLUSTER_BU
 def centre_distances(model: PipelineModel, df: DataFrame, keep: str, cluster: str = "emp_cluster") -> DataFrame:
     """``(keep, cluster, distances)``: squared distances of each row to all centres of a fitted :func:`title_clusters`.
 
-    Centres are few and of fixed width, so they are literals.
+    Centres are few and of fixed width, so they are one row. A distance is the
+    centre's own square with the terms of the row's entries that are not zero
+    set right: its cost follows the words of a title, not the buckets.
     """
     stage = next(s for s in model.stages if hasattr(s, "clusterCenters"))
-    centres = [[float(v) for v in c] for c in stage.clusterCenters()]
-    rows = model.transform(df).select(keep, cluster, vector_to_array("_title_tfidf").alias("_x"))
-    lists = F.array(*[F.array(*map(F.lit, c)) for c in centres])
-    apart = F.transform(lists, lambda c: F.aggregate(
-        F.zip_with("_x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, v: total + v))
-    return rows.select(keep, cluster, apart.alias("distances"))
+    centres = [(float(c @ c), c.tolist()) for c in stage.clusterCenters()]
+    table = df.sparkSession.createDataFrame([(centres,)], "centres array<struct<square: double, at: array<double>>>")
+    parts = sparse_parts("_title_tfidf")
+    rows = model.transform(df).select(
+        keep, cluster, F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v")).alias("_x"))
+    apart = F.transform("centres", lambda c: F.aggregate(
+        "_x", c["square"], lambda total, x: total + x["v"] * (x["v"] - 2 * c["at"][x["i"]])))
+    return rows.crossJoin(F.broadcast(table)).select(keep, cluster, apart.alias("distances"))
 
 
 def fit_text_score(train: DataFrame, vector: str, label: str = "good_bad", *, max_iter: int = 100, reg: float = 0.01):

@@ -170,3 +170,19 @@ def test_nearest_takes_any_number_of_seeds(spark):
     found = X.nearest(vectors, vectors, 1)
     assert found.count() == 1200
     assert found.where("abs(cast(substring(seed, 2) AS int) - cast(substring(word, 2) AS int)) <> 1").count() == 0
+
+
+def test_centre_distances_follow_the_words_not_the_buckets(spark):
+    df = texts(spark, ["senior nurse", "nurse", "lorry driver", "driver", "", "nurse nurse driver"])
+    model = W.title_clusters("t", k=2, buckets=20_000).fit(df)
+    found = W.centre_distances(model, df, "id")
+    # The centres are a row, not 40,000 literals, and no row becomes an array as wide as the buckets.
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 40_000 and "vector_to_array" not in plan
+    centres = model.stages[-2].clusterCenters()
+    want = {r["id"]: r["_title_tfidf"].toArray() for r in model.transform(df).collect()}
+    got = {r["id"]: r for r in found.collect()}
+    assert len(got) == 6
+    for key, x in want.items():
+        assert got[key]["distances"] == pytest.approx([((x - c) ** 2).sum() for c in centres], abs=1e-9)
+        assert got[key]["emp_cluster"] == int(np.argmin(got[key]["distances"]))
