@@ -35,6 +35,10 @@ REMEMBERED_PIECES = 150_000
 LONGEST_REMEMBERED = 100
 # A pair of symbols as one number, and a queue entry's rank and place as one.
 PAIR_BITS, PLACE_BITS = 24, 40
+# A merge's rank and symbol as one number. Up to this many symbols, looking
+# through all pairs costs less than a queue of them.
+SYMBOL_BITS, NO_MERGE = 24, 1 << 62
+SHORT_PIECE = 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -118,6 +122,31 @@ def merge_symbols(symbols: list[int], merges: dict[int, tuple[int, int]]) -> lis
     return [s for s in symbols if s >= 0]
 
 
+def packed_merges(merges: dict[int, tuple[int, int]]) -> dict[int, int]:
+    """Rank and symbol of each merge as one number, which sorts by rank."""
+    return {pair: rank << SYMBOL_BITS | symbol for pair, (rank, symbol) in merges.items()}
+
+
+def merge_short(symbols: list[int], packed: dict[int, int]) -> list[int]:
+    """Like :func:`merge_symbols`, with a list of all neighbours' merges in which the least is looked for each time."""
+    find, mask = packed.get, (1 << SYMBOL_BITS) - 1
+    found = [find(a << PAIR_BITS | b, NO_MERGE) for a, b in zip(symbols, symbols[1:])]
+    last = len(found) - 1
+    while last >= 0:
+        least = min(found)
+        if least == NO_MERGE:
+            break
+        at = found.index(least)
+        symbols[at] = merged = least & mask
+        del symbols[at + 1], found[at]
+        last -= 1
+        if at <= last:
+            found[at] = find(merged << PAIR_BITS | symbols[at + 1], NO_MERGE)
+        if at:
+            found[at - 1] = find(symbols[at - 1] << PAIR_BITS | merged, NO_MERGE)
+    return symbols
+
+
 class Store(dict):
     """Values by text, made on first use, in two generations of ``limit`` texts.
 
@@ -146,17 +175,24 @@ class Encoder:
 
     def __init__(self, first: list[int], merges: dict, added: dict) -> None:
         self.first, self.merges, self.added = first, merges, added
+        self.packed = packed_merges(merges)
         self.pieces_of = regex.compile(PIECES).findall
         longest_first = sorted(added, key=len, reverse=True)
         self.split_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.pieces = Store(self.piece, REMEMBERED_PIECES)
-        self.words = Store(lambda word: self.plain(" " + word), REMEMBERED_WORDS)
+        self.words = Store(self.word, REMEMBERED_WORDS)
 
     def piece(self, piece: str) -> bytes:
         symbols = list(map(self.first.__getitem__, piece.encode("utf-8")))
-        ids = merge_symbols(symbols, self.merges)
+        ids = merge_short(symbols, self.packed) if len(symbols) <= SHORT_PIECE else merge_symbols(symbols, self.merges)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def word(self, word: str) -> bytes:
+        """Ids of a word after a space; plain letters are one piece, which need not be looked for."""
+        if word.isascii() and word.isalpha():
+            return self.pieces[" " + word]
+        return self.plain(" " + word)
+
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pieces_of(text)))
 

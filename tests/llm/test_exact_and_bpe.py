@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from creditloom.llm import bpe, exact_dedup
@@ -82,3 +83,21 @@ def test_more_words_than_a_store_holds():
     small.words.limit, small.pieces.limit = 50, 20
     assert small.encode(text) == large.encode(text)
     assert len(small.words) <= 50 and len(small.words.older) <= 50 and len(small.pieces) <= 20 < len(large.pieces)
+
+
+def test_short_pieces_merge_without_a_queue(monkeypatch):
+    """Looking through the pairs gives the queue's ids, also of repeated letters, and a plain word is no regex match."""
+    model = bpe.BpeModel(bpe.default_model())
+    random.seed(5)
+    words = ["".join(random.choices("aeinrst\u00e9'9.", k=random.randint(1, 60))) for _ in range(2000)]
+    words += ["a" * n for n in range(1, 70)] + [" ", "", "''s", "don't"]
+    texts = [" ".join(random.choices(words, k=50)) for _ in range(40)]
+    got = [bpe.Encoder(*model.parts()).encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "SHORT_PIECE", 0)
+    monkeypatch.setattr(bpe.Encoder, "word", lambda self, word: self.plain(" " + word))
+    assert got == [bpe.Encoder(*model.parts()).encode(t) for t in texts]
+    monkeypatch.undo()
+    encoder = bpe.Encoder(*model.parts())
+    monkeypatch.setattr(bpe, "merge_symbols", None)
+    encoder.pieces_of = lambda text: [text] if text in ("", "some") else pytest.fail("matched")
+    assert encoder.encode("some plain letters") == bpe.Encoder(*model.parts()).encode("some plain letters")
