@@ -166,3 +166,27 @@ def test_weighted_text_score_equals_copies(spark):
     from pyspark.ml.classification import LogisticRegression
     plain = LogisticRegression(featuresCol="v", labelCol="good_bad", maxIter=100, regParam=0.01).fit(copies)
     assert np.allclose(weighted.coefficients.toArray(), plain.coefficients.toArray(), atol=2e-2)
+
+
+@pytest.mark.parametrize("name", ["word2vec_vectors", "word2vec_documents", "word2vec_knowledge_base", "extract_by_distance",
+                                  "text_risk_score", "text_model_metrics"])
+def test_word2vec_queries_clean_texts_once(spark, tmp_path, monkeypatch, name):
+    """Word2Vec reads its input twice, then rows are transformed: all from written tokens."""
+    from creditloom.queries import queries
+
+    rows = [(i, f"<b>late</b> payment number{i}", "s", "en") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    class Seen(Exception):
+        pass
+
+    def fit(df, tokens, **settings):
+        raise Seen(df)
+
+    monkeypatch.setattr(W, "fit_word2vec", fit)
+    with pytest.raises(Seen) as seen:
+        queries()[name](spark, str(tmp_path))
+    frame = seen.value.args[0]
+    assert "regexp_replace" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r["tokens"][:2]) for r in frame.collect()} == {("late", "payment")}
