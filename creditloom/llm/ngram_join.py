@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,8 @@ FRAGMENTS = 4
 SKETCH = 65_536
 # Shingles that a pair must share among its first ones to be compared.
 SHARED_FIRST = 3
+# Groups before its own that a row of the group join names.
+EARLIER = 8
 
 
 def sets_of(batch_column: pa.Array, words: int, store: WordNumbers) -> list[np.ndarray]:
@@ -100,9 +102,10 @@ def overlaps(source: DataFrame, pairs: DataFrame, sets: DataFrame, sketch: np.nd
     return summed.where(linked("shared", "n_a", "n_b", percent)).select("a", "b")
 
 
-def often(pairs: DataFrame, times: int) -> DataFrame:
-    """Pairs that occur at least ``times`` times, once each; counted in each task before the shuffle."""
-    return pairs.groupBy("a", "b", "n_a", "n_b").count().where(F.col("count") >= times).drop("count")
+def often(pairs: DataFrame, times: int, weight: Column | None = None) -> DataFrame:
+    """Pairs that occur at least ``times`` times (a row counts ``weight`` times), once each; summed in each task before the shuffle."""
+    weight = F.lit(1) if weight is None else weight
+    return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum(weight).alias("count")).where(F.col("count") >= times).drop("count")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -182,31 +185,47 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     labels = components(links, "join-first")
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = Window.partitionBy("shingle")
+    differs = (F.min("label").over(group) != F.max("label").over(group)).alias("open")
+    still = named.select("shingle", "node", "n", "place", "label", differs).where("open").drop("open")
+    # A node that is in fewer groups than a linked pair shares has no partner left.
+    groups_of_node = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    still = still.withColumn("groups", groups_of_node).where(F.col("groups") >= shared_first).drop("groups")
+    # Groups with the same nodes are one group. Nodes name them by two hashes, in no order.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(salt))).over(group).alias(f"nodes_{salt}") for salt in (0, 1)]
     # Nodes that can link have sizes in the same band or in neighbouring ones.
     width = float(np.log(100 / percent) * 1.0001) if percent < 100 else 1.0
+    band = F.floor(F.log(F.col("n")) / F.lit(width)).cast("int").alias("band")
+    # All nodes follow one order of shingles, so the k-th places of two nodes of a group are those of one shingle, and
+    # the groups that two nodes share come in one order too. Each row names the groups that its node comes from.
+    earlier = Window.partitionBy("node").orderBy("places").rowsBetween(-EARLIER, -1)
     open_groups = cut_lineage(
-        named.select(
-            "shingle", "node", "n", "place", "label", F.floor(F.log(F.col("n")) / F.lit(width)).cast("int").alias("band"),
-            (F.min("label").over(group) != F.max("label").over(group)).alias("open"),
-        ).where("open").drop("open"),
+        still.select("*", differs, *same).where("open").repartition("node").groupBy("node", "nodes_0", "nodes_1", "n", "label")
+        .agg(F.sort_array(F.collect_list("place")).alias("places")).select("*", band, F.collect_list("nodes_0").over(earlier).alias("before")),
         "join-open",
     )
     a = open_groups.selectExpr(
-        "shingle", "node AS node_x", "n AS n_a", "place AS place_a", "label AS label_a", "band AS band_a",
-        "explode(array(band, band + 1)) AS band",
+        "nodes_0", "nodes_1", "node AS node_x", "n AS n_a", "places AS places_a", "places[0] AS place_a", "label AS label_a", "band AS band_a",
+        "before AS before_a", "explode(array(band, band + 1)) AS band",
     )
-    b = open_groups.selectExpr("shingle AS shingle_b", "node AS node_y", "n AS n_b", "place AS place_b", "label AS label_b", "band AS band_b")
+    b = open_groups.selectExpr(
+        "nodes_0 AS same_0", "nodes_1 AS same_1", "node AS node_y", "n AS n_b", "places AS places_b", "places[0] AS place_b",
+        "label AS label_b", "band AS band_b", "before AS before_b",
+    )
+    # A pair's first rows, as many as it must share, see fewer in common before them; what comes after enough of them adds nothing.
+    needed = f"size(array_intersect(before_a, before_b)) < {shared_first}"
+    each = reach.replace("place_a", "p.places_a").replace("place_b", "p.places_b")
     rest = a.join(
         b,
         F.expr(
-            "shingle = shingle_b AND band = band_b AND label_a <> label_b AND (band_a < band_b OR node_x < node_y)"
-            f" AND {near_size} AND {reach}"
+            "nodes_0 = same_0 AND nodes_1 = same_1 AND band = band_b AND label_a <> label_b AND (band_a < band_b OR node_x < node_y)"
+            f" AND {near_size} AND {reach} AND {needed}"
         ),
     ).selectExpr(
         "least(node_x, node_y) AS a", "greatest(node_x, node_y) AS b",
         "IF(node_x < node_y, n_a, n_b) AS n_a", "IF(node_x < node_y, n_b, n_a) AS n_b",
+        f"size(filter(arrays_zip(places_a, places_b), p -> {each})) AS shared",
     )
-    rest = cut_lineage(often(rest, shared_first).join(spokes.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
+    rest = cut_lineage(often(rest, shared_first, F.col("shared")).join(spokes.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
     more = overlaps(source, rest, sets, sketch, words, fragments, percent)
     labels = components(links.union(more), "join-last")
     ids = sets.join(labels, "node").groupBy("label").agg(F.min("id").alias("component"))
