@@ -25,7 +25,7 @@ SKETCH = 65_536
 # Shingles that a pair must share among its first ones to be compared.
 SHARED_FIRST = 3
 # Groups before its own that a row of the group join names.
-EARLIER = 8
+EARLIER = 16
 
 
 def sets_of(batch_column: pa.Array, words: int, store: WordNumbers) -> list[np.ndarray]:
@@ -195,25 +195,31 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Nodes that can link have sizes in the same band or in neighbouring ones.
     width = float(np.log(100 / percent) * 1.0001) if percent < 100 else 1.0
     band = F.floor(F.log(F.col("n")) / F.lit(width)).cast("int").alias("band")
-    # All nodes follow one order of shingles, so the k-th places of two nodes of a group are those of one shingle, and
-    # the groups that two nodes share come in one order too. Each row names the groups that its node comes from.
-    earlier = Window.partitionBy("node").orderBy("places").rowsBetween(-EARLIER, -1)
+    merged = still.select("*", differs, *same).where("open").repartition("node").groupBy("node", "nodes_0", "nodes_1", "n", "label").agg(
+        F.min("place").alias("place"), F.least(F.count(F.lit(1)), F.lit(shared_first)).cast("int").alias("weight"))
+    # All nodes follow one order of shingles, so the groups that two nodes share come in one order. Each row names the
+    # groups that its node comes from, as often as they count.
+    marks = F.expr("transform(sequence(0, weight - 1), k -> nodes_0 ^ CAST(k AS BIGINT))")
+    of_node = Window.partitionBy("node").orderBy("place")
     open_groups = cut_lineage(
-        still.select("*", differs, *same).where("open").repartition("node").groupBy("node", "nodes_0", "nodes_1", "n", "label")
-        .agg(F.sort_array(F.collect_list("place")).alias("places")).select("*", band, F.collect_list("nodes_0").over(earlier).alias("before")),
+        merged.select(
+            "*", band, F.flatten(F.collect_list(marks).over(of_node.rowsBetween(-EARLIER, -1))).alias("before"),
+            (F.count(F.lit(1)).over(Window.partitionBy("node")) <= EARLIER + 1).alias("all"),
+        ),
         "join-open",
     )
     a = open_groups.selectExpr(
-        "nodes_0", "nodes_1", "node AS node_x", "n AS n_a", "places AS places_a", "places[0] AS place_a", "label AS label_a", "band AS band_a",
-        "before AS before_a", "explode(array(band, band + 1)) AS band",
+        "nodes_0", "nodes_1", "node AS node_x", "n AS n_a", "place AS place_a", "label AS label_a", "band AS band_a",
+        "weight", "before AS before_a", "all AS all_a", "explode(array(band, band + 1)) AS band",
     )
     b = open_groups.selectExpr(
-        "nodes_0 AS same_0", "nodes_1 AS same_1", "node AS node_y", "n AS n_b", "places AS places_b", "places[0] AS place_b",
-        "label AS label_b", "band AS band_b", "before AS before_b",
+        "nodes_0 AS same_0", "nodes_1 AS same_1", "node AS node_y", "n AS n_b", "place AS place_b", "label AS label_b", "band AS band_b",
+        "before AS before_b", "all AS all_b",
     )
-    # A pair's first rows, as many as it must share, see fewer in common before them; what comes after enough of them adds nothing.
-    needed = f"size(array_intersect(before_a, before_b)) < {shared_first}"
-    each = reach.replace("place_a", "p.places_a").replace("place_b", "p.places_b")
+    # Where rows name all groups before their own, a pair is made by the one row at which it shares enough; else by
+    # its first rows up to there, which are summed.
+    common = "size(array_intersect(before_a, before_b))"
+    needed = f"{common} < {shared_first} AND (NOT (all_a AND all_b) OR {common} + weight >= {shared_first})"
     rest = a.join(
         b,
         F.expr(
@@ -223,7 +229,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ).selectExpr(
         "least(node_x, node_y) AS a", "greatest(node_x, node_y) AS b",
         "IF(node_x < node_y, n_a, n_b) AS n_a", "IF(node_x < node_y, n_b, n_a) AS n_b",
-        f"size(filter(arrays_zip(places_a, places_b), p -> {each})) AS shared",
+        f"IF(all_a AND all_b, {shared_first}, weight) AS shared",
     )
     rest = cut_lineage(often(rest, shared_first, F.col("shared")).join(spokes.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
     more = overlaps(source, rest, sets, sketch, words, fragments, percent)

@@ -130,3 +130,27 @@ def test_components_match_brute_force(docs_of):
         key = lambda r: tuple((x is None, x or 0) for x in r)
         assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows, 3, percent), key=key)
     assert ngram_join.similar_documents(docs_of([])).count() == 0
+
+
+def test_a_pair_that_shares_many_shingles_gives_few_rows(docs_of, monkeypatch):
+    random.seed(5)
+    rows = []
+    for cluster in range(3):
+        text = [f"w{cluster}x{i}" for i in range(400)]
+        for copy in range(4):
+            changed_text = list(text)
+            for _ in range(8):
+                changed_text[random.randrange(400)] = f"n{random.randrange(10**9)}"
+            rows.append((10 * cluster + copy, " ".join(changed_text)))
+    made, often = [], ngram_join.often
+
+    def counted(pairs, *rest):
+        made.append((pairs.count(), pairs.select("a", "b").distinct().count()))
+        return often(pairs, *rest)
+
+    for earlier in (16, 2):  # all earlier groups named, and only some of them
+        monkeypatch.setattr(ngram_join, "EARLIER", earlier, raising=False)
+        monkeypatch.setattr(ngram_join, "often", counted)
+        got = ngram_join.similar_documents(docs_of(rows)).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_components(rows, 3, 90))
+    assert 0 < made[1][1] <= made[1][0] <= 6 * made[1][1]
