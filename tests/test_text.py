@@ -3,6 +3,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from creditloom import constants as K
 from creditloom.operators import embeddings as W
 from creditloom.operators import text as X
 
@@ -165,6 +166,23 @@ def test_clean_tokens_of_a_sentence(spark):
     assert row == ["think", "paid", "loan", "late", "say", "say", "mid-term", "o'brien"]
 
 
+def test_clean_tokens_by_patterns_and_without(spark):
+    """Trimming a word's start decides as the patterns do, and no word meets a pattern."""
+    bits = ["<", ">", "<b>", "/", "borrower added on 01/02/03 >", "Borrower Added on 11/12/13", "1", "333", "٣٣٣", " ", ".", "é", "É", "ab", "the",
+            "don't", "'", "-", "---", "''", "-12-", "²³", "İ", "漢字漢", "\n", "_", "a<c/d>e"]
+    rows = [("".join(bits[(i * 7 + k * k * (i % 5 + 1) + i // 9) % len(bits)] for k in range(30)),) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None,)], "t string")
+    body = F.lower(F.regexp_replace(F.regexp_replace("t", K.HTML_TAG, " "), K.BOILERPLATE, ""))
+    stops = [*K.ENGLISH_STOP_WORDS, *K.ENGLISH_CONTRACTIONS, *K.DOMAIN_STOP_WORDS]
+    by_patterns = F.filter(F.split(body, X.WORD_BREAK), lambda w: (F.length(w) > 2) & ~w.startswith("'") & ~w.rlike("^[0-9]+$")
+                           & w.rlike(r"[\p{L}\p{N}]") & ~w.isin(stops))
+    made = df.select(X.strip_markup("t").alias("body"), X.clean_tokens("t").alias("tokens"), body.alias("body_was"),
+                     F.coalesce(by_patterns, F.array().cast("array<string>")).alias("tokens_were"))
+    assert made.where("NOT (body <=> body_was AND tokens <=> tokens_were)").count() == 0
+    assert made.where("size(tokens) > 0").count() > 200
+    assert "RLIKE" not in df.select(X.clean_tokens("t"))._jdf.queryExecution().analyzed().toString().upper()
+
+
 def test_nearest_takes_any_number_of_seeds(spark):
     vectors = spark.range(1200).selectExpr("concat('w', id) AS word", "array(cos(id / 400D), sin(id / 400D)) AS vector")
     found = X.nearest(vectors, vectors, 1)
