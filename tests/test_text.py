@@ -183,6 +183,43 @@ def test_clean_tokens_by_patterns_and_without(spark):
     assert "RLIKE" not in df.select(X.clean_tokens("t"))._jdf.queryExecution().analyzed().toString().upper()
 
 
+def test_frequent_join_equals_a_join(spark):
+    """Repeated and NULL keys included, whatever part of the lookup fits; the facts of a frequent key are not shuffled."""
+    from creditloom.session import frequent_join, measured_bytes
+
+    facts = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 17 == 0 else f"w{i % 40}") for i in range(600)], "id int, k string")
+    lookup = spark.createDataFrame([("hot", 1.0), (None, 9.0), ("w1", 1.5), ("w1", 1.25), *[(f"w{i}", float(i)) for i in range(2, 300)]], "k string, v double")
+    plain = sorted(map(tuple, facts.join(lookup, "k").collect()))
+    size = measured_bytes(lookup)
+    for limit in (0, 1, size // 100, size // 10, size // 2, size):
+        assert sorted(map(tuple, frequent_join(facts, lookup, "k", salt_by="id", limit=limit).collect())) == plain
+    assert frequent_join(facts, lookup.where("k = 'absent'"), "k", salt_by="id", limit=0).count() == 0
+    assert frequent_join(facts, lookup.where("k <> 'hot'"), "k", salt_by="id", limit=size // 10).where("k = 'hot'").count() == 0
+    assert "frequent-" in frequent_join(facts, lookup, "k", salt_by="id", limit=size // 10)._jdf.queryExecution().toString()
+
+
+def test_extract_by_distance_broadcasts_what_it_can(spark, monkeypatch):
+    """The result is the same with all vectors broadcast, some and none; frequent words join where they lie."""
+    from creditloom import session
+
+    rng = np.random.default_rng(3)
+    names = [f"word{i}" for i in range(60)]
+    vectors = spark.createDataFrame([(w, Vectors.dense(rng.normal(size=4))) for w in names], ["word", "vector"])
+    rows = [(i, ". ".join(" ".join(names[int(k)] for k in rng.zipf(1.5, 4) % 60) for _ in range(4))) for i in range(40)]
+    df = spark.createDataFrame([*rows, (40, None), (40, "word1 word2. word3 word4. word5 word6"), (None, "word1 word2")], "id int, t string")
+
+    def extracted():
+        return X.extract_by_distance(df, "t", vectors, names[:5])
+
+    whole = sorted(extracted().select("id", "extracted").collect(), key=str)
+    join, seen = session.lookup_join, []
+    monkeypatch.setattr(session, "lookup_join", lambda facts, lookup, *a, **k: (seen.append((facts, lookup)), join(facts, lookup, *a, **k))[1])
+    monkeypatch.setattr(X, "frequent_join", lambda *a, **k: session.frequent_join(*a, **k, limit=2000))
+    assert sorted(extracted().select("id", "extracted").collect(), key=str) == whole
+    first = [lookup.count() for _, lookup in seen if "_v0" in lookup.columns]
+    assert sum(first) == 60 and all(first), "some vectors go with the frequent words, the others with the rest"
+
+
 def test_nearest_takes_any_number_of_seeds(spark):
     vectors = spark.range(1200).selectExpr("concat('w', id) AS word", "array(cos(id / 400D), sin(id / 400D)) AS vector")
     found = X.nearest(vectors, vectors, 1)
